@@ -1,7 +1,8 @@
 """Column expressions: bases, alleles, genotypes."""
 
 from .alleles import (
-    classify, edit_key, first_base, is_plain_alt, last_base, same_contig, shares_prefix, trimmed,
+    classify, edit_key, first_base, is_plain_alt, last_base, mutation_name, same_contig,
+    shares_prefix, trimmed,
 )
 from .bases import base_char, base_code
 from .genotype import (
@@ -10,6 +11,6 @@ from .genotype import (
 
 __all__ = [
     "base_char", "base_code", "carried_alleles", "classify", "decode_genotype", "edit_key",
-    "first_base", "has_non_ref", "is_het", "is_hom", "is_plain_alt", "last_base", "phasing",
-    "ploidy", "same_contig", "shares_prefix", "trimmed",
+    "first_base", "has_non_ref", "is_het", "is_hom", "is_plain_alt", "last_base",
+    "mutation_name", "phasing", "ploidy", "same_contig", "shares_prefix", "trimmed",
 ]

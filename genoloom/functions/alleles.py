@@ -24,6 +24,14 @@ def classify(ref: Column, alt: Column) -> Column:
     return F.when(n == m, "SUB").when(n > m, "DEL").otherwise("INS")
 
 
+def mutation_name(kind: Column) -> Column:
+    """Long name of a kind; a complex replacement is a substitution of unequal lengths."""
+    return (
+        F.when(kind == "INS", "INSERTION").when(kind == "DEL", "DELETION")
+        .otherwise("SUBSTITUTION")
+    )
+
+
 def shares_prefix(ref: Column, alt: Column) -> Column:
     """Whether the shorter allele is a prefix of the longer one."""
     n, m = F.length(ref), F.length(alt)

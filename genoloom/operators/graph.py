@@ -48,25 +48,29 @@ def all_vertices(edge: DataFrame) -> DataFrame:
 def within_hops(edge: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
     """``(root, chrom, seg_id, hops)`` for vertices at most ``radius`` edges away.
 
-    ``roots`` has ``(root, chrom, seg_id)``.  Each level is one join of the last
-    frontier with the edges, less what was seen.
+    ``roots`` has ``(root, chrom, seg_id)``.  A hop is one outer join and one partial
+    aggregation: rows reached last bring their neighbours, all rows bring themselves,
+    the smaller hop count stays.  The plan grows by one join per hop and is cut every
+    few hops, where a search with nothing new to reach also ends.
     """
     key = ["root", "chrom", "seg_id"]
-    frontier = roots.select(*key).distinct()
-    seen = frontier.withColumn("hops", F.lit(0))
+    reached = roots.select(*key).distinct().withColumn("hops", F.lit(0))
     forward = edge.select("chrom", F.col("src").alias("seg_id"), "dst")
     for hop in range(1, radius + 1):
-        reached = frontier.join(forward, ["chrom", "seg_id"]).select(
-            "root", "chrom", F.col("dst").alias("seg_id")).distinct()
-        frontier = reached.join(seen, key, "left_anti")
+        fresh = F.when(F.col("hops") == hop - 1, F.col("seg_id"))
+        stepped = reached.withColumn("_fresh", fresh).join(
+            forward.withColumnRenamed("seg_id", "_fresh"), ["chrom", "_fresh"], "left")
+        both = F.array(
+            F.struct(F.col("seg_id").alias("seg_id"), F.col("hops").alias("hops")),
+            F.struct(F.col("dst").alias("seg_id"), F.lit(hop).alias("hops")))
+        reached = stepped.select("root", "chrom", F.explode(both).alias("v")).select(
+            "root", "chrom", "v.seg_id", "v.hops").where(F.col("seg_id").isNotNull()).groupBy(
+            *key).agg(F.min("hops").alias("hops"))
         if hop % HOPS_PER_CUT == 0:
-            frontier = cut_lineage(frontier)
-            if frontier.isEmpty():
+            reached = cut_lineage(reached)
+            if reached.where(F.col("hops") == hop).isEmpty():
                 break
-        seen = seen.unionByName(frontier.withColumn("hops", F.lit(hop)))
-        if hop % HOPS_PER_CUT == 0:
-            seen = cut_lineage(seen)
-    return seen
+    return reached
 
 
 def shared_successors(edge: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -160,3 +164,24 @@ def dot_lines(found: DataFrame, segment: DataFrame, edge: DataFrame, marks: Data
     frame = nodes.select("root").distinct().select("root", F.explode(fixed).alias("f")).select(
         "root", "f.section", "f.a", F.lit(0).cast("long").alias("b"), "f.line")
     return frame.unionByName(head).unionByName(tags).unionByName(arrows)
+
+
+def vertex_info(segment: DataFrame, marks: DataFrame, carrier: DataFrame, classes: DataFrame,
+                sample: DataFrame) -> DataFrame:
+    """A line of text per vertex and carrier part: id, offset, length, class and carriers."""
+    from .variants import SAMPLES_PER_PART, with_phasing
+
+    named = with_phasing(
+        marks.join(carrier.drop("pos", "edit_key"), ["chrom", "site_id", "sample_id"]), sample)
+    text = F.format_string("Sample id: %s Sample phase: %s Index: %d ", "name", "phasing", "index")
+    part = F.call_function("div", F.col("sample_id"), F.lit(SAMPLES_PER_PART))
+    listed = named.groupBy("chrom", "seg_id", part.alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("sample_id", text.alias("text")))).alias("s"))
+    about = segment.select("chrom", "seg_id", "ref_start", "length", "site_id").join(
+        classes, ["chrom", "site_id"], "left")
+    head = F.format_string("ID: %d Offset: %d length: %d sample_class: %d Samples: ", "seg_id",
+                           "ref_start", "length", F.coalesce("class_id", F.lit(0)))
+    carriers = F.coalesce(F.array_join(F.transform("s", lambda e: e["text"]), ""), F.lit(""))
+    return about.join(listed, ["chrom", "seg_id"], "left").select(
+        "chrom", "seg_id", F.coalesce("part", F.lit(0)).alias("part"),
+        F.concat(head, carriers).alias("info"))
