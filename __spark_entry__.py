@@ -216,12 +216,12 @@ def prev_sample_variant(spark, d):
 
 
 def coord_running_delta(spark, d):
-    return _cohort(spark, d).coord.select("sample_id", "pos", "kind", "shift", "sample_pos")
+    return _cohort(spark, d).path.select("sample_id", "pos", "kind", "shift", "sample_pos")
 
 
 def sample_path_length(spark, d):
     c = _cohort(spark, d, "coord")
-    return coords.path_lengths(c.sample, c.contig, c.coord).select(
+    return coords.path_lengths(c.sample, c.contig, c.path).select(
         "sample_id", "name", "n_variants", "path_length")
 
 
@@ -332,11 +332,10 @@ def bfs_radius(spark, d):
 
 def path_step(spark, d):
     c = _cohort(spark, d, "coord", "segment", "edge")
-    marks = seg.segment_samples(c.site, c.coord, c.contig)
     before = _ref_marks(c).select("chrom", (F.col("ref_end") + 1).alias("lo"), F.col("seg_id").alias("src"))
-    asked = c.coord.select("chrom", "lo", "sample_id").join(before, ["chrom", "lo"]).select(
+    asked = c.path.select("chrom", "lo", "sample_id").join(before, ["chrom", "lo"]).select(
         "chrom", "src", "sample_id")
-    return _bits(graph.path_step(c.edge, c.segment, marks, asked).select(
+    return _bits(graph.path_step(c.edge, c.segment, c.marks(), asked).select(
         "src", "sample_id", "dst", "on_variant"), "on_variant")
 
 
@@ -348,10 +347,7 @@ def dot_lines(spark, d):
 
 
 def vertex_info(spark, d):
-    c = _cohort(spark, d, "coord")
-    marks = seg.segment_samples(c.site, c.coord, c.contig)
-    return graph.vertex_info(c.segment, marks, c.carrier, classes.sample_classes(c.carrier),
-                             c.sample).select("seg_id", "part", "info")
+    return _cohort(spark, d, "coord").vertex_info().select("seg_id", "part", "info")
 
 
 # -- scalar functions, parsing, normalisation -------------------------------------

@@ -26,25 +26,31 @@ def path_candidates(site: DataFrame, carrier: DataFrame, width: int = DEFAULT_WI
 
 def sample_coordinates(site: DataFrame, carrier: DataFrame,
                        width: int = DEFAULT_WIDTH) -> DataFrame:
-    """The variants on each sample's path with their place in the sample.
+    """Each sample's candidates with their place in the sample (schema ``COORD``).
 
-    ``shift`` is the summed length change of the sample's earlier variants;
-    ``sample_pos`` is ``pos + shift``.
+    ``on_path`` tells those the sample's path takes.  ``shift`` is the summed length
+    change of the earlier variants on the path; ``sample_pos`` is ``pos + shift``.
     """
     candidates = path_candidates(site, carrier, width)
-    lost = overlapped_edits(candidates, width)
-    kept = candidates.join(lost, [*PATH, "_cell", "edit_key"], "left_anti")
-    placed = ordered_scan(kept, PATH, "_cell", ["edit_key"], shift=("sum_before", F.col("delta")))
+    lost = overlapped_edits(candidates, width).withColumn("_lost", F.lit(True))
+    told = candidates.join(lost, [*PATH, "_cell", "edit_key"], "left").withColumn(
+        "on_path", F.col("_lost").isNull())
+    change = F.when(F.col("on_path"), F.col("delta")).otherwise(F.lit(0))
+    placed = ordered_scan(told, PATH, "_cell", ["edit_key"], shift=("sum_before", change))
     return placed.select(
         *PATH, "site_id", "pos", "kind", "ref", "alt", "delta", "lo", "hi", "edit_key",
-        "shift",
-        (F.col("pos") + F.col("shift")).alias("sample_pos"),
+        "on_path", "shift", (F.col("pos") + F.col("shift")).alias("sample_pos"),
     )
 
 
-def path_lengths(sample: DataFrame, contig: DataFrame, coord: DataFrame) -> DataFrame:
+def paths(coord: DataFrame) -> DataFrame:
+    """Only the variants the samples' paths take."""
+    return coord.where("on_path")
+
+
+def path_lengths(sample: DataFrame, contig: DataFrame, path: DataFrame) -> DataFrame:
     """Number of variants on each sample's path and the length of its sequence."""
-    change = coord.groupBy(*PATH).agg(
+    change = path.groupBy(*PATH).agg(
         F.count(F.lit(1)).alias("n_variants"), F.sum("delta").alias("_delta"))
     return (
         change.join(contig, "chrom").join(sample, "sample_id")

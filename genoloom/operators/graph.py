@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .segments import segment_samples
+from .variants import SAMPLES_PER_PART, with_phasing
 
 # Hops between two reliable checkpoints of a long search.
 HOPS_PER_CUT = 8
@@ -109,13 +111,14 @@ def path_step(edge: DataFrame, segment: DataFrame, marks: DataFrame,
         (F.col("best.by_mark") != 0).alias("on_variant"))
 
 
-def dot_lines(found: DataFrame, segment: DataFrame, edge: DataFrame, marks: DataFrame,
-              sample: DataFrame) -> DataFrame:
+def dot_lines(found: DataFrame, segment: DataFrame, edge: DataFrame, marking: DataFrame,
+              carrier: DataFrame, coord: DataFrame, sample: DataFrame) -> DataFrame:
     """DOT text of each root's neighbourhood as ordered rows ``(root, ord..., line)``.
 
     A label with thousands of samples is as many rows, never one collected string;
     sorting by ``root, section, a, b`` puts the lines in file order.  Edges leaving
-    the neighbourhood are drawn, as its border.
+    the neighbourhood are drawn, as its border.  ``marking`` is that of
+    ``segments.segment_sites``; only the carriers of drawn segments are looked up.
     """
     nodes = found.select("root", "chrom", "seg_id")
     about = segment.select("chrom", "seg_id", "kind", "length", "ref_start")
@@ -127,7 +130,8 @@ def dot_lines(found: DataFrame, segment: DataFrame, edge: DataFrame, marks: Data
     ref_mark = labelled.where(F.col("kind") == "REF").select(
         "root", "seg_id", F.lit(-1).cast("long").alias("sample_id"), F.lit("ref").alias("name"),
         F.col("ref_start").alias("index"))
-    sample_mark = nodes.join(marks, ["chrom", "seg_id"]).join(sample, "sample_id").select(
+    marks = segment_samples(nodes.join(marking, ["chrom", "seg_id"]), carrier, coord)
+    sample_mark = marks.join(sample, "sample_id").select(
         "root", "seg_id", "sample_id", "name", "index")
     marked = ref_mark.unionByName(sample_mark)
     span = marked.groupBy("root", "seg_id").agg(
@@ -166,13 +170,10 @@ def dot_lines(found: DataFrame, segment: DataFrame, edge: DataFrame, marks: Data
     return frame.unionByName(head).unionByName(tags).unionByName(arrows)
 
 
-def vertex_info(segment: DataFrame, marks: DataFrame, carrier: DataFrame, classes: DataFrame,
+def vertex_info(segment: DataFrame, marks: DataFrame, classes: DataFrame,
                 sample: DataFrame) -> DataFrame:
     """A line of text per vertex and carrier part: id, offset, length, class and carriers."""
-    from .variants import SAMPLES_PER_PART, with_phasing
-
-    named = with_phasing(
-        marks.join(carrier.drop("pos", "edit_key"), ["chrom", "site_id", "sample_id"]), sample)
+    named = with_phasing(marks, sample)
     text = F.format_string("Sample id: %s Sample phase: %s Index: %d ", "name", "phasing", "index")
     part = F.call_function("div", F.col("sample_id"), F.lit(SAMPLES_PER_PART))
     listed = named.groupBy("chrom", "seg_id", part.alias("part")).agg(

@@ -94,16 +94,30 @@ def edges(site: DataFrame, contig: DataFrame, width: int = DEFAULT_WIDTH) -> Dat
     return along.unionByName(around)
 
 
-def segment_samples(site: DataFrame, coord: DataFrame, contig: DataFrame) -> DataFrame:
-    """Which samples a segment is marked with, and the sample position it starts at.
+def segment_sites(site: DataFrame, contig: DataFrame) -> DataFrame:
+    """Which sites mark a segment, ``(chrom, seg_id, site_id, edit_key, lo)``.
 
-    An ALT segment carries its site's samples; a deletion marks the reference
-    segment the path resumes on.
+    A site marks its ALT segment; a deletion marks the reference segment the path
+    resumes on.
     """
-    joined = coord.join(contig, "chrom")
     target = F.when(F.col("alt") != "", alt_segment_id(F.col("site_id"))).when(
         F.col("hi") < F.col("length"), ref_segment_id(F.col("hi") + 1))
-    return joined.select(
-        "chrom", target.alias("seg_id"), "sample_id", "site_id",
-        (F.col("lo") + F.col("shift")).alias("index"),
+    return site.join(contig, "chrom").select(
+        "chrom", target.alias("seg_id"), "site_id", "edit_key", "lo"
     ).where(F.col("seg_id").isNotNull())
+
+
+def segment_samples(marking: DataFrame, carrier: DataFrame, coord: DataFrame) -> DataFrame:
+    """The samples segments are marked with and the sample position each begins at:
+    ``marking`` with ``sample_id, phase, gt1, gt2, index`` per carrier.
+
+    ``marking`` has the columns of ``segment_sites``, cut down beforehand to the
+    segments of interest.
+    """
+    who = carrier.select("chrom", "site_id", "sample_id", "phase", "gt1", "gt2")
+    where = coord.select("chrom", "sample_id", "edit_key", "shift")
+    return (
+        marking.join(who, ["chrom", "site_id"])
+        .join(where, ["chrom", "sample_id", "edit_key"])
+        .withColumn("index", F.col("lo") + F.col("shift")).drop("edit_key", "lo", "shift")
+    )

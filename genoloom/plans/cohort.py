@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..grid import DEFAULT_WIDTH
 from ..operators import classes, graph, segments as seg, sequence, variants
 from ..operators.asof import surrounding_marks
+from ..operators.coords import paths
 from ..operators.requests import check_columns
 from ..schema import RELATIONS
 from ..sources import overlay
@@ -32,6 +33,11 @@ class Cohort:
             return relations[name]
         raise AttributeError(name)
 
+    @property
+    def path(self) -> DataFrame:
+        """The variants on each sample's path."""
+        return paths(self.relations["coord"])
+
     # -- building and storing -------------------------------------------------
 
     @classmethod
@@ -81,13 +87,13 @@ class Cohort:
         """Sequence of a sample for a window in reference coordinates."""
         check_columns(requests, ["region_id", "chrom", "x", "y", "sample_id"])
         return sequence.sample_sequence_ref(
-            requests, self.coord, self.ref_chunk, self.contig, self.width)
+            requests, self.path, self.ref_chunk, self.contig, self.width)
 
     def sample_sequence_sample(self, requests: DataFrame) -> DataFrame:
         """Sequence of a sample for a window in its own coordinates."""
         check_columns(requests, ["region_id", "chrom", "x", "y", "sample_id"])
         return sequence.sample_sequence_sample(
-            requests, self.coord, self.ref_chunk, self.contig, self.width)
+            requests, self.path, self.ref_chunk, self.contig, self.width)
 
     def sample_path(self, names: DataFrame) -> DataFrame:
         """Whole sequences of ``(chrom, sample_id)`` rows, one row per grid cell."""
@@ -95,7 +101,7 @@ class Cohort:
             F.col("sample_id").alias("region_id"), "chrom", "sample_id",
             F.lit(1).cast("long").alias("x"), (F.col("length") + 1).alias("y"))
         return sequence.sample_sequence_pieces(
-            whole, self.coord, self.ref_chunk, self.contig, self.width)
+            whole, self.path, self.ref_chunk, self.contig, self.width)
 
     def sample_variants_ref(self, requests: DataFrame) -> DataFrame:
         """A sample's variants in reference coordinates, a row per carrier of each."""
@@ -106,7 +112,7 @@ class Cohort:
     def sample_variants_sample(self, requests: DataFrame) -> DataFrame:
         """A sample's variants in its own coordinates, a row per carrier of each."""
         check_columns(requests, ["region_id", "chrom", "x", "y", "sample_id"])
-        found = variants.sample_variants_in_sample(self.coord, requests, self.width)
+        found = variants.sample_variants_in_sample(self.path, requests, self.width)
         return variants.all_carriers_of(found, self.carrier, self.sample)
 
     def variants_in_ref(self, regions: DataFrame) -> DataFrame:
@@ -135,10 +141,10 @@ class Cohort:
         """Add the site of the sample's last path variant before each probe ``at``
         (``probes`` has ``chrom, sample_id, at``)."""
         by = ["chrom", "sample_id"]
-        marks = self.coord.select(*by, F.col("pos").alias("mark"))
+        marks = self.path.select(*by, F.col("pos").alias("mark"))
         asked = probes.withColumn("_before", F.col("at") - 1)
         near = surrounding_marks(asked, marks, probe="_before", by=by, width=self.width)
-        at_pos = self.coord.groupBy(*by, F.col("pos").alias("mark_before")).agg(
+        at_pos = self.path.groupBy(*by, F.col("pos").alias("mark_before")).agg(
             F.max(F.struct("edit_key", "site_id", "sample_pos")).alias("v"))
         return near.drop("mark_after").join(at_pos, [*by, "mark_before"], "left").select(
             *probes.columns, F.col("mark_before").alias("pos"), "v.site_id", "v.sample_pos")
@@ -148,9 +154,9 @@ class Cohort:
         carry ``sample_id``, around the vertex of that sample's variant before ``at``."""
         if "sample_id" in roots.columns:
             prev = self.previous_vertex_with_sample(roots)
-            marks = seg.segment_samples(self.site, self.coord, self.contig).select(
-                "chrom", "sample_id", "site_id", "seg_id")
-            start = prev.join(marks, ["chrom", "sample_id", "site_id"], "left").select(
+            marking = seg.segment_sites(self.site, self.contig).select(
+                "chrom", "site_id", "seg_id")
+            start = prev.join(marking, ["chrom", "site_id"], "left").select(
                 "root", "chrom", F.coalesce("seg_id", seg.ref_segment_id(F.lit(1).cast("long")))
                 .alias("seg_id"))
         else:
@@ -159,15 +165,27 @@ class Cohort:
 
     def dot(self, roots: DataFrame, radius: int) -> DataFrame:
         """DOT lines of the neighbourhood of each root."""
-        marks = seg.segment_samples(self.site, self.coord, self.contig)
-        return graph.dot_lines(
-            self.subgraph(roots, radius), self.segment, self.edge, marks, self.sample)
+        return self._drawn(self.subgraph(roots, radius))
 
     def whole_dot(self) -> DataFrame:
         """DOT lines of the whole graph; no search is needed."""
         every = self.segment.select(F.lit(0).cast("long").alias("root"), "chrom", "seg_id")
-        marks = seg.segment_samples(self.site, self.coord, self.contig)
-        return graph.dot_lines(every, self.segment, self.edge, marks, self.sample)
+        return self._drawn(every)
+
+    def _drawn(self, found: DataFrame) -> DataFrame:
+        marking = seg.segment_sites(self.site, self.contig)
+        return graph.dot_lines(found, self.segment, self.edge, marking, self.carrier, self.coord,
+                               self.sample)
+
+    def marks(self) -> DataFrame:
+        """Every segment with each of its samples."""
+        return seg.segment_samples(
+            seg.segment_sites(self.site, self.contig), self.carrier, self.coord)
+
+    def vertex_info(self) -> DataFrame:
+        """Text about every vertex, its class and carriers."""
+        return graph.vertex_info(
+            self.segment, self.marks(), classes.sample_classes(self.carrier), self.sample)
 
     # -- summary -------------------------------------------------------------
 

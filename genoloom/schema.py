@@ -28,7 +28,8 @@ CARRIER = _struct(
 )
 COORD = _struct(
     ("chrom", _S), ("sample_id", _L), ("site_id", _L), ("pos", _L), ("kind", _S), ("ref", _S),
-    ("alt", _S), ("delta", _L), ("lo", _L), ("hi", _L), ("edit_key", _L), ("shift", _L), ("sample_pos", _L),
+    ("alt", _S), ("delta", _L), ("lo", _L), ("hi", _L), ("edit_key", _L),
+    ("on_path", _B), ("shift", _L), ("sample_pos", _L),
 )
 SEGMENT = _struct(
     ("chrom", _S), ("seg_id", _L), ("kind", _S), ("ref_start", _L), ("ref_end", _L),
