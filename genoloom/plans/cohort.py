@@ -67,6 +67,10 @@ class Cohort:
     def load(cls, spark: SparkSession, path: str, width: int = DEFAULT_WIDTH) -> Cohort:
         return cls({n: read_relation(spark, path, n) for n in RELATIONS}, width)
 
+    def cached(self) -> Cohort:
+        """Keep the relations in executor memory, spilling to disk, for many small batches."""
+        return Cohort({n: df.persist() for n, df in self.relations.items()}, self.width)
+
     # -- requests ------------------------------------------------------------
 
     def with_sample(self, regions: DataFrame, name: str) -> DataFrame:
@@ -126,6 +130,10 @@ class Cohort:
         check_columns(asked, ["query_id", "chrom", "pos", "ref", "alt"])
         return variants.samples_with_variant(self.site, self.carrier, self.sample, asked)
 
+    def with_carriers(self, found: DataFrame) -> DataFrame:
+        """A row per carrier of found variants ``(…, chrom, site_id, …)``."""
+        return variants.all_carriers_of(found, self.carrier, self.sample)
+
     # -- graph ---------------------------------------------------------------
 
     def vertex_at(self, probes: DataFrame) -> DataFrame:
