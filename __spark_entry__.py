@@ -472,7 +472,7 @@ def vcf_text_parse(spark, d):
     line = F.concat_ws("\t", F.lit("chrx"), F.col("pos").cast("string"), F.lit("."), "ref", "alt",
                        F.lit("99"), F.lit("."), F.lit("NS=1"), F.lit("DP:GT"), F.concat(F.lit("7:"), gt))
     lines = raw.select(F.col("sample_id").cast("string").alias("file"), line.alias("line"))
-    calls = vcf.on_contig(vcf.carrier_calls(vcf.parse_records(lines)), overlay.contig(spark, d))
+    calls = vcf.on_contig(vcf.carrier_calls(vcf.parse_records(lines)).drop("name"), overlay.contig(spark, d))
     return _bits(calls.select(
         "chrom", "pos", "ref", "alt", F.col("file").cast("long").alias("sample_id"), "phase", "gt1",
         "gt2"), "phase", "gt1", "gt2")

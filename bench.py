@@ -40,7 +40,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "4")
     spark = get_session("bench", **{
         "spark.master": f"local[{cpus}]", "spark.sql.shuffle.partitions": cpus,
-        "spark.driver.memory": os.environ.get("BENCH_MEMORY", "5g"), "spark.ui.enabled": "false"})
+        "spark.driver.memory": os.environ.get("BENCH_MEMORY", "5g"), "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     store = tempfile.mkdtemp(prefix="bench-store-", dir="/tmp")
     times: dict[str, float] = {}

@@ -35,6 +35,24 @@ def points_in_ranges(
     return joined.where((F.col(pos) >= F.col(lo)) & (F.col(pos) < F.col(hi))).drop("_cell")
 
 
+def points_in_cells(
+    points: DataFrame,
+    requests: DataFrame,
+    *,
+    pos: str = "pos",
+    lo: str = "x",
+    hi: str = "y",
+    by: Sequence[str] = ("chrom",),
+    width: int = DEFAULT_WIDTH,
+) -> DataFrame:
+    """The points in some cell a request touches, each once: a cut ahead of a join."""
+    prof = profile(requests, lo, hi, width)
+    wanted = cells_of_requests(requests.select(*by, lo, hi), lo, hi, width).select(
+        *by, "_cell").distinct()
+    near = within_hull(points, pos, requests, lo, hi, prof).withColumn("_cell", cell_of(pos, width))
+    return near.join(sized(wanted, prof.broadcastable), [*by, "_cell"], "left_semi").drop("_cell")
+
+
 def intervals_in_ranges(
     intervals: DataFrame,
     requests: DataFrame,

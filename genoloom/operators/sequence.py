@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import DEFAULT_WIDTH, cell_of, cell_start
+from ..session import cut_lineage
 from .asof import surrounding_marks
-from .requests import BROADCAST_ROWS, profile, sized
+from .requests import BROADCAST_ROWS, Profile, profile, sized
 
 TILE = ["chrom", "sample_id", "cell"]
 REQUEST = ["region_id", "chrom", "sample_id"]
@@ -42,15 +43,19 @@ def edits_of(coord: DataFrame) -> DataFrame:
     ).select("chrom", "sample_id", "shift", "e.lo", "e.hi", "e.alt", "e.key")
 
 
-def edit_tiles(coord: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def edit_tiles(coord: DataFrame, wanted: DataFrame | None = None,
+               width: int = DEFAULT_WIDTH) -> DataFrame:
     """A sample's edits per cell, in path order.  An edit reaching over several cells is
-    listed in each; its ALT bases belong to the first."""
+    listed in each; its ALT bases belong to the first.  ``wanted`` cells cut the edits
+    before they are gathered."""
     spread = edits_of(coord).withColumn(
         "cell", F.explode(F.sequence(cell_of("lo", width),
                                      cell_of(F.greatest("lo", "hi"), width))))
     entry = F.struct(
         "key", "lo", "hi",
         F.when(F.col("cell") == cell_of("lo", width), F.col("alt")).otherwise("").alias("alt"))
+    if wanted is not None:
+        spread = spread.join(wanted, TILE, "left_semi")
     return spread.groupBy(*TILE).agg(F.sort_array(F.collect_list(entry)).alias("edits"))
 
 
@@ -79,22 +84,21 @@ def _splice(bases: Column, start: Column, a: Column, b: Column, edits: Column,
 
 
 def _assemble(spans: DataFrame, coord: DataFrame, ref_chunk: DataFrame, width: int,
-              hull: tuple[int, int] | None, keep: tuple[str, ...] = ()) -> DataFrame:
+              prof: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
     """Spliced pieces ``(region_id, chrom, sample_id, cell, text)`` of spans
     ``(region_id, chrom, sample_id, ref_lo, ref_hi, key_lo, key_hi)``; columns named in
-    ``keep`` come along.
-
-    ``hull`` bounds the reference positions of all spans when they are known.
+    ``keep`` come along.  ``prof`` counts the spans' cells and bounds their positions.
     """
     last = F.greatest("ref_hi", F.call_function("div", F.col("key_hi"), F.lit(2)))
     cells = spans.withColumn("_last", last).where(F.col("ref_lo") <= F.col("_last")).withColumn(
         "cell", F.explode(F.sequence(cell_of("ref_lo", width), cell_of("_last", width)))
     ).drop("_last")
     source, chunk = coord, ref_chunk
-    if hull is not None:
-        low, high = hull
-        source = source.where((F.col("hi") >= low - 1) & (F.col("lo") <= high))
-        chunk = chunk.where((F.col("start") > low - width) & (F.col("start") <= high))
+    if prof.rows:
+        source = source.where((F.col("hi") >= prof.low - 1) & (F.col("lo") <= prof.high + 1))
+        chunk = chunk.where(
+            (F.col("start") > prof.low - width) & (F.col("start") <= prof.high + 1))
+    tiles = edit_tiles(source, sized(cells.select(*TILE).distinct(), prof.broadcastable), width)
     first = cell_start(F.col("cell"), width)
     a = F.greatest(first, F.col("ref_lo"))
     b = F.least(first + width - 1, F.col("ref_hi"))
@@ -104,7 +108,7 @@ def _assemble(spans: DataFrame, coord: DataFrame, ref_chunk: DataFrame, width: i
         (e["key"] >= F.col("key_lo")) | (e["hi"] >= F.col("ref_lo"))))
     text = _splice(F.coalesce("bases", F.lit("")), first, a, b, wanted, F.col("key_lo"))
     return (
-        cells.join(edit_tiles(source, width), TILE, "left")
+        cells.join(tiles, TILE, "left")
         .join(chunk.select("chrom", "cell", "bases"), ["chrom", "cell"], "left")
         .select(*REQUEST, *keep, "cell", text.alias("text"))
     )
@@ -134,9 +138,8 @@ def sample_sequence_pieces(requests: DataFrame, coord: DataFrame, ref_chunk: Dat
     """The sample's bases for reference window ``[x, y)``, one row per cell; the rows in
     cell order spell the sequence.  For windows as long as a contig."""
     prof = profile(requests, "x", "y", width)
-    hull = (prof.low, prof.high + 1) if prof.rows else None
     mine = of_asked_samples(coord, requests, prof.rows <= BROADCAST_ROWS)
-    return _assemble(_ref_spans(requests, contig), mine, ref_chunk, width, hull)
+    return _assemble(_ref_spans(requests, contig), mine, ref_chunk, width, prof)
 
 
 def sample_sequence_ref(requests: DataFrame, coord: DataFrame, ref_chunk: DataFrame,
@@ -197,9 +200,13 @@ def sample_sequence_sample(requests: DataFrame, coord: DataFrame, ref_chunk: Dat
     """The sample's bases for window ``[x, y)`` of its own coordinates."""
     few = profile(requests, "x", "y", width).rows <= BROADCAST_ROWS
     mine = of_asked_samples(coord, requests, few)
-    spans = _sample_spans(requests, mine, contig, width)
+    # One short row per request, written out: it is read several times below, and only
+    # now are the reference cells to be fetched known.
+    spans = cut_lineage(_sample_spans(requests, mine, contig, width))
+    last = F.greatest("ref_hi", F.call_function("div", F.col("key_hi"), F.lit(2)))
+    prof = profile(spans.withColumn("_end", last + 1), "ref_lo", "_end", width)
     cut = ("skip", "take")
-    whole = _join_pieces(_assemble(spans, mine, ref_chunk, width, None, cut), cut)
+    whole = _join_pieces(_assemble(spans, mine, ref_chunk, width, prof, cut), cut)
     return whole.select(
         *REQUEST,
         F.substring(F.col("sequence"), (F.col("skip") + 1).cast("int"),

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import phasing, trimmed
 from ..grid import DEFAULT_WIDTH
 from .asof import nearest_mark
-from .ranges import points_in_ranges
-from .requests import keys_of, profile, sized, within_hull
+from .ranges import points_in_cells, points_in_ranges
+from .requests import BROADCAST_ROWS, keys_of, sized
 
 # A variant's samples are listed in parts of at most this many, so that a variant
 # all samples of a huge cohort carry is not one row.
@@ -68,9 +68,7 @@ def sample_variants_in_ref(site: DataFrame, carrier: DataFrame, requests: DataFr
         carrier.select("chrom", "sample_id", "site_id", "pos"),
         requests.select(*REGION, "sample_id"), by=["chrom", "sample_id"], width=width,
     ).select("region_id", "chrom", "sample_id", "site_id")
-    prof = profile(requests, "x", "y", width)
-    facts = within_hull(site, "pos", requests, "x", "y", prof).select(
-        "chrom", "site_id", *SITE_FACTS)
+    facts = points_in_cells(site, requests, width=width).select("chrom", "site_id", *SITE_FACTS)
     return mine.join(facts, ["chrom", "site_id"])
 
 
@@ -84,14 +82,37 @@ def sample_variants_in_sample(coord: DataFrame, requests: DataFrame,
     ).select("region_id", "chrom", "sample_id", "site_id", "sample_pos", *SITE_FACTS)
 
 
-def all_carriers_of(found: DataFrame, carrier: DataFrame, sample: DataFrame) -> DataFrame:
-    """Attach every carrier to found variants; ``sample_id`` names the asking sample and
-    the carriers come out as ``carrier_id, name, phasing``."""
+def _attach(found: DataFrame, carrier: DataFrame, sample: DataFrame) -> DataFrame:
     full = carrier.select("chrom", "site_id", "sample_id", "phase", "gt1", "gt2")
     asked = found.withColumnRenamed("sample_id", "asked_id")
     return with_phasing(asked.join(full, ["chrom", "site_id"]), sample)
 
 
+def all_carriers_of(found: DataFrame, carrier: DataFrame, sample: DataFrame) -> DataFrame:
+    """Attach every carrier to found variants ``(…, chrom, site_id, pos)``.
+
+    A sample the variant was found for is kept as ``asked_id``; ``sample_id``, ``name``
+    and ``phasing`` are the carrier's.  The found variants are counted first: when they
+    are few, carriers are cut down where they lie and only hits move.
+    """
+    span = found.agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("low"),
+                     F.max("pos").alias("high")).first()
+    if span["n"] == 0:
+        return _attach(found, carrier.limit(0), sample)
+    near = carrier.where(F.col("pos").between(span["low"], span["high"]))
+    sites = found.select("chrom", "site_id").distinct()
+    few = span["n"] <= BROADCAST_ROWS
+    return _attach(found, near.join(sized(sites, few), ["chrom", "site_id"], "left_semi")
+                   if few else near, sample)
+
+
+def carriers_of_regions(found: DataFrame, carrier: DataFrame, sample: DataFrame,
+                        regions: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """As ``all_carriers_of`` for variants known to lie in ``regions``: their cells do the
+    cutting, so nothing has to be counted."""
+    return _attach(found, points_in_cells(carrier, regions, width=width), sample)
+
+
 def closest_variants(site: DataFrame, probes: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """All alleles at the site position nearest each probe ``(query_id, chrom, at)``; a
     tie goes to the lower position."""

@@ -17,9 +17,9 @@ from ..sources.vcf import (
 # How each relation is laid out: folders by contig, files by range of these columns, so
 # that a position or sample filter reads few row groups.
 LAYOUT = {
-    "sample": [], "contig": [], "ref_chunk": ["chrom", "cell"], "site": ["chrom", "pos"],
+    "sample": [], "contig": [], "ref_chunk": ["chrom", "cell"], "site": ["chrom", "pos", "site_id"],
     "carrier": ["chrom", "pos", "sample_id"], "coord": ["chrom", "sample_id", "lo"],
-    "segment": ["chrom", "ref_start"], "edge": ["chrom", "src"],
+    "segment": ["chrom", "ref_start", "seg_id"], "edge": ["chrom", "src", "dst"],
 }
 
 
@@ -39,7 +39,9 @@ def read_relation(spark: SparkSession, path: str, name: str) -> DataFrame:
     from ..schema import RELATIONS
 
     schema = RELATIONS[name]
-    return spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.names)
+    df = spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.names)
+    # Contig lengths meet every relation on the contig alone, the worst key to shuffle on.
+    return sized(df, keys_of(df)) if name == "contig" else df
 
 
 def derived(site: DataFrame, carrier: DataFrame, contig: DataFrame,
@@ -56,7 +58,7 @@ def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aw
               width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
     """Read, check, normalise and store a cohort under ``path``, a folder all executors share.
 
-    Calls are written first: the record order they are numbered by must be fixed
+    Calls and headers are written first, in one pass over the text: the record order they are numbered by must be fixed
     before sites and carriers are both derived from it, and a lost executor then
     rereads a table, not the VCF.
     """
@@ -66,14 +68,13 @@ def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aw
         raise ValueError("reference holds letters other than A, C, G, T, N")
     out["contig"] = write_relation(contigs_of(out["ref_chunk"]), path, "contig")
 
-    columns, raw = read_vcf(spark, vcf, allele_aware)
+    read_vcf(spark, vcf, allele_aware).write.mode("overwrite").parquet(f"{path}/calls")
+    columns, raw = stored_calls(spark, path)
     out["sample"] = write_relation(sample_dictionary(columns), path, "sample")
     ids = columns.join(out["sample"], "name").select("file", "col", "sample_id")
-    matched = on_contig(raw, out["contig"])
-    # A header is as long as the cohort; its ids are joined before the rows are stored.
-    matched.join(sized(ids, keys_of(ids)), ["file", "col"]).drop("file", "col").write.mode("overwrite").parquet(
-        f"{path}/calls")
-    calls = spark.read.parquet(f"{path}/calls")
+    # A header is as long as the cohort; more files than fit a broadcast are merged instead.
+    calls = on_contig(raw, out["contig"]).join(
+        sized(ids, keys_of(ids)), ["file", "col"]).drop("file", "col")
 
     alleles = calls.select("ord", "chrom", "pos", "ref", "alt").distinct()
     bad = mismatched(alleles, out["contig"], out["ref_chunk"], width)
@@ -86,10 +87,17 @@ def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aw
     return out
 
 
+def stored_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Sample columns and carrier calls of the table ``construct`` writes first."""
+    both = spark.read.parquet(f"{path}/calls")
+    named = F.col("name").isNotNull()
+    return both.where(named).select("file", "col", "name"), both.where(~named).drop("name")
+
+
 def rejected_alleles(spark: SparkSession, path: str, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Alleles of a stored cohort's calls that failed the reference check, for the log."""
-    calls = spark.read.parquet(f"{path}/calls")
-    alleles = calls.select("ord", "chrom", "pos", "ref", "alt").distinct()
-    bad = mismatched(alleles, read_relation(spark, path, "contig"),
-                     read_relation(spark, path, "ref_chunk"), width)
+    _, raw = stored_calls(spark, path)
+    contig = read_relation(spark, path, "contig")
+    alleles = on_contig(raw.select("ord", "chrom", "pos", "ref", "alt").distinct(), contig)
+    bad = mismatched(alleles, contig, read_relation(spark, path, "ref_chunk"), width)
     return alleles.join(bad, "ord", "left_semi")

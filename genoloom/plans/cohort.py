@@ -111,7 +111,8 @@ class Cohort:
         """A sample's variants in reference coordinates, a row per carrier of each."""
         check_columns(requests, ["region_id", "chrom", "x", "y", "sample_id"])
         found = variants.sample_variants_in_ref(self.site, self.carrier, requests, self.width)
-        return variants.all_carriers_of(found, self.carrier, self.sample)
+        return variants.carriers_of_regions(
+            found, self.carrier, self.sample, requests, self.width)
 
     def sample_variants_sample(self, requests: DataFrame) -> DataFrame:
         """A sample's variants in its own coordinates, a row per carrier of each."""

@@ -28,8 +28,9 @@ def ref_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("length")).select(
-        F.lit(CHROM).alias("chrom"), "length")
+    """The one contig and its length: one row, so it may always be broadcast."""
+    return F.broadcast(_table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("length")).select(
+        F.lit(CHROM).alias("chrom"), "length"))
 
 
 def ref_chunk(spark: SparkSession, sf_dir: str, width: int = DEFAULT_WIDTH) -> DataFrame:

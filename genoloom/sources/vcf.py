@@ -12,18 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import carried_alleles, edit_key, first_base, is_plain_alt, last_base, trimmed
 from ..grid import DEFAULT_WIDTH, cell_of, cell_start
+from ..operators.requests import keys_of, sized
 from .fasta import read_lines
 
-# Fixed value: the columns of a VCF line ahead of the samples.
+# How the header line begins, and the columns ahead of the samples.
+HEADER = "#CHROM"
 LEADING = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
-
-
-def sample_columns(lines: DataFrame) -> DataFrame:
-    """``(file, col, name)`` of every sample column in the header lines."""
-    names = F.slice(F.split("line", "\t"), len(LEADING) + 1, F.greatest(
-        F.size(F.split("line", "\t")) - len(LEADING), F.lit(0)))
-    return lines.where(F.col("line").startswith("#CHROM")).select(
-        "file", F.posexplode(names).alias("col", "name"))
+# Genotypes that carry nothing.
+REFERENCE_CALLS = ["0|0", "0/0", "0", ".", "./.", ".|."]
 
 
 def sample_dictionary(columns: DataFrame) -> DataFrame:
@@ -42,52 +38,66 @@ def info_map(info: Column) -> Column:
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
-    """One row per record and ALT: ``file, ord, chrom, pos, ref, alt, ordinal, info, format, gts``.
+    """One row per record and ALT: ``file, ord, chrom, pos, ref, alt, ordinal, info, format,
+    cells``; the header line comes along as a record whose cells are the sample names.
 
     ``ord`` grows along a file and is unique per ALT, so the smallest one names a
     merged site.  It must be taken once and stored, see ``plans.build``.
     """
-    cols = F.split("line", "\t")
-    record = lines.where(~F.col("line").startswith("#") & (F.trim("line") != "")).select(
-        "file", cols.alias("c"))
+    header = F.col("line").startswith(HEADER)
+    record = lines.where(header | (~F.col("line").startswith("#") & (F.trim("line") != ""))).select(
+        "file", F.split("line", "\t").alias("c"))
     alts = F.posexplode(F.split(F.col("c").getItem(4), ","))
     return record.select("file", "c", alts.alias("ordinal", "alt")).select(
         "file", F.monotonically_increasing_id().alias("ord"),
-        F.col("c").getItem(0).alias("chrom"), F.col("c").getItem(1).cast("long").alias("pos"),
+        F.col("c").getItem(0).alias("chrom"), F.col("c").getItem(1).try_cast("long").alias("pos"),
         F.col("c").getItem(3).alias("ref"), "alt", (F.col("ordinal") + 1).alias("ordinal"),
-        F.col("c").getItem(7).alias("info"), F.col("c").getItem(8).alias("format"),
-        F.slice("c", len(LEADING) + 1, F.greatest(F.size("c") - len(LEADING), F.lit(0))).alias("gts"))
+        F.col("c").getItem(7).alias("info"), F.try_element_at("c", F.lit(9)).alias("format"),
+        F.slice("c", len(LEADING) + 1, F.greatest(F.size("c") - len(LEADING), F.lit(0))).alias("cells"))
 
 
 def carrier_calls(records: DataFrame, allele_aware: bool = True) -> DataFrame:
-    """``(file, ord, chrom, pos, ref, alt, col, phase, gt1, gt2)`` per carrier of a plain ALT."""
+    """``(file, ord, chrom, pos, ref, alt, col, phase, gt1, gt2, name)`` per carrier of a
+    plain ALT, and per sample column of a header with ``name`` set.
+
+    Most genotypes are reference calls; they are told by plain comparison and dropped
+    before any is decoded.
+    """
+    header = F.col("chrom") == HEADER
     at = F.array_position(F.split("format", ":"), "GT").cast("int")
-    decoded = F.transform("gts", lambda text, i: F.struct(
-        i.alias("col"),
-        carried_alleles(F.try_element_at(F.split(text, ":"), at), F.col("ordinal"),
-                        allele_aware).alias("g")))
-    carrying = F.filter(decoded, lambda e: e["g"]["gt1"] | e["g"]["gt2"])
+    genotype = lambda text: F.when(at == 1, F.substring_index(text, ":", 1)).otherwise(
+        F.try_element_at(F.split(text, ":"), at))
+    numbered = F.transform("cells", lambda text, i: F.struct(
+        i.alias("col"), F.when(header, text).otherwise(genotype(text)).alias("text")))
+    open_calls = F.filter(numbered, lambda e: header | ~e["text"].isin(*REFERENCE_CALLS))
+    decoded = F.transform(open_calls, lambda e: F.struct(
+        e["col"].alias("col"), F.when(header, e["text"]).alias("name"),
+        carried_alleles(e["text"], F.col("ordinal"), allele_aware).alias("g")))
+    carrying = F.filter(decoded, lambda e: header | e["g"]["gt1"] | e["g"]["gt2"])
     return (
-        records.where(is_plain_alt(F.col("alt")) & (at > 0))
+        records.where(header | (is_plain_alt(F.col("alt")) & (at > 0)))
         .select("file", "ord", "chrom", "pos", "ref", "alt", F.explode(carrying).alias("e"))
         .select("file", "ord", "chrom", "pos", "ref", "alt", "e.col", "e.g.phase", "e.g.gt1",
-                "e.g.gt2")
+                "e.g.gt2", "e.name")
     )
 
 
-def read_vcf(spark: SparkSession, path: str, allele_aware: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(sample_columns, carrier_calls)`` of a VCF file or folder; ``.gz`` is unpacked."""
-    lines = read_lines(spark, path)
-    return sample_columns(lines), carrier_calls(parse_records(lines), allele_aware)
+def read_vcf(spark: SparkSession, path: str, allele_aware: bool = True) -> DataFrame:
+    """Carrier calls and sample columns of a VCF file or folder in one pass over the text;
+    ``.gz`` is unpacked."""
+    return carrier_calls(parse_records(read_lines(spark, path)), allele_aware)
 
 
 def on_contig(alleles: DataFrame, contig: DataFrame) -> DataFrame:
-    """Rename each row's contig to the stored one it matches; drop rows that match none."""
-    stored = contig.select(F.col("chrom").alias("stored"))
-    names = F.array_distinct(F.array("chrom", F.substring("chrom", 4, 1 << 30)))
-    tried = alleles.select("*", F.posexplode(names).alias("_try", "stored"))
-    return tried.join(F.broadcast(stored), "stored").drop("chrom", "_try").withColumnRenamed(
-        "stored", "chrom").select(*alleles.columns)
+    """Rename each row's contig to the stored one it matches, an equal name ahead of one
+    equal without its prefix; drop rows that match none."""
+    few = keys_of(contig)
+    same = sized(contig.select("chrom", F.col("chrom").alias("_same")), few)
+    bare = sized(contig.select(F.col("chrom").alias("_cut"), F.col("chrom").alias("_bare")), few)
+    told = alleles.join(same, "chrom", "left").withColumn(
+        "_cut", F.substring("chrom", 4, 1 << 30)).join(bare, "_cut", "left")
+    name = F.coalesce("_same", "_bare")
+    return told.where(name.isNotNull()).withColumn("chrom", name).select(*alleles.columns)
 
 
 def mismatched(alleles: DataFrame, contig: DataFrame, ref_chunk: DataFrame,
