@@ -53,7 +53,7 @@ def _cohort(spark: SparkSession, d: str, *staged: str) -> Cohort:
     for name in staged:
         key = (spark.sparkContext.applicationId, d, name)
         if key not in _staged:
-            _staged[key] = cut_lineage(c.relations[name])
+            _staged[key] = cut_lineage(getattr(c, name))
         c.relations[name] = _staged[key]
     return c
 

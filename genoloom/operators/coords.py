@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import DEFAULT_WIDTH, cell_of
+from ..session import cut_lineage
 from .overlap import overlapped_edits
+from .requests import keys_of, sized
 from .scan import ordered_scan
 
 PATH = ["chrom", "sample_id"]
@@ -31,10 +33,12 @@ def sample_coordinates(site: DataFrame, carrier: DataFrame,
     ``on_path`` tells those the sample's path takes.  ``shift`` is the summed length
     change of the earlier variants on the path; ``sample_pos`` is ``pos + shift``.
     """
-    candidates = path_candidates(site, carrier, width)
-    lost = overlapped_edits(candidates, width).withColumn("_lost", F.lit(True))
-    told = candidates.join(lost, [*PATH, "_cell", "edit_key"], "left").withColumn(
-        "on_path", F.col("_lost").isNull())
+    # Both are read several times below; the second is small unless most variants overlap.
+    candidates = cut_lineage(path_candidates(site, carrier, width))
+    lost = cut_lineage(overlapped_edits(candidates, width)).withColumn("_lost", F.lit(True))
+    told = candidates.join(
+        sized(lost, keys_of(lost)), [*PATH, "_cell", "edit_key"], "left"
+    ).withColumn("on_path", F.col("_lost").isNull())
     change = F.when(F.col("on_path"), F.col("delta")).otherwise(F.lit(0))
     placed = ordered_scan(told, PATH, "_cell", ["edit_key"], shift=("sum_before", change))
     return placed.select(

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import DEFAULT_WIDTH, cell_start
+from ..session import cut_lineage
 from .scan import ordered_scan
 
 PATH = ["chrom", "sample_id"]
@@ -89,13 +90,14 @@ def overlapped_edits(candidates: DataFrame, width: int = DEFAULT_WIDTH) -> DataF
         reach=("max_before", F.col("hi")), next_lo=("next", F.col("lo")),
     )
     leads = F.col("reach").isNull() | (F.col("lo") > F.col("reach"))
-    touching = scanned.where(~leads | (F.col("next_lo") <= F.col("hi")))
+    # Few rows as a rule, and read many times below.
+    touching = cut_lineage(scanned.where(~leads | (F.col("next_lo") <= F.col("hi"))))
     runs = ordered_scan(
         touching.withColumn("_lead", F.when(leads, F.col("lo"))), PATH, "_cell", ["edit_key"],
         lead_before=("max_before", F.col("_lead")),
     ).withColumn("_run", F.coalesce("_lead", "lead_before"))
-    groups = runs.groupBy(*RUN, "_cell").agg(
-        F.sort_array(F.collect_list(F.struct("edit_key", "lo", "hi"))).alias("edits"))
+    groups = cut_lineage(runs.groupBy(*RUN, "_cell").agg(
+        F.sort_array(F.collect_list(F.struct("edit_key", "lo", "hi"))).alias("edits")))
 
     cell_end = cell_start(F.col("_cell") + 1, width) - 1
     starts = (

@@ -32,15 +32,15 @@ def ordered_scan(
     * ``min_after``: smallest value of later rows, null if none
     * ``previous`` / ``next``: value of the neighbouring row, null at the ends
 
-    ``cell`` must not decrease along ``order``.  Values of ``previous`` and
-    ``next`` must not be null.
+    ``cell`` must not decrease along ``order``, nor may the values of ``previous`` and
+    ``next``, which must not be null either.  ``df`` is read twice, in full for the
+    rows and by its keys and values for the cell summaries; an expensive one is best
+    written out first.
     """
     keys = [*by, cell]
-    part = df.repartition(*keys)
     inside = Window.partitionBy(*keys).orderBy(*order)
     across = Window.partitionBy(*by).orderBy(cell)
     before, after = (_FIRST, -1), (1, _LAST)
-    place = F.struct(*[F.col(c) for c in order])
 
     local: dict[str, Column] = {}
     totals: list[Column] = []
@@ -66,17 +66,17 @@ def ordered_scan(
             combine[name] = F.least(F.col(here), F.col(carry))
         elif kind == "previous":
             local[here] = F.lag(value, 1).over(inside)
-            totals.append(F.max_by(value, place).alias(total))
+            totals.append(F.max(value).alias(total))
             carried.append(F.lag(total, 1).over(across).alias(carry))
             combine[name] = F.coalesce(F.col(here), F.col(carry))
         elif kind == "next":
             local[here] = F.lead(value, 1).over(inside)
-            totals.append(F.min_by(value, place).alias(total))
+            totals.append(F.min(value).alias(total))
             carried.append(F.lead(total, 1).over(across).alias(carry))
             combine[name] = F.coalesce(F.col(here), F.col(carry))
         else:
             raise ValueError(f"unknown scan kind: {kind}")
 
-    carry_in = part.groupBy(*keys).agg(*totals).select(*keys, *carried)
-    scanned = part.select("*", *[c.alias(n) for n, c in local.items()]).join(carry_in, keys)
+    carry_in = df.groupBy(*keys).agg(*totals).select(*keys, *carried)
+    scanned = df.select("*", *[c.alias(n) for n, c in local.items()]).join(carry_in, keys)
     return scanned.select(*df.columns, *[c.alias(n) for n, c in combine.items()])

@@ -54,9 +54,9 @@ def ref_segments(site: DataFrame, contig: DataFrame, width: int = DEFAULT_WIDTH)
     )
 
 
-def segments(site: DataFrame, contig: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def segments(site: DataFrame, ref_segment: DataFrame) -> DataFrame:
     """Reference and ALT segments in one relation (schema ``SEGMENT``)."""
-    ref = ref_segments(site, contig, width).select(
+    ref = ref_segment.select(
         "chrom", "seg_id", F.lit("REF").alias("kind"), "ref_start", "ref_end",
         (F.col("ref_end") - F.col("ref_start") + 1).alias("length"),
         F.lit(None).cast("string").alias("seq"), F.lit(None).cast("long").alias("site_id"),
@@ -69,18 +69,17 @@ def segments(site: DataFrame, contig: DataFrame, width: int = DEFAULT_WIDTH) ->
     return ref.unionByName(alt)
 
 
-def edges(site: DataFrame, contig: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def edges(site: DataFrame, contig: DataFrame, ref_segment: DataFrame) -> DataFrame:
     """``(chrom, src, dst)``: along the reference, and around it through each site.
 
     A site enters from the segment ending just before its first base and leaves
     to the segment starting after its last; the latter's id follows from the
     position, only the former is looked up.
     """
-    ref = ref_segments(site, contig, width)
-    along = ref.where(F.col("next_start").isNotNull()).select(
+    along = ref_segment.where(F.col("next_start").isNotNull()).select(
         "chrom", F.col("seg_id").alias("src"),
         ref_segment_id(F.col("next_start")).alias("dst"))
-    ends = ref.select("chrom", (F.col("ref_end") + 1).alias("lo"), F.col("seg_id").alias("from_id"))
+    ends = ref_segment.select("chrom", (F.col("ref_end") + 1).alias("lo"), F.col("seg_id").alias("from_id"))
     placed = site.select("chrom", "site_id", "alt", "lo", "hi").join(
         ends, ["chrom", "lo"], "left").join(contig, "chrom")
     via = F.when(F.col("alt") != "", alt_segment_id(F.col("site_id")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phasing, trimmed
 from ..grid import DEFAULT_WIDTH
+from ..session import cut_lineage
 from .asof import nearest_mark
 from .ranges import points_in_cells, points_in_ranges
 from .requests import BROADCAST_ROWS, keys_of, sized
@@ -92,18 +93,19 @@ def all_carriers_of(found: DataFrame, carrier: DataFrame, sample: DataFrame) ->
     """Attach every carrier to found variants ``(…, chrom, site_id, pos)``.
 
     A sample the variant was found for is kept as ``asked_id``; ``sample_id``, ``name``
-    and ``phasing`` are the carrier's.  The found variants are counted first: when they
-    are few, carriers are cut down where they lie and only hits move.
+    and ``phasing`` are the carrier's.  The found variants are written out and counted
+    first: when they are few, carriers are cut down where they lie and only hits move.
     """
+    found = cut_lineage(found)
     span = found.agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("low"),
                      F.max("pos").alias("high")).first()
     if span["n"] == 0:
         return _attach(found, carrier.limit(0), sample)
     near = carrier.where(F.col("pos").between(span["low"], span["high"]))
-    sites = found.select("chrom", "site_id").distinct()
-    few = span["n"] <= BROADCAST_ROWS
-    return _attach(found, near.join(sized(sites, few), ["chrom", "site_id"], "left_semi")
-                   if few else near, sample)
+    if span["n"] <= BROADCAST_ROWS:
+        sites = found.select("chrom", "site_id").distinct()
+        near = near.join(F.broadcast(sites), ["chrom", "site_id"], "left_semi")
+    return _attach(found, near, sample)
 
 
 def carriers_of_regions(found: DataFrame, carrier: DataFrame, sample: DataFrame,

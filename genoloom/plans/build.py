@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import DEFAULT_WIDTH
 from ..operators.coords import sample_coordinates
 from ..operators.requests import keys_of, sized
-from ..operators.segments import edges, segments
+from ..operators.segments import edges, ref_segments, segments
+from ..session import cut_lineage
 from ..sources.fasta import contigs_of, read_fasta, unusable_chunks
 from ..sources.vcf import (
     canonical_sites, merged_carriers, mismatched, on_contig, read_vcf, sample_dictionary,
@@ -23,6 +27,9 @@ LAYOUT = {
 }
 
 
+DERIVED = ["coord", "segment", "edge"]
+
+
 def write_relation(df: DataFrame, path: str, name: str) -> DataFrame:
     """Store one relation and return it read back."""
     order = LAYOUT[name]
@@ -35,6 +42,15 @@ def write_relation(df: DataFrame, path: str, name: str) -> DataFrame:
     return read_relation(df.sparkSession, path, name)
 
 
+def write_all(relations: dict[str, Callable[[], DataFrame]], path: str) -> dict[str, DataFrame]:
+    """Store relations that do not depend on each other, their jobs side by side."""
+    def one(item: tuple[str, Callable[[], DataFrame]]) -> DataFrame:
+        return write_relation(item[1](), path, item[0])
+
+    with ThreadPoolExecutor(len(relations)) as pool:
+        return dict(zip(relations, pool.map(one, relations.items())))
+
+
 def read_relation(spark: SparkSession, path: str, name: str) -> DataFrame:
     from ..schema import RELATIONS
 
@@ -44,14 +60,21 @@ def read_relation(spark: SparkSession, path: str, name: str) -> DataFrame:
     return sized(df, keys_of(df)) if name == "contig" else df
 
 
-def derived(site: DataFrame, carrier: DataFrame, contig: DataFrame,
-            width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
-    """Relations that follow from sites, carriers and contig lengths."""
-    return {
-        "coord": sample_coordinates(site, carrier, width),
-        "segment": segments(site, contig, width),
-        "edge": edges(site, contig, width),
-    }
+def derived(of: dict[str, DataFrame], name: str, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """One of the relations that follow from sites, carriers and contig lengths."""
+    if name == "coord":
+        return sample_coordinates(of["site"], of["carrier"], width)
+    ref = ref_segments(of["site"], of["contig"], width)
+    if name == "segment":
+        return segments(of["site"], ref)
+    if name == "edge":
+        return edges(of["site"], of["contig"], cut_lineage(ref))
+    raise KeyError(name)
+
+
+def write_derived(of: dict[str, DataFrame], path: str, width: int = DEFAULT_WIDTH) -> None:
+    """Store the derived relations next to those they are derived from."""
+    of.update(write_all({n: lambda n=n: derived(of, n, width) for n in DERIVED}, path))
 
 
 def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aware: bool = True,
@@ -82,8 +105,7 @@ def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aw
     out["site"] = write_relation(canonical_sites(good), path, "site")
     out["carrier"] = write_relation(
         merged_carriers(calls.join(bad, "ord", "left_anti"), out["site"]), path, "carrier")
-    for name, df in derived(out["site"], out["carrier"], out["contig"], width).items():
-        out[name] = write_relation(df, path, name)
+    write_derived(out, path, width)
     return out
 
 

@@ -12,7 +12,7 @@ from ..operators.coords import paths
 from ..operators.requests import check_columns
 from ..schema import RELATIONS
 from ..sources import overlay
-from .build import construct, derived, read_relation, write_relation
+from .build import DERIVED, construct, derived, read_relation, write_all, write_derived
 
 
 class Cohort:
@@ -28,7 +28,10 @@ class Cohort:
         self.width = width
 
     def __getattr__(self, name: str) -> DataFrame:
+        """A relation by name; a derived one that is not stored is worked out on first use."""
         relations = self.__dict__.get("relations", {})
+        if name in DERIVED and name not in relations:
+            relations[name] = derived(relations, name, self.width)
         if name in relations:
             return relations[name]
         raise AttributeError(name)
@@ -36,7 +39,7 @@ class Cohort:
     @property
     def path(self) -> DataFrame:
         """The variants on each sample's path."""
-        return paths(self.relations["coord"])
+        return paths(self.coord)
 
     # -- building and storing -------------------------------------------------
 
@@ -48,19 +51,17 @@ class Cohort:
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str, width: int = DEFAULT_WIDTH) -> Cohort:
         """The variant view of the benchmark tables, nothing stored."""
-        base = {
+        return cls({
             "sample": overlay.sample(spark, sf_dir), "contig": overlay.contig(spark, sf_dir),
             "ref_chunk": overlay.ref_chunk(spark, sf_dir, width),
             "site": overlay.site(spark, sf_dir), "carrier": overlay.carrier(spark, sf_dir),
-        }
-        return cls({**base, **derived(base["site"], base["carrier"], base["contig"], width)}, width)
+        }, width)
 
     def save(self, path: str) -> Cohort:
         """Store every relation; later ones are derived from the stored earlier ones."""
-        out = {n: write_relation(self.relations[n], path, n)
-               for n in ("sample", "contig", "ref_chunk", "site", "carrier")}
-        for name, df in derived(out["site"], out["carrier"], out["contig"], self.width).items():
-            out[name] = write_relation(df, path, name)
+        given = ("sample", "contig", "ref_chunk", "site", "carrier")
+        out = write_all({n: lambda n=n: self.relations[n] for n in given}, path)
+        write_derived(out, path, self.width)
         return Cohort(out, self.width)
 
     @classmethod
