@@ -165,32 +165,25 @@ def _sample_spans(requests: DataFrame, coord: DataFrame, contig: DataFrame,
     """Sample windows ``[x, y)`` as reference spans, with how much to cut off the front."""
     asked = requests.select("region_id", "chrom", "sample_id", "x", "y").where(
         F.col("x") < F.col("y"))
-    ends = asked.select(
-        "chrom", "sample_id", F.explode(F.array("x", F.col("y") - 1)).alias("at")).distinct()
+    # Both ends of every window are looked up together and brought back to one row.
+    ends = asked.select("*", F.explode(F.array("x", F.col("y") - 1)).alias("at"))
     found = _edit_at(ends, coord, width)
     e, at = F.col("e"), F.col("at")
     past = at - F.col("mark_before") - F.length(e["alt"])
     inside = F.coalesce(past < 0, F.lit(False))
-    zero = F.lit(0).cast("long")
-    placed = found.select(
-        "chrom", "sample_id", "at", inside.alias("inside"),
-        F.when(e.isNull(), at).when(inside, e["lo"]).otherwise(e["hi"] + 1 + past).alias("ref"),
-        F.coalesce(e["key"], zero).alias("key"),
-        F.when(inside, at - F.col("mark_before")).otherwise(zero).alias("skip"),
-    )
-    left = placed.select(
-        "chrom", "sample_id", F.col("at").alias("x"), F.col("ref").alias("ref_lo"),
-        F.when(F.col("inside"), F.col("key")).otherwise(F.col("key") + 1).alias("key_lo"), "skip")
-    right = placed.select(
-        "chrom", "sample_id", F.col("at").alias("_last"),
-        F.when(F.col("inside"), F.col("ref") - 1).otherwise(F.col("ref")).alias("ref_hi"),
-        F.col("key").alias("key_hi"))
+    ref = F.when(e.isNull(), at).when(inside, e["lo"]).otherwise(e["hi"] + 1 + past)
+    key = F.coalesce(e["key"], F.lit(0).cast("long"))
+    left = F.struct(
+        ref.alias("ref_lo"), F.when(inside, key).otherwise(key + 1).alias("key_lo"),
+        F.when(inside, at - F.col("mark_before")).otherwise(F.lit(0)).alias("skip"))
+    right = F.struct(F.when(inside, ref - 1).otherwise(ref).alias("ref_hi"), key.alias("key_hi"))
     return (
-        asked.withColumn("_last", F.col("y") - 1)
-        .join(left, ["chrom", "sample_id", "x"]).join(right, ["chrom", "sample_id", "_last"])
+        found.groupBy("region_id", "chrom", "sample_id", "x", "y").agg(
+            F.max(F.when(F.col("at") == F.col("x"), left)).alias("l"),
+            F.max(F.when(F.col("at") == F.col("y") - 1, right)).alias("r"))
         .join(contig, "chrom")
-        .select("region_id", "chrom", "sample_id", "ref_lo",
-                F.least("ref_hi", "length").alias("ref_hi"), "key_lo", "key_hi", "skip",
+        .select("region_id", "chrom", "sample_id", "l.ref_lo",
+                F.least("r.ref_hi", "length").alias("ref_hi"), "l.key_lo", "r.key_hi", "l.skip",
                 (F.col("y") - F.col("x")).alias("take"))
     )
 
