@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..grid import DEFAULT_WIDTH, cell_of, cell_start
 from ..session import cut_lineage
-from .asof import surrounding_marks
 from .requests import BROADCAST_ROWS, Profile, profile, sized
+from .scan import ordered_scan
 
 TILE = ["chrom", "sample_id", "cell"]
 REQUEST = ["region_id", "chrom", "sample_id"]
@@ -149,15 +149,23 @@ def sample_sequence_ref(requests: DataFrame, coord: DataFrame, ref_chunk: DataFr
 
 
 def _edit_at(points: DataFrame, coord: DataFrame, width: int) -> DataFrame:
-    """The last path edit that begins at or before each sample position ``at``."""
+    """Add ``e``, the last path edit that begins at or before each sample position ``at``.
+
+    Of several edits beginning at one position (deletions take none) it is the last in
+    path order, the one the position falls on.
+    """
     by = ["chrom", "sample_id"]
-    edits = edits_of(coord).withColumn("begins", F.col("lo") + F.col("shift"))
-    # Several edits may begin at one sample position (deletions take none); the last
-    # in path order is the one the position falls on.
-    last = edits.groupBy(*by, "begins").agg(F.max(F.struct("key", "lo", "hi", "alt")).alias("e"))
-    marks = last.select(*by, F.col("begins").alias("mark"))
-    near = surrounding_marks(points, marks, probe="at", by=by, width=width).drop("mark_after")
-    return near.join(last.withColumnRenamed("begins", "mark_before"), [*by, "mark_before"], "left")
+    begins = F.col("lo") + F.col("shift")
+    edits = edits_of(coord).select(
+        *by, begins.alias("at"), "key", F.lit(0).alias("asks"),
+        F.struct(begins.alias("begins"), "key", "lo", "hi", F.length("alt").alias("size")).alias("e"))
+    asked = points.select(*by, "at").distinct().select(
+        "*", F.lit(0).cast("long").alias("key"), F.lit(1).alias("asks"),
+        F.lit(None).cast(edits.schema["e"].dataType).alias("e"))
+    axis = edits.unionByName(asked).withColumn("_cell", cell_of("at", width))
+    found = ordered_scan(axis, by, "_cell", ["at", "asks", "key"], last=("max_before", F.col("e")))
+    answers = found.where(F.col("asks") == 1).select(*by, "at", F.col("last").alias("e"))
+    return points.join(answers, [*by, "at"])
 
 
 def _sample_spans(requests: DataFrame, coord: DataFrame, contig: DataFrame,
@@ -169,13 +177,13 @@ def _sample_spans(requests: DataFrame, coord: DataFrame, contig: DataFrame,
     ends = asked.select("*", F.explode(F.array("x", F.col("y") - 1)).alias("at"))
     found = _edit_at(ends, coord, width)
     e, at = F.col("e"), F.col("at")
-    past = at - F.col("mark_before") - F.length(e["alt"])
+    past = at - e["begins"] - e["size"]
     inside = F.coalesce(past < 0, F.lit(False))
     ref = F.when(e.isNull(), at).when(inside, e["lo"]).otherwise(e["hi"] + 1 + past)
     key = F.coalesce(e["key"], F.lit(0).cast("long"))
     left = F.struct(
         ref.alias("ref_lo"), F.when(inside, key).otherwise(key + 1).alias("key_lo"),
-        F.when(inside, at - F.col("mark_before")).otherwise(F.lit(0)).alias("skip"))
+        F.when(inside, at - e["begins"]).otherwise(F.lit(0)).alias("skip"))
     right = F.struct(F.when(inside, ref - 1).otherwise(ref).alias("ref_hi"), key.alias("key_hi"))
     return (
         found.groupBy("region_id", "chrom", "sample_id", "x", "y").agg(
