@@ -27,6 +27,7 @@ LAYOUT = {
 }
 
 
+CALL_COLUMNS = ["file", "ord", "chrom", "pos", "ref", "alt", "col", "phase", "gt1", "gt2", "name"]
 DERIVED = ["coord", "segment", "edge"]
 
 
@@ -77,21 +78,18 @@ def write_derived(of: dict[str, DataFrame], path: str, width: int = DEFAULT_WIDT
     of.update(write_all({n: lambda n=n: derived(of, n, width) for n in DERIVED}, path))
 
 
-def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aware: bool = True,
-              width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
-    """Read, check, normalise and store a cohort under ``path``, a folder all executors share.
-
-    Calls and headers are written first, in one pass over the text: the record order they are numbered by must be fixed
-    before sites and carriers are both derived from it, and a lost executor then
-    rereads a table, not the VCF.
-    """
-    out: dict[str, DataFrame] = {}
-    out["ref_chunk"] = write_relation(read_fasta(spark, fasta, width), path, "ref_chunk")
-    if not unusable_chunks(out["ref_chunk"]).isEmpty():
+def store_reference(spark: SparkSession, fasta: str, path: str,
+                    width: int = DEFAULT_WIDTH) -> None:
+    """Store reference chunks and contig lengths."""
+    chunks = write_relation(read_fasta(spark, fasta, width), path, "ref_chunk")
+    if not unusable_chunks(chunks).isEmpty():
         raise ValueError("reference holds letters other than A, C, G, T, N")
-    out["contig"] = write_relation(contigs_of(out["ref_chunk"]), path, "contig")
+    write_relation(contigs_of(chunks), path, "contig")
 
-    read_vcf(spark, vcf, allele_aware).write.mode("overwrite").parquet(f"{path}/calls")
+
+def store_relations(spark: SparkSession, path: str, width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
+    """Check and normalise stored calls and store every relation that follows from them."""
+    out = {n: read_relation(spark, path, n) for n in ("ref_chunk", "contig")}
     columns, raw = stored_calls(spark, path)
     out["sample"] = write_relation(sample_dictionary(columns), path, "sample")
     ids = columns.join(out["sample"], "name").select("file", "col", "sample_id")
@@ -100,18 +98,32 @@ def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aw
         sized(ids, keys_of(ids)), ["file", "col"]).drop("file", "col")
 
     alleles = calls.select("ord", "chrom", "pos", "ref", "alt").distinct()
-    bad = mismatched(alleles, out["contig"], out["ref_chunk"], width)
-    good = alleles.join(bad, "ord", "left_anti")
+    bad = cut_lineage(mismatched(alleles, out["contig"], out["ref_chunk"], width))
+    few = keys_of(bad)
+    good = alleles.join(sized(bad, few), "ord", "left_anti")
     out["site"] = write_relation(canonical_sites(good), path, "site")
     out["carrier"] = write_relation(
-        merged_carriers(calls.join(bad, "ord", "left_anti"), out["site"]), path, "carrier")
+        merged_carriers(calls.join(sized(bad, few), "ord", "left_anti"), out["site"]), path, "carrier")
     write_derived(out, path, width)
     return out
 
 
+def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aware: bool = True,
+              width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
+    """Read, check, normalise and store a cohort under ``path``, a folder all executors share.
+
+    Calls and headers are written first, in one pass over the text: the record order
+    they are numbered by must be fixed before sites and carriers are both derived from
+    it, and a lost executor then rereads a table, not the VCF.
+    """
+    store_reference(spark, fasta, path, width)
+    read_vcf(spark, vcf, allele_aware).write.mode("overwrite").parquet(f"{path}/calls")
+    return store_relations(spark, path, width)
+
+
 def stored_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Sample columns and carrier calls of the table ``construct`` writes first."""
-    both = spark.read.parquet(f"{path}/calls")
+    both = spark.read.parquet(f"{path}/calls").select(*CALL_COLUMNS)
     named = F.col("name").isNotNull()
     return both.where(named).select("file", "col", "name"), both.where(~named).drop("name")
 
