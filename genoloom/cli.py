@@ -86,6 +86,8 @@ def run_query(spark: SparkSession, args) -> DataFrame:
             write_samples(found, args.output_file)
         return found
     asked = regions(spark, args.region, chrom)
+    if args.type != "closest" and not asked.where("x < 1 or y <= x").isEmpty():
+        raise SystemExit("regions are start:end with 1 <= start < end")
     if args.type in NEEDS_SAMPLE:
         if not args.sample_name:
             raise SystemExit(f"{args.type} needs a sample name")

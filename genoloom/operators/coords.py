@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..grid import DEFAULT_WIDTH, cell_of
 from ..session import cut_lineage
 from .overlap import overlapped_edits
-from .requests import keys_of, sized
+from .requests import is_small, sized
 from .scan import ordered_scan
 
 PATH = ["chrom", "sample_id"]
@@ -37,7 +37,7 @@ def sample_coordinates(site: DataFrame, carrier: DataFrame,
     candidates = cut_lineage(path_candidates(site, carrier, width))
     lost = cut_lineage(overlapped_edits(candidates, width)).withColumn("_lost", F.lit(True))
     told = candidates.join(
-        sized(lost, keys_of(lost)), [*PATH, "_cell", "edit_key"], "left"
+        sized(lost, is_small(lost)), [*PATH, "_cell", "edit_key"], "left"
     ).withColumn("on_path", F.col("_lost").isNull())
     change = F.when(F.col("on_path"), F.col("delta")).otherwise(F.lit(0))
     placed = ordered_scan(told, PATH, "_cell", ["edit_key"], shift=("sum_before", change))

@@ -59,7 +59,9 @@ def within_hops(edge: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
     reached = roots.select(*key).distinct().withColumn("hops", F.lit(0))
     forward = edge.select("chrom", F.col("src").alias("seg_id"), "dst")
     for hop in range(1, radius + 1):
-        fresh = F.when(F.col("hops") == hop - 1, F.col("seg_id"))
+        # Rows reached earlier meet no edge; their keys stay apart so that they do not
+        # gather in one task the way nulls would.
+        fresh = F.when(F.col("hops") == hop - 1, F.col("seg_id")).otherwise(-1 - F.col("seg_id"))
         stepped = reached.withColumn("_fresh", fresh).join(
             forward.withColumnRenamed("seg_id", "_fresh"), ["chrom", "_fresh"], "left")
         both = F.array(
@@ -178,8 +180,11 @@ def vertex_info(segment: DataFrame, marks: DataFrame, classes: DataFrame,
     part = F.call_function("div", F.col("sample_id"), F.lit(SAMPLES_PER_PART))
     listed = named.groupBy("chrom", "seg_id", part.alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("sample_id", text.alias("text")))).alias("s"))
-    about = segment.select("chrom", "seg_id", "ref_start", "length", "site_id").join(
-        classes, ["chrom", "site_id"], "left")
+    # Reference segments have no site; a key of their own keeps them from meeting as nulls.
+    about = segment.select(
+        "chrom", "seg_id", "ref_start", "length",
+        F.coalesce("site_id", -1 - F.col("seg_id")).alias("site_id")
+    ).join(classes, ["chrom", "site_id"], "left")
     head = F.format_string("ID: %d Offset: %d length: %d sample_class: %d Samples: ", "seg_id",
                            "ref_start", "length", F.coalesce("class_id", F.lit(0)))
     carriers = F.coalesce(F.array_join(F.transform("s", lambda e: e["text"]), ""), F.lit(""))

@@ -25,6 +25,10 @@ class Profile:
     low: int | None
     high: int | None
 
+    @property
+    def few(self) -> bool:
+        return self.rows <= BROADCAST_ROWS
+
     @property
     def broadcastable(self) -> bool:
         return self.cells <= BROADCAST_ROWS
@@ -46,9 +50,9 @@ def sized(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df.hint("merge")
 
 
-def keys_of(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; stops reading once it has more."""
-    return df.limit(limit + 1).count() <= limit
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` has few enough rows to broadcast; stops reading once it has more."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def within_hull(points: DataFrame, pos: str, requests: DataFrame, lo: str, hi: str,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..grid import DEFAULT_WIDTH, cell_of, cell_start
 from ..session import cut_lineage
-from .requests import BROADCAST_ROWS, Profile, profile, sized
+from .requests import Profile, profile, sized
 from .scan import ordered_scan
 
 TILE = ["chrom", "sample_id", "cell"]
@@ -138,7 +138,7 @@ def sample_sequence_pieces(requests: DataFrame, coord: DataFrame, ref_chunk: Dat
     """The sample's bases for reference window ``[x, y)``, one row per cell; the rows in
     cell order spell the sequence.  For windows as long as a contig."""
     prof = profile(requests, "x", "y", width)
-    mine = of_asked_samples(coord, requests, prof.rows <= BROADCAST_ROWS)
+    mine = of_asked_samples(coord, requests, prof.few)
     return _assemble(_ref_spans(requests, contig), mine, ref_chunk, width, prof)
 
 
@@ -199,7 +199,7 @@ def _sample_spans(requests: DataFrame, coord: DataFrame, contig: DataFrame,
 def sample_sequence_sample(requests: DataFrame, coord: DataFrame, ref_chunk: DataFrame,
                            contig: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """The sample's bases for window ``[x, y)`` of its own coordinates."""
-    few = profile(requests, "x", "y", width).rows <= BROADCAST_ROWS
+    few = profile(requests, "x", "y", width).few
     mine = of_asked_samples(coord, requests, few)
     # One short row per request, written out: it is read several times below, and only
     # now are the reference cells to be fetched known.

@@ -10,7 +10,8 @@ from ..grid import DEFAULT_WIDTH
 from ..session import cut_lineage
 from .asof import nearest_mark
 from .ranges import points_in_cells, points_in_ranges
-from .requests import BROADCAST_ROWS, keys_of, sized
+from . import requests as limits
+from .requests import is_small, sized
 
 # A variant's samples are listed in parts of at most this many, so that a variant
 # all samples of a huge cohort carry is not one row.
@@ -102,7 +103,7 @@ def all_carriers_of(found: DataFrame, carrier: DataFrame, sample: DataFrame) ->
     if span["n"] == 0:
         return _attach(found, carrier.limit(0), sample)
     near = carrier.where(F.col("pos").between(span["low"], span["high"]))
-    if span["n"] <= BROADCAST_ROWS:
+    if span["n"] <= limits.BROADCAST_ROWS:
         sites = found.select("chrom", "site_id").distinct()
         near = near.join(F.broadcast(sites), ["chrom", "site_id"], "left_semi")
     return _attach(found, near, sample)
@@ -136,7 +137,7 @@ def samples_with_variant(site: DataFrame, carrier: DataFrame, sample: DataFrame,
     t = trimmed(F.col("pos"), F.col("ref"), F.col("alt"))
     wanted = asked.select("query_id", "chrom", t.alias("t")).select(
         "query_id", "chrom", "t.pos", "t.ref", "t.alt")
-    small = keys_of(wanted)
+    small = is_small(wanted)
     hits = site.select("chrom", "site_id", "pos", "ref", "alt").join(
         sized(wanted, small), ["chrom", "pos", "ref", "alt"])
     carried = carrier.select("chrom", "site_id", "sample_id", "phase", "gt1", "gt2")

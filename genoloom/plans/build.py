@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..grid import DEFAULT_WIDTH
 from ..operators.coords import sample_coordinates
-from ..operators.requests import keys_of, sized
+from ..operators.requests import is_small, sized
 from ..operators.segments import edges, ref_segments, segments
 from ..session import cut_lineage
 from ..sources.fasta import contigs_of, read_fasta, unusable_chunks
@@ -58,7 +58,7 @@ def read_relation(spark: SparkSession, path: str, name: str) -> DataFrame:
     schema = RELATIONS[name]
     df = spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.names)
     # Contig lengths meet every relation on the contig alone, the worst key to shuffle on.
-    return sized(df, keys_of(df)) if name == "contig" else df
+    return sized(df, is_small(df)) if name == "contig" else df
 
 
 def derived(of: dict[str, DataFrame], name: str, width: int = DEFAULT_WIDTH) -> DataFrame:
@@ -95,11 +95,11 @@ def store_relations(spark: SparkSession, path: str, width: int = DEFAULT_WIDTH)
     ids = columns.join(out["sample"], "name").select("file", "col", "sample_id")
     # A header is as long as the cohort; more files than fit a broadcast are merged instead.
     calls = on_contig(raw, out["contig"]).join(
-        sized(ids, keys_of(ids)), ["file", "col"]).drop("file", "col")
+        sized(ids, is_small(ids)), ["file", "col"]).drop("file", "col")
 
     alleles = calls.select("ord", "chrom", "pos", "ref", "alt").distinct()
     bad = cut_lineage(mismatched(alleles, out["contig"], out["ref_chunk"], width))
-    few = keys_of(bad)
+    few = is_small(bad)
     good = alleles.join(sized(bad, few), "ord", "left_anti")
     out["site"] = write_relation(canonical_sites(good), path, "site")
     out["carrier"] = write_relation(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import carried_alleles, edit_key, first_base, is_plain_alt, last_base, trimmed
 from ..grid import DEFAULT_WIDTH, cell_of, cell_start
-from ..operators.requests import keys_of, sized
+from ..operators.requests import is_small, sized
 from .fasta import read_lines
 
 # How the header line begins, and the columns ahead of the samples.
@@ -91,7 +91,7 @@ def read_vcf(spark: SparkSession, path: str, allele_aware: bool = True) -> DataF
 def on_contig(alleles: DataFrame, contig: DataFrame) -> DataFrame:
     """Rename each row's contig to the stored one it matches, an equal name ahead of one
     equal without its prefix; drop rows that match none."""
-    few = keys_of(contig)
+    few = is_small(contig)
     same = sized(contig.select("chrom", F.col("chrom").alias("_same")), few)
     bare = sized(contig.select(F.col("chrom").alias("_cut"), F.col("chrom").alias("_bare")), few)
     told = alleles.join(same, "chrom", "left").withColumn(

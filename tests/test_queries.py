@@ -56,6 +56,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(read(out / "w")) == 3
     with pytest.raises(SystemExit):
         run("query", "-p", store, "-t", "sequence-ref", "-r", "1:5")
+    with pytest.raises(SystemExit):
+        run("query", "-p", store, "-t", "variants-ref", "-r", "5")
     with pytest.raises(ValueError):
         run("query", "-p", store, "-t", "sequence-ref", "-r", "1:5", "-s", "nobody")
     run("draw", "-p", store, "-r", "10", "-n", "3")
