@@ -18,14 +18,17 @@ from ..sources.vcf import (
     canonical_sites, merged_carriers, mismatched, on_contig, read_vcf, sample_dictionary,
 )
 
-# How each relation is laid out: folders by contig, files by range of these columns, so
-# that a position or sample filter reads few row groups.
+# How each relation is laid out: a folder per contig; inside, rows that share a band of
+# positions (or a sample) go to one file and are sorted, so that a filter on position or
+# sample reads few row groups.
 LAYOUT = {
-    "sample": [], "contig": [], "ref_chunk": ["chrom", "cell"], "site": ["chrom", "pos", "site_id"],
-    "carrier": ["chrom", "pos", "sample_id"], "coord": ["chrom", "sample_id", "lo"],
-    "segment": ["chrom", "ref_start", "seg_id"], "edge": ["chrom", "src", "dst"],
+    "sample": (), "contig": (), "ref_chunk": ("cell", ["chrom", "cell"]),
+    "site": ("pos", ["chrom", "pos", "site_id"]), "carrier": ("pos", ["chrom", "pos", "sample_id"]),
+    "coord": ("sample_id", ["chrom", "sample_id", "lo"]),
+    "segment": ("ref_start", ["chrom", "ref_start", "seg_id"]), "edge": ("src", ["chrom", "src", "dst"]),
 }
-
+# Positions, or cells, per band.
+BANDS = {"pos": 1 << 20, "ref_start": 1 << 20, "src": 1 << 21, "cell": 1 << 8, "sample_id": 1}
 
 CALL_COLUMNS = ["file", "ord", "chrom", "pos", "ref", "alt", "col", "phase", "gt1", "gt2", "name"]
 DERIVED = ["coord", "segment", "edge"]
@@ -33,12 +36,14 @@ DERIVED = ["coord", "segment", "edge"]
 
 def write_relation(df: DataFrame, path: str, name: str) -> DataFrame:
     """Store one relation and return it read back."""
-    order = LAYOUT[name]
-    if order:
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    writer = df.write.mode("overwrite")
-    if order:
-        writer = writer.partitionBy("chrom")
+    writer = df.write
+    if LAYOUT[name]:
+        near, order = LAYOUT[name]
+        band = F.call_function("div", F.col(near), F.lit(BANDS[near]))
+        # Adaptive execution sizes the files: it joins small bands and splits hot ones.
+        laid = df.withColumn("_band", band).hint("rebalance", F.col("chrom"), F.col("_band"))
+        writer = laid.sortWithinPartitions(*order).drop("_band").write.partitionBy("chrom")
+    writer = writer.mode("overwrite")
     writer.parquet(f"{path}/{name}")
     return read_relation(df.sparkSession, path, name)
 
