@@ -7,6 +7,7 @@ Each one reads whole tables.
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -604,11 +605,32 @@ _PLAIN = [
 ]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {**_NAMED, **{f.__name__: f for f in _PLAIN}}
 
 
-def oracle_sql() -> dict[str, str]:
+def core_sql() -> dict[str, str]:
     from genoloom.oracles import oracle_sql as sql
 
     return sql()
+
+
+def _added(module: str, name: str) -> dict:
+    """What an optional module registers; nothing if the module itself is not there."""
+    try:
+        return getattr(importlib.import_module(module), name)()
+    except ModuleNotFoundError as e:
+        if e.name not in {module, "genoloom.llm", "corpus_pipeline"}:
+            raise
+        return {}
+
+
+_OPTIONAL = ("genoloom.llm.queries", "corpus_pipeline")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return core_queries() | {k: q for m in _OPTIONAL for k, q in _added(m, "queries").items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return core_sql() | {k: q for m in _OPTIONAL for k, q in _added(m, "oracle_sql").items()}

@@ -15,14 +15,14 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.core_queries()))
 def test_query_matches_sql(spark, duck, name):
-    ok, text = compare(spark, duck, SF, name, entry.queries()[name], entry.oracle_sql()[name])
+    ok, text = compare(spark, duck, SF, name, entry.core_queries()[name], entry.core_sql()[name])
     assert ok, text
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.core_queries()) == set(entry.core_sql())
 
 
 def test_entry(spark):
