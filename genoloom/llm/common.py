@@ -62,7 +62,9 @@ def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = max(n, 2 * len(_powers[0]))
         for k, base in enumerate((int(_P), pow(int(_P), -1, 1 << 64))):
-            _powers[k] = np.cumprod(np.concatenate([[1], np.full(size - 1, base, np.uint64)]).astype(np.uint64))
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -102,7 +104,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     joined = np.zeros(n, np.uint64)
     for j in range(k):
         part = np.zeros(n, np.uint64)
-        part[:n - j] = hashes[j:]
+        part[:max(0, n - j)] = hashes[j:]
         joined = joined * _P + part
     joined = mixed(joined + np.uint64(k))
     out, at = [], 0

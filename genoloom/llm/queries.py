@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import pieces
+from genoloom.llm import jaccard, pieces
 from genoloom.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,8 +22,12 @@ def op2_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, d, "documents"), jaccard.Rule(words=3, part=90))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece,)}
+    return {f.__name__: f for f in (op2_sentencepiece, op7_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
