@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import jaccard, pieces
-from genoloom.llm.common import table
+from genoloom.llm import jaccard, pieces, toxicity, urls
+from genoloom.llm.common import remainder, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -22,12 +22,33 @@ def op2_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+# The rules of the URL filter; every page one of them covers is a labelled URL for the trees.
+URL_RULES = urls.parse_rules(allow=["org/", "com/fr/"], block=["example.org/es/", "example.org/en/1", "com/de/"])
+
+
+def op4_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", "url")
+    parts = urls.with_parts(pages)
+    _, verdict = urls.rule_of(URL_RULES, F.col("host"), F.col("path"))
+    labelled = parts.select("url", F.when(verdict == "block", 1).when(verdict == "allow", 0).alias("label"))
+    return urls.judged(pages, URL_RULES, urls.train(labelled)).select(
+        "page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 0
+    model = toxicity.fit_on_labels(docs.where(~held_out), table(spark, d, "labels").where(~held_out))
+    return toxicity.scored(docs.withColumn("held_out", held_out), model).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 def op7_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, d, "documents"), jaccard.Rule(words=3, part=90))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op7_jaccard_join)}
+    return {f.__name__: f for f in (op2_sentencepiece, op4_url_filter, op5_toxicity, op7_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
