@@ -100,6 +100,19 @@ def _prefixes(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
     return docs.mapInArrow(work, "id bigint, n bigint, grams array<bigint>, lanes bigint")
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash; two n-grams of a pair of texts of a thousand words
+    are mixed up once in 10**8 pairs."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(raw: pa.Buffer) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, 2:] = six
+    return out.view("<u8").ravel()
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that link, judged on the full sets of both texts.
 
@@ -115,13 +128,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
                 yield batch.filter(pa.array(in_bloom(shared.value, batch.column("id").to_numpy())))
 
         for ids, sets in _sets(passing(), rule.words):
-            yield pa.RecordBatch.from_pydict({"id": ids, "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": ids, "grams": pa.array([_packed(s) for s in sets], pa.binary())})
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(rule.whole * both >= rule.part * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -135,17 +148,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 def _shared_grams(docs: DataFrame, nodes: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
     """(gram, id, n, pos, lanes, size): the nodes' prefix n-grams that two nodes or more have."""
     made = cut_lineage(_prefixes(docs, rule, counts).join(nodes, "id", "left_semi"))
-    size = F.floor(F.ln("n") / float(np.log(rule.whole / rule.part))).cast("int").alias("size")
-    rows = made.select("id", "n", "lanes", size, F.posexplode("grams").alias("pos", "gram"))
+    rows = made.select("id", F.posexplode("grams").alias("pos", "gram"))
     often = cut_lineage(rows.groupBy("gram").count().where("count > 1").select("gram"))
-    return cut_lineage(rows.join(often, "gram", "left_semi"))
+    shared = cut_lineage(rows.join(often, "gram", "left_semi"))
+    size = F.floor(F.ln("n") / float(np.log(rule.whole / rule.part))).cast("int").alias("size")
+    return cut_lineage(shared.join(made.select("id", "n", "lanes", size), "id"))
 
 
-def _first_pairs(rows: DataFrame) -> DataFrame:
+def _first_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): each node with the one it shares most prefix n-grams with, among the
-    smallest nodes of its size class that hold one of them."""
-    low = cut_lineage(rows.groupBy("gram", "size").agg(F.min("id").alias("low")))
-    met = rows.join(low, ["gram", "size"]).where("id <> low").groupBy("id", "low").count()
+    smallest nodes of its size class that hold one of them and pass the filters."""
+    low = cut_lineage(rows.groupBy("gram", "size").agg(F.min(F.struct("id", "n", "pos", "lanes")).alias("low")))
+    x, y = rows.alias("x"), low.select("gram", "size", "low.*").alias("y")
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.size") == F.col("y.size"))
+                 & (F.col("x.id") != F.col("y.id")) & _may_link(rule))
+    met = met.groupBy(F.col("x.id").alias("id"), F.col("y.id").alias("low")).count()
     best = met.groupBy("id").agg(F.min(F.struct((-F.col("count")).alias("less"), "low")).alias("m"))
     return cut_lineage(best.select(F.col("id").alias("a"), F.col("m.low").alias("b")))
 
@@ -160,6 +177,15 @@ def _lane_overlap(a: str, b: str):
     return sum(parts[1:], parts[0])
 
 
+def _may_link(rule: Rule):
+    """Length, positional and suffix filters on rows x and y of a shared n-gram."""
+    together = F.col("x.n") + F.col("y.n")
+    ahead = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    return ((rule.whole * F.least("x.n", "y.n") >= rule.part * F.greatest("x.n", "y.n"))
+            & (ahead + F.least("x.pos", "y.pos") >= rule.needed(together))
+            & (_lane_overlap("x", "y") >= rule.needed(together)))
+
+
 def _other_pairs(rows: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): nodes of different classes so far that pass all filters on a shared n-gram."""
     classed = rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
@@ -168,13 +194,8 @@ def _other_pairs(rows: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
         F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
     live = cut_lineage(classed.join(cut_lineage(mixed), "gram", "left_semi"))
     x, y = live.alias("x"), live.alias("y")
-    together = F.col("x.n") + F.col("y.n")
-    ahead = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     on = ((F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id"))
-          & (F.col("x.component") != F.col("y.component"))
-          & (rule.whole * F.least("x.n", "y.n") >= rule.part * F.greatest("x.n", "y.n"))
-          & (ahead + F.least("x.pos", "y.pos") >= rule.needed(together))
-          & (_lane_overlap("x", "y") >= rule.needed(together)))
+          & (F.col("x.component") != F.col("y.component")) & _may_link(rule))
     return cut_lineage(x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
 
@@ -198,7 +219,7 @@ def similar_classes(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_
     shared = _shared_grams(texts, node.select(F.col("node").alias("id")).distinct(), rule, counts)
     versions = member.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi")
     versions = member.join(cut_lineage(versions.select("id", "b")), "id").select(F.col("node").alias("a"), "b")
-    links = _verified(texts, _first_pairs(shared), rule).union(versions)
+    links = _verified(texts, _first_pairs(shared, rule), rule).union(versions)
     found = cut_lineage(components(links))
     more = _verified(texts, _other_pairs(shared, found, rule), rule)
     found = cut_lineage(components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ def chunk_rows(values: np.ndarray) -> pa.RecordBatch:
     """A task's 64-bit values as rows of ``SCHEMA``, chunks of zeros left out."""
     part = TaskContext.get().partitionId() % FAN_IN
     kept = [(k, c) for k, c in enumerate(values.astype(np.int64).reshape(-1, CHUNK)) if c.any()]
-    return _batch([k for k, _ in kept], [part] * len(kept), [c.tobytes() for _, c in kept])
+    return _batch([k for k, _ in kept], [part] * len(kept), [zlib.compress(c.tobytes(), 1) for _, c in kept])
 
 
 def _batch(chunks: list, parts: list, raws: list) -> pa.RecordBatch:
@@ -41,14 +42,14 @@ def gathered(rows: DataFrame, size: int, combine: np.ufunc) -> np.ndarray:
         total, key = np.zeros(CHUNK, np.int64), None
         for batch in batches:
             for chunk, part, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "counts")), strict=True):
-                key, total = (chunk, part), combine(total, np.frombuffer(raw, np.int64))
+                key, total = (chunk, part), combine(total, np.frombuffer(zlib.decompress(raw), np.int64))
         if key:
-            yield _batch([key[0]], [key[1]], [total.tobytes()])
+            yield _batch([key[0]], [key[1]], [zlib.compress(total.tobytes(), 1)])
 
     once = rows.groupBy("chunk", "part").applyInArrow(fold, SCHEMA)
     out = np.zeros(size, np.int64)
     for r in once.groupBy("chunk").applyInArrow(fold, SCHEMA).select("chunk", "counts").collect():
-        out[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
+        out[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.int64)
     return out
 
 
