@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over the words of a text and their beginnings is trained from confirmed
-toxic texts and unlabelled ones.  The risk on negatives is estimated as the risk on
+A linear model over the words of a text and their beginnings - that one occurs, occurs
+twice, makes up a share of the text - is trained from confirmed toxic texts and unlabelled
+ones.  The risk on negatives is estimated as the risk on
 unlabelled text less the class prior times that on positives, and kept from falling below
 zero, where it would reward overfitting.
 """
@@ -24,6 +25,7 @@ from genoloom.session import cut_lineage
 WORDS = re.compile(r"[^\W\d_]+").findall
 BEGINNINGS = range(3, 8)
 CACHED_WORDS = 300_000
+SHARE = 150  # a gram is dense from one word in so many on
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,9 @@ class Settings:
     unlabelled: int = 8_000  # unlabelled texts, about
     candidates: int = 50_000  # grams counted in unlabelled text, the most frequent in toxic texts
     features: int = 1_000
-    least_z: float = 4.5     # how far above its unlabelled rate a gram's toxic rate has to be
+    least_z: float = 4.0     # by how many standard errors a gram's toxic rate exceeds its unlabelled rate,
+    least_lift: float = 4.0  # and how many times as large it has to be
+    least_share: float = 0.02  # and the share of toxic texts that have it, three texts at least
     steps: int = 600
     decay: float = 1e-4
 
@@ -50,8 +54,19 @@ def grams(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in BEGINNINGS if k <= len(word))]
 
 
-def _gram_set(text: str | None) -> set[str]:
-    return {g for w in set(WORDS((text or "").lower())) for g in grams(w)}
+def marks(counts: dict[str, int], words: int) -> set[str]:
+    """What a text of ``words`` words shows of its counted grams: each, those that occur
+    twice (``+``) and those that are dense (``%``)."""
+    twice = {g + "+" for g, c in counts.items() if c >= 2}
+    return {*counts, *twice, *(g + "%" for g, c in counts.items() if c * SHARE >= words)}
+
+
+def _marks_of(text: str | None) -> set[str]:
+    words, counts = WORDS((text or "").lower()), Counter()
+    for w, c in Counter(words).items():
+        for g in grams(w):
+            counts[g] += c
+    return marks(counts, len(words))
 
 
 def _sampled(docs: DataFrame, size: int) -> DataFrame:
@@ -69,7 +84,7 @@ def _frequencies(docs: DataFrame, known: frozenset[str] | None) -> DataFrame:
         counts: Counter[str] = Counter()
         for part in arrow_slices(batches, "text"):
             for text in part.column("text").to_pylist():
-                found = _gram_set(text)
+                found = _marks_of(text)
                 counts.update(found if known is None else found & known)
             if len(counts) > 1_000_000:
                 yield _counted(counts)
@@ -93,7 +108,7 @@ def fit(toxic: DataFrame, unlabelled: DataFrame, prior: float, s: Settings = Set
     n_p, n_u = toxic.count(), unlabelled.count()
     if not n_p or not n_u:
         return ToxicModel({}, -5.0)
-    often = _frequencies(toxic, None).where(F.col("n") >= 3).orderBy(F.desc("n"), "gram").limit(s.candidates)
+    often = _frequencies(toxic, None).where(F.col("n") >= max(3, s.least_share * n_p)).orderBy(F.desc("n"), "gram").limit(s.candidates)
     in_p = {r.gram: r.n for r in often.collect()}
     in_u = {r.gram: r.n for r in _frequencies(unlabelled, frozenset(in_p)).collect()}
     z = {}
@@ -101,14 +116,14 @@ def fit(toxic: DataFrame, unlabelled: DataFrame, prior: float, s: Settings = Set
         p, q = a / n_p, in_u.get(g, 0) / n_u
         both = (a + in_u.get(g, 0)) / (n_p + n_u)
         z[g] = (p - q) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
-    names = sorted((g for g in z if z[g] >= s.least_z), key=lambda g: (-z[g], g))[:s.features]
+    names = sorted((g for g in z if z[g] >= s.least_z and in_p[g] * n_u >= s.least_lift * in_u.get(g, 0) * n_p), key=lambda g: (-z[g], g))[:s.features]
     if not names:
         return ToxicModel({}, -5.0)
     place = {g: i for i, g in enumerate(names)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "text"):
-            hits = [sorted(place[g] for g in _gram_set(t) & place.keys()) for t in part.column("text").to_pylist()]
+            hits = [sorted(place[g] for g in _marks_of(t) & place.keys()) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"hits": pa.array(hits, pa.list_(pa.int32()))})
 
     samples = []
@@ -154,10 +169,10 @@ class _Found(dict):
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
-        self.weights = weights
+        self.grams = {g.rstrip("+%") for g in weights}
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        found = tuple(g for g in grams(word) if g in self.weights)
+        found = tuple(g for g in grams(word) if g in self.grams)
         if len(self) >= CACHED_WORDS:
             self.clear()
         self[word] = found
@@ -180,8 +195,11 @@ def scored(docs: DataFrame, model: ToxicModel) -> DataFrame:
         for part in arrow_slices(batches, "text"):
             sums = []
             for text in part.column("text").to_pylist():
-                hits = set().union(*[found[w] for w in set(WORDS((text or "").lower()))])
-                sums.append(bias + sum(weights[g] for g in sorted(hits)))
+                words, counts = WORDS((text or "").lower()), Counter()
+                for w, c in Counter(words).items():
+                    for g in found[w]:
+                        counts[g] += c
+                sums.append(bias + sum(weights[g] for g in sorted(marks(counts, len(words)) & weights.keys())))
             score = 1 / (1 + np.exp(-np.clip(sums, -50, 50)))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
