@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import jaccard, pieces, toxicity, urls
+from genoloom.llm import jaccard, langid, pieces, toxicity, urls, warc
 from genoloom.llm.common import remainder, table
+from genoloom.session import shared_folder
+
+# The same results in SQL.
+OP6 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+q AS (SELECT page_id, octet_length(raw) AS payload_bytes, sha1(raw) AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM q)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
+FROM r"""
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -22,6 +34,14 @@ def op2_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    held_out = remainder("doc_id", 3) == 1
+    model = langid.fit(docs.where(~held_out).select(F.col("doc_id").alias("id"), "lang", "text"))
+    return langid.predicted(docs.select("doc_id", "text", held_out.alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 # The rules of the URL filter; every page one of them covers is a labelled URL for the trees.
 URL_RULES = urls.parse_rules(allow=["org/", "com/fr/"], block=["example.org/es/", "example.org/en/1", "com/de/"])
 
@@ -43,13 +63,19 @@ def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+def op6_warc(spark: SparkSession, d: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    files = warc.write(table(spark, d, "pages"), folder)
+    return warc.read(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, d, "documents"), jaccard.Rule(words=3, part=90))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op4_url_filter, op5_toxicity, op7_jaccard_join)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op4_url_filter, op5_toxicity, op6_warc, op7_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": OP6}
