@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import jaccard, langid, pieces, toxicity, urls, warc
+from genoloom.llm import blobs, jaccard, langid, pieces, toxicity, urls, warc
 from genoloom.llm.common import remainder, table
 from genoloom.session import shared_folder
 
@@ -23,6 +23,38 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
 FROM r"""
 
+_ASSIGN = (r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
+           r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?""")
+OP9 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+rules(place, kind, pattern, least) AS (VALUES
+    (0, 'assign', '{_ASSIGN}[A-Za-z0-9+/_.=-]+', 6), (1, 'access', 'AKIA[A-Z0-9]+', 20),
+    (2, 'hex', '[0-9a-f]+', 24), (3, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 26)),
+p AS (
+    SELECT doc_id, 0 AS place, regexp_extract_all(t, '{_ASSIGN}[A-Za-z0-9+/_.=-]+') AS m,
+           string_split_regex(t, '{_ASSIGN}[A-Za-z0-9+/_.=-]+') AS g,
+           regexp_extract_all(t, '{_ASSIGN}([A-Za-z0-9+/_.=-]+)', 1) AS v FROM d
+    UNION ALL SELECT doc_id, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+'),
+           regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
+    UNION ALL SELECT doc_id, 2, regexp_extract_all(t, '[0-9a-f]{{24,}}'), string_split_regex(t, '[0-9a-f]{{24,}}'),
+           regexp_extract_all(t, '[0-9a-f]{{24,}}') FROM d
+    UNION ALL SELECT doc_id, 3, regexp_extract_all(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----'),
+           string_split_regex(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----'), regexp_extract_all(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----') FROM d),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM p),
+s AS (
+    SELECT doc_id, i.place, kind, least, length(v[k]) AS size, length(m[k]) AS whole,
+           list_sum([length(x) for x in g[1:k]]) + coalesce(list_sum([length(x) for x in m[1:k - 1]]), 0) AS start
+    FROM i JOIN rules USING (place)),
+f AS (SELECT doc_id, place, kind, CAST(start AS BIGINT) AS start, CAST(start + whole AS BIGINT) AS stop FROM s WHERE size >= least),
+a AS (
+    SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+           coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (place < 3), '') AS base,
+           string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans
+    FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)"""
+
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -73,9 +105,25 @@ def op7_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, d, "documents"), jaccard.Rule(words=3, part=90))
 
 
+def op9_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    ledger = blobs.Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    found = blobs.scan(table(spark, d, "documents"), ledger)
+    base = F.filter("spans", lambda x: x["place"] < len(blobs.BASE))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def text(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id", *[count(r.kind) for r in blobs.BASE],
+        F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op4_url_filter, op5_toxicity, op6_warc, op7_jaccard_join)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op4_url_filter, op5_toxicity, op6_warc, op7_jaccard_join, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6}
+    return {"op6_warc": OP6, "op9_secret_scan": OP9}
