@@ -178,11 +178,15 @@ def _lane_overlap(a: str, b: str):
 
 
 def _may_link(rule: Rule):
-    """Length, positional and suffix filters on rows x and y of a shared n-gram."""
+    """Length, positional and suffix filters on rows x and y of a shared n-gram.
+
+    The positional filter counts what stands from this n-gram on, as nothing before the
+    first shared one is shared; so a pair that links passes at its first one at least.
+    """
     together = F.col("x.n") + F.col("y.n")
     ahead = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     return ((rule.whole * F.least("x.n", "y.n") >= rule.part * F.greatest("x.n", "y.n"))
-            & (ahead + F.least("x.pos", "y.pos") >= rule.needed(together))
+            & (ahead >= rule.needed(together))
             & (_lane_overlap("x", "y") >= rule.needed(together)))
 
 
