@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import blobs, jaccard, langid, pieces, toxicity, urls, warc
+from genoloom.llm import blobs, decontam, jaccard, langid, pieces, pii, toxicity, urls, warc
 from genoloom.llm.common import remainder, table
 from genoloom.session import shared_folder
 
@@ -58,6 +58,16 @@ FROM d LEFT JOIN a USING (doc_id)"""
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms: a secret of the deployment, set as genoloom.pii.key."""
+    return spark.conf.get("genoloom.pii.key", "an open key, for tests and examples").encode()
+
+
+def op1_pii_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.pseudonymised(table(spark, d, "documents").select("doc_id", "text"), pii_key(spark))
+    return found.select("doc_id", "text", "spans", F.size("spans").alias("n_values"))
+
+
 def op2_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     coded = pieces.encode_documents(table(spark, d, "documents").select("doc_id", "text"), PIECE_MODEL)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -105,6 +115,10 @@ def op7_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, d, "documents"), jaccard.Rule(words=3, part=90))
 
 
+def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op9_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     ledger = blobs.Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
     found = blobs.scan(table(spark, d, "documents"), ledger)
@@ -122,7 +136,7 @@ def op9_secret_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_language_id, op4_url_filter, op5_toxicity, op6_warc, op7_jaccard_join, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece, op3_language_id, op4_url_filter, op5_toxicity, op6_warc, op7_jaccard_join, op8_decontamination, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
