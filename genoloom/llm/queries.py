@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import blobs, decontam, jaccard, langid, pieces, pii, toxicity, urls, warc
+from genoloom.llm import blobs, decontam, jaccard, langid, mtree, pieces, pii, toxicity, urls, warc
 from genoloom.llm.common import remainder, table
 from genoloom.session import shared_folder
 
@@ -55,6 +55,17 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (doc_id)"""
 
+OP10 = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -135,9 +146,13 @@ def op9_secret_scan(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op10_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return mtree.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece, op3_language_id, op4_url_filter, op5_toxicity, op6_warc, op7_jaccard_join, op8_decontamination, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece, op3_language_id, op4_url_filter, op5_toxicity, op6_warc, op7_jaccard_join, op8_decontamination, op9_secret_scan, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6, "op9_secret_scan": OP9}
+    return {"op6_warc": OP6, "op9_secret_scan": OP9, "op10_top_k": OP10}
