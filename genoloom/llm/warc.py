@@ -158,6 +158,8 @@ def write(pages: DataFrame, folder: str, s: Settings = Settings()) -> DataFrame:
     are not read.  An empty table gives no files.
     """
     spark = pages.sparkSession
+    fs, base = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(base, recursive=True)
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     plan = cut_lineage(record_plan(pages, s))
     shard, shards = _shard(plan, s)
