@@ -19,6 +19,7 @@ from genoloom.session import cut_lineage
 
 BINS = 16
 SUFFIXES = 256  # host endings and first path parts with a statistic of their own; the rest share one
+SUPPORT = 10    # rows that a statistic takes at least, as a rare one would repeat its own row's label
 CLASSES = string.ascii_lowercase + string.digits + "-._/?&=%"
 UNIT = 1_000_000  # gradients are summed as whole numbers, so sums don't depend on their order
 
@@ -155,7 +156,7 @@ def train(labelled: DataFrame, *, trees: int = 10, depth: int = 3, rate: float =
         return model
     for name, key in (("suffix_rate", _suffix(F.col("host"))), ("head_rate", _head(F.col("path")))):
         often = rows.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).orderBy(
-            F.desc("n"), "k").limit(SUFFIXES).collect()
+            F.desc("n"), "k").where(F.col("n") >= SUPPORT).limit(SUFFIXES).collect()
         model.rates[name] = {r.k: (r.ones + 10 * model.prior) / (r.n + 10) for r in often}
     seen = model.features(rows, "url")
     names = seen.schema["_f"].dataType.names
