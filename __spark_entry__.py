@@ -10,6 +10,7 @@ from __future__ import annotations
 import importlib
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -22,11 +23,13 @@ from genoloom.operators import classes, coords, graph, multiset, ranges, report,
 from genoloom.operators import segments as seg  # noqa: E402
 from genoloom.operators.asof import surrounding_marks  # noqa: E402
 from genoloom.plans.cohort import Cohort  # noqa: E402
-from genoloom.session import cut_lineage  # noqa: E402
+from genoloom.session import cut_lineage, shared_folder  # noqa: E402
 from genoloom.sinks import variant_lines  # noqa: E402
 from genoloom.sources import fasta, overlay, regions, vcf  # noqa: E402
 
 DOT_RADIUS, SEARCH_RADIUS = 2, 4
+# Narrow cells, so that the small contig of the tables spans many of them.
+WIDTH = 64
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -50,7 +53,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _cohort(spark: SparkSession, d: str, *staged: str) -> Cohort:
     """The cohort view.  Relations named in ``staged`` are written out once per session
     and read back, as those of a stored cohort would be."""
-    c = Cohort.from_tables(spark, d)
+    c = Cohort.from_tables(spark, d, WIDTH)
     for name in staged:
         key = (spark.sparkContext.applicationId, d, name)
         if key not in _staged:
@@ -142,20 +145,25 @@ def samples_with_variant(spark, d):
 
 def range_join_variants(spark, d):
     c = _cohort(spark, d)
-    return variants.variants_in_ref(c.site, overlay.requests(spark, d)).select(
+    return variants.variants_in_ref(c.site, overlay.requests(spark, d), WIDTH).select(
         "region_id", "pos", "kind", "ref", "alt")
 
 
 def variant_counts(spark, d):
     c = _cohort(spark, d)
-    return variants.variant_counts(variants.variants_in_ref(c.site, overlay.requests(spark, d)))
+    # One window more than there are suppliers lies beyond the contig and holds nothing.
+    asked = overlay.requests(spark, d).select("region_id", "chrom", "x", "y")
+    beyond = c.contig.select(F.lit(0).cast("long").alias("region_id"), "chrom", (F.col("length") + 1).alias("x"),
+                             (F.col("length") + 9).alias("y"))
+    asked = asked.unionByName(beyond)
+    return variants.variant_counts(variants.variants_in_ref(c.site, asked, WIDTH), asked)
 
 
 def _segment_hits(spark, d, contained):
     c = _cohort(spark, d)
     ref = _ref_marks(c).select("chrom", "seg_id", "ref_start", "ref_end")
     asked = overlay.requests(spark, d).select("region_id", "chrom", "x", "y")
-    return ranges.intervals_in_ranges(ref, asked, contained=contained).select(
+    return ranges.intervals_in_ranges(ref, asked, contained=contained, width=WIDTH).select(
         "region_id", "seg_id", "ref_start", "ref_end")
 
 
@@ -170,7 +178,7 @@ def interval_contained(spark, d):
 def asof_position_index(spark, d):
     c = _cohort(spark, d)
     ref = _ref_marks(c)
-    near = surrounding_marks(_probes(spark, d), ref.withColumnRenamed("ref_start", "mark"), probe="at")
+    near = surrounding_marks(_probes(spark, d), ref.withColumnRenamed("ref_start", "mark"), probe="at", width=WIDTH)
     return near.withColumnRenamed("mark_before", "ref_start").join(ref, ["chrom", "ref_start"]).select(
         "query_id", "at", "ref_start", "seg_id", "rank")
 
@@ -186,27 +194,24 @@ def next_ref_node(spark, d):
 
 
 def nth_ref_node(spark, d):
-    asked = _table(spark, d, "events").groupBy((F.col("event_id") % 1000 + 1).alias("rank")).agg(
+    ref = _ref_marks(_cohort(spark, d))
+    asked = _table(spark, d, "events").groupBy((F.col("event_id") % ref.count() + 1).alias("rank")).agg(
         F.count(F.lit(1)).alias("asked"))
-    return _ref_marks(_cohort(spark, d)).join(asked, "rank").select("rank", "asked", "ref_start")
+    return ref.join(asked, "rank").select("rank", "asked", "ref_start")
 
 
 def window_is_empty(spark, d):
     c = _cohort(spark, d)
     asked = _probes(spark, d).select(
-        "query_id", "chrom", F.col("at").alias("x"), (F.col("at") + F.col("query_id") % 5).alias("y"),
-        (F.col("at") + 1).alias("after"))
-    marks = seg.breakpoints(c.site, c.contig).withColumnRenamed("ref_start", "mark")
-    near = surrounding_marks(asked, marks, probe="after")
-    empty = F.col("mark_after").isNull() | (F.col("mark_after") - 1 > F.col("y"))
-    return near.select("query_id", "x", "y", empty.cast("int").alias("is_empty"))
+        "query_id", "chrom", F.col("at").alias("x"), (F.col("at") + F.col("query_id") % 5).alias("y"))
+    found = variants.windows_empty(seg.breakpoints(c.site, c.contig), asked, WIDTH)
+    return _bits(found.select("query_id", "x", "y", "is_empty"), "is_empty")
 
 
 def next_variant(spark, d):
     c = _cohort(spark, d)
-    near = surrounding_marks(_probes(spark, d), c.site.withColumnRenamed("pos", "mark"), probe="at")
-    return near.select("query_id", "chrom", "at", F.col("mark_after").alias("pos")).join(
-        c.site, ["chrom", "pos"]).select("query_id", "at", "pos", "kind", "ref", "alt")
+    return variants.next_variants(c.site, _probes(spark, d), WIDTH).select(
+        "query_id", "at", "pos", "kind", "ref", "alt")
 
 
 def prev_sample_variant(spark, d):
@@ -226,10 +231,26 @@ def sample_path_length(spark, d):
         "sample_id", "name", "n_variants", "path_length")
 
 
+def sample_path(spark, d):
+    """Whole sequences, a row per cell of each sample."""
+    c = _cohort(spark, d, "coord")
+    return c.sample_path(c.sample.select(_chrom(), "sample_id")).select(
+        F.col("region_id").alias("sample_id"), "cell", "text")
+
+
+def stored_round_trip(spark, d):
+    """Every carrier of a cohort that was stored and loaded, the width read from the store."""
+    path = f"{shared_folder(spark)}/cohort-{uuid.uuid4().hex}"
+    Cohort.from_tables(spark, d, WIDTH).save(path)
+    c = Cohort.load(spark, path)
+    return _bits(c.carrier.join(c.site.drop("pos", "edit_key"), ["chrom", "site_id"]).select(
+        "pos", "kind", "ref", "alt", "delta", "sample_id", "phase", "gt1", "gt2"), "phase", "gt1", "gt2")
+
+
 def subsequence(spark, d):
     c = _cohort(spark, d)
     return fasta.subsequences(c.ref_chunk, overlay.requests(spark, d).select(
-        "region_id", "chrom", "x", "y")).select("region_id", "bases")
+        "region_id", "chrom", "x", "y"), WIDTH).select("region_id", "bases")
 
 
 # -- carrier sets ----------------------------------------------------------------
@@ -248,7 +269,9 @@ def class_nth_sample(spark, d):
     carrier = _cohort(spark, d).carrier
     named = classes.sample_classes(carrier)
     members = classes.class_members(named, carrier)
-    asked = named.select("chrom", "class_id", (F.col("class_id") % 5 + 1).alias("n")).distinct()
+    sizes = classes.popcounts(classes.class_bitmaps(members)).select("class_id", "n_samples")
+    asked = named.select("chrom", "class_id").distinct().join(sizes, "class_id").select(
+        "chrom", "class_id", (F.col("class_id") % F.col("n_samples") + 1).alias("n"))
     return classes.nth_members(members, asked).select("class_id", "n", "sample_id")
 
 
@@ -403,7 +426,8 @@ def gt_predicates(spark, d):
     return _genotypes(spark, d).select(
         "l_orderkey", "l_linenumber", "gt", fn.ploidy(gt).alias("ploidy"),
         fn.is_hom(gt).cast("int").alias("is_hom"), fn.is_het(gt).cast("int").alias("is_het"),
-        fn.has_non_ref(gt).cast("int").alias("has_non_ref"))
+        fn.has_non_ref(gt).cast("int").alias("has_non_ref"), fn.is_missing(gt).cast("int").alias("is_missing"),
+        fn.is_hom_ref(gt).cast("int").alias("is_hom_ref"), fn.is_hom_non_ref(gt).cast("int").alias("is_hom_non_ref"))
 
 
 def phasing_string(spark, d):
@@ -432,7 +456,7 @@ def ref_validate(spark, d):
     tail = F.when(F.col("pos") % 3 == 1, "A").when(F.col("pos") % 3 == 2, "CG").otherwise("")
     guessed = overlay.ref_base(spark, d).select(
         F.col("pos").alias("ord"), _chrom(), "pos", F.concat("base", tail).alias("ref"))
-    return vcf.mismatched(guessed, c.contig, c.ref_chunk).select(F.col("ord").alias("pos"))
+    return vcf.mismatched(guessed, c.contig, c.ref_chunk, WIDTH).select(F.col("ord").alias("pos"))
 
 
 def region_parse(spark, d):
@@ -593,7 +617,7 @@ _NAMED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _PLAIN = [
     range_join_variants, variant_counts, interval_overlap, interval_contained, asof_position_index,
     prev_ref_node, next_ref_node, nth_ref_node, window_is_empty, next_variant, prev_sample_variant,
-    coord_running_delta, sample_path_length, subsequence, sample_class_dictionary, class_popcount,
+    coord_running_delta, sample_path_length, sample_path, stored_round_trip, subsequence, sample_class_dictionary, class_popcount,
     class_nth_sample, carrier_density, carrier_union, graph_stats, segments, edges, all_vertices,
     out_neighbors, in_neighbors, out_degree, in_degree, is_edge, neighbor_intersection,
     neighbor_order, bfs_radius, path_step, dot_lines, vertex_info, allele_classify, allele_trim,

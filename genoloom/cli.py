@@ -9,47 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .grid import DEFAULT_WIDTH
-from .operators.variants import sample_list
+from .operators.variants import sample_list, variant_counts
 from .plans.build import rejected_alleles
 from .plans.cohort import Cohort
-from .session import get_session
+from .session import cut_lineage, get_session
 from .sinks import write_dot, write_samples, write_sequences, write_variants
 from .sources.regions import regions
 
 QUERIES = ["closest", "sequence-ref", "sequence-sample", "variants-sample-ref",
            "variants-sample-sample", "variants-ref", "samples"]
 NEEDS_SAMPLE = {"sequence-ref", "sequence-sample", "variants-sample-ref", "variants-sample-sample"}
-# Rows shown on the terminal; files get them all.
-SHOWN = 20
-
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="genoloom", description=__doc__)
     verbs = top.add_subparsers(dest="verb", required=True)
 
     build = verbs.add_parser("construct", help="read a FASTA and a VCF and store a cohort")
-    build.add_argument("-r", "--reference", required=True, help="reference file")
-    build.add_argument("-v", "--vcf", required=True, help="variant call format file")
-    build.add_argument("-p", "--output-prefix", required=True, help="output directory")
+    build.add_argument("-r", "--reference", required=True, help="FASTA with the contigs")
+    build.add_argument("-v", "--vcf", required=True, help="VCF file or folder of them, plain or gzip")
+    build.add_argument("-p", "--output-prefix", required=True, help="folder the cohort is stored in")
     build.add_argument("--any-allele", action="store_true",
                        help="count any non-zero genotype as carrying every ALT of its record")
 
     ask = verbs.add_parser("query", help="ask a stored cohort")
-    ask.add_argument("-p", "--output-prefix", required=True, help="cohort directory")
+    ask.add_argument("-p", "--output-prefix", required=True, help="folder of a stored cohort")
     ask.add_argument("-t", "--type", required=True, choices=QUERIES)
     ask.add_argument("-r", "--region", required=True, help="start:end, separated by ','")
     ask.add_argument("-m", "--mode", type=int, choices=[0, 1], default=0,
                      help="0 reads what the regions need, 1 caches the cohort first")
     ask.add_argument("-c", "--chrom", help="contig, needed when the cohort has several")
     ask.add_argument("-s", "--sample-name")
-    ask.add_argument("-a", "--alt-seq", help="alternative sequences, separated by ','")
-    ask.add_argument("-b", "--ref-seq", help="reference sequences, separated by ','")
-    ask.add_argument("-o", "--output-file", help="output folder")
+    ask.add_argument("-a", "--alt-seq", help="ALT alleles in the order of the regions, with commas between")
+    ask.add_argument("-b", "--ref-seq", help="REF alleles in the order of the regions, with commas between")
+    ask.add_argument("-o", "--output-file", help="folder for the result; without it the rows are printed")
 
     draw = verbs.add_parser("draw", help="write a neighbourhood of the graph as DOT")
     draw.add_argument("-p", "--output-prefix", required=True)
     draw.add_argument("-r", "--region", required=True)
-    draw.add_argument("-n", "--hops", type=int, required=True, help="radius of the subgraph")
+    draw.add_argument("-n", "--hops", type=int, required=True, help="how many edges to go from the region's start")
     draw.add_argument("-c", "--chrom")
     draw.add_argument("-s", "--sample-name")
     return top
@@ -75,8 +72,9 @@ def _asked_variants(spark: SparkSession, args, chrom: str) -> DataFrame:
     return spark.createDataFrame(rows, "query_id long, chrom string, pos long, ref string, alt string")
 
 
-def run_query(spark: SparkSession, args) -> DataFrame:
-    cohort = Cohort.load(spark, args.output_prefix, args.width)
+def run_query(spark: SparkSession, args) -> tuple[DataFrame, DataFrame | None]:
+    """The answer's rows and, for region queries, the number of variants of each region."""
+    cohort = Cohort.load(spark, args.output_prefix)
     if args.mode == 1:
         cohort = cohort.cached()
     chrom = _contig(cohort, args.chrom)
@@ -84,7 +82,7 @@ def run_query(spark: SparkSession, args) -> DataFrame:
         found = cohort.samples_with_variant(_asked_variants(spark, args, chrom))
         if args.output_file:
             write_samples(found, args.output_file)
-        return found
+        return found, None
     asked = regions(spark, args.region, chrom)
     if args.type != "closest" and not asked.where("x < 1 or y <= x").isEmpty():
         raise SystemExit("regions are start:end with 1 <= start < end")
@@ -108,32 +106,41 @@ def run_query(spark: SparkSession, args) -> DataFrame:
         found = sequence(asked)
         if args.output_file:
             write_sequences(found, args.output_file)
-        return found
-    listed = sample_list(found, ["region_id", "pos", "ref", "alt"])
+        return found, None
+    by = ["region_id", "pos", *(["sample_pos"] if "sample_pos" in found.columns else []), "ref", "alt"]
+    found = cut_lineage(found)
+    listed = sample_list(found, by)
     if args.output_file:
         write_variants(listed, args.output_file)
-    return listed
+    # A variant counts once, however many parts its sample list has.
+    return listed, variant_counts(found.select(*by).distinct(), asked)
+
+
+def _shown(value) -> str:
+    if isinstance(value, list):
+        return " ".join(f"{e.sample}({e.phasing})" for e in value)
+    return str(value)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None,
          width: int = DEFAULT_WIDTH) -> int:
     args = parser().parse_args(argv)
-    args.width = width
     spark = spark or get_session()
     began = time.time()
     if args.verb == "construct":
         cohort = Cohort.from_files(spark, args.reference, args.vcf, args.output_prefix,
                                    allele_aware=not args.any_allele, width=width)
         cohort.stats().show(truncate=False)
-        print("alleles left out:", rejected_alleles(spark, args.output_prefix, width).count())
+        print("alleles left out:", rejected_alleles(spark, args.output_prefix).count())
     elif args.verb == "query":
-        found = run_query(spark, args)
-        counts = found.groupBy(found.columns[0]).count().orderBy(found.columns[0])
-        counts.show(SHOWN)
+        found, counts = run_query(spark, args)
+        for r in (counts.orderBy("region_id").toLocalIterator() if counts is not None else ()):
+            print(f"region {r.region_id}: {r.n_variants} variants")
         if not args.output_file:
-            found.show(SHOWN, truncate=False)
+            for r in found.orderBy(*found.columns[:2]).toLocalIterator():
+                print("\t".join(_shown(v) for v in r))
     else:
-        cohort = Cohort.load(spark, args.output_prefix, width)
+        cohort = Cohort.load(spark, args.output_prefix)
         chrom = _contig(cohort, args.chrom)
         asked = regions(spark, args.region, chrom)
         if args.sample_name and args.sample_name != "ref":

@@ -66,6 +66,21 @@ def is_het(gt: Column) -> Column:
     return ~is_hom(gt)
 
 
+def is_missing(gt: Column) -> Column:
+    """Some allele number is missing."""
+    return F.exists(_alleles(gt), lambda p: p == ".")
+
+
+def is_hom_ref(gt: Column) -> Column:
+    """All allele numbers 0."""
+    return F.forall(_alleles(gt), lambda p: p == "0")
+
+
+def is_hom_non_ref(gt: Column) -> Column:
+    """All allele numbers equal and neither 0 nor missing."""
+    return is_hom(gt) & ~is_hom_ref(gt) & ~is_missing(gt)
+
+
 def has_non_ref(gt: Column) -> Column:
     """Some allele number other than 0; a missing one counts for nothing."""
     return F.exists(_alleles(gt), lambda p: (p != "0") & (p != "."))

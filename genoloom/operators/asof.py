@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import DEFAULT_WIDTH, cell_of
-from .scan import ordered_scan
+from .requests import is_small, sized
 
 
 def surrounding_marks(
@@ -24,24 +24,30 @@ def surrounding_marks(
     >= probe) to every probe row.
 
     Probes and marks are first reduced to distinct positions, so a position asked
-    for a million times is looked up once and no cell holds more than its width.
+    for a million times is looked up once and no cell holds more than its width.  Marks
+    move in full only in cells that hold a probe; of other cells the first and last mark do.
     """
     by = list(by)
-    asked = probes.select(*by, F.col(probe).alias("_at"), F.lit(None).cast("long").alias("_mark"))
-    given = marks.select(*by, F.col(mark).alias("_at"), F.col(mark).alias("_mark"))
-    axis = (
-        asked.unionByName(given)
-        .groupBy(*by, "_at").agg(F.max("_mark").alias("_mark"))
-        .withColumn("_cell", cell_of("_at", width))
-    )
-    found = ordered_scan(
-        axis, by, "_cell", ["_at"],
-        _below=("max_before", F.col("_mark")), _above=("min_after", F.col("_mark")),
-    ).select(
-        *by, F.col("_at").alias(probe),
-        F.coalesce("_mark", "_below").alias("mark_before"),
-        F.coalesce("_mark", "_above").alias("mark_after"),
-    )
+    keys = [*by, "_cell"]
+    asked = probes.where(F.col(probe).isNotNull()).select(*by, F.col(probe).alias("_at")).distinct().withColumn(
+        "_cell", cell_of("_at", width))
+    given = marks.select(*by, F.col(mark).alias("_at")).withColumn("_cell", cell_of("_at", width))
+    cells = asked.select(*keys).distinct()
+    ends = given.groupBy(*keys).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    across = Window.partitionBy(*by).orderBy("_cell")
+    carries = cells.join(ends, keys, "full_outer").select(
+        *keys, F.max("_last").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_below"),
+        F.min("_first").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_above"))
+    here = given.join(sized(cells, is_small(cells)), keys, "left_semi")
+    axis = asked.withColumn("_mark", F.lit(None).cast("long")).unionByName(
+        here.withColumn("_mark", F.col("_at"))).groupBy(*keys, "_at").agg(F.max("_mark").alias("_mark"))
+    inside = Window.partitionBy(*keys).orderBy("_at")
+    local = axis.select(
+        "*", F.max("_mark").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_below"),
+        F.min("_mark").over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_above"))
+    found = local.join(carries, keys).select(
+        *by, F.col("_at").alias(probe), F.coalesce("_below", "_carry_below").alias("mark_before"),
+        F.coalesce("_above", "_carry_above").alias("mark_after"))
     return probes.join(found, [*by, probe])
 
 

@@ -53,11 +53,15 @@ def paths(coord: DataFrame) -> DataFrame:
 
 
 def path_lengths(sample: DataFrame, contig: DataFrame, path: DataFrame) -> DataFrame:
-    """Number of variants on each sample's path and the length of its sequence."""
+    """Number of variants on each sample's path and the length of its sequence, for every
+    sample on every contig; without variants it is the contig's."""
     change = path.groupBy(*PATH).agg(
         F.count(F.lit(1)).alias("n_variants"), F.sum("delta").alias("_delta"))
-    return (
-        change.join(contig, "chrom").join(sample, "sample_id")
-        .select("chrom", "sample_id", "name", "n_variants",
-                (F.col("length") + F.col("_delta")).alias("path_length"))
-    )
+    # The answer itself has a row per sample and contig: every sample has every contig of
+    # its assembly.
+    assembly = F.lit(0).alias("_assembly")
+    every = sample.select("sample_id", "name", assembly).join(
+        sized(contig.select("chrom", "length", assembly), is_small(contig)), "_assembly")
+    return every.join(change, PATH, "left").select(
+        "chrom", "sample_id", "name", F.coalesce("n_variants", F.lit(0)).alias("n_variants"),
+        (F.col("length") + F.coalesce("_delta", F.lit(0))).alias("path_length"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .requests import is_small, sized
 from .segments import segment_samples
 from .variants import SAMPLES_PER_PART, with_phasing
 
-# Hops between two reliable checkpoints of a long search.
+# Hops after which what was reached is written as one table.
 HOPS_PER_CUT = 8
 
 
@@ -50,30 +51,25 @@ def all_vertices(edge: DataFrame) -> DataFrame:
 def within_hops(edge: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
     """``(root, chrom, seg_id, hops)`` for vertices at most ``radius`` edges away.
 
-    ``roots`` has ``(root, chrom, seg_id)``.  A hop is one outer join and one partial
-    aggregation: rows reached last bring their neighbours, all rows bring themselves,
-    the smaller hop count stays.  The plan grows by one join per hop and is cut every
-    few hops, where a search with nothing new to reach also ends.
+    ``roots`` has ``(root, chrom, seg_id)``.  Only the vertices reached last meet the
+    edges: while they are few they are broadcast, cut to the hull of their ids, and no edge
+    moves.  Each hop's new vertices are written out, which counts them for the next one.
     """
     key = ["root", "chrom", "seg_id"]
-    reached = roots.select(*key).distinct().withColumn("hops", F.lit(0))
-    forward = edge.select("chrom", F.col("src").alias("seg_id"), "dst")
+    frontier = cut_lineage(roots.select(*key).distinct().withColumn("hops", F.lit(0)))
+    reached = frontier
     for hop in range(1, radius + 1):
-        # Rows reached earlier meet no edge; their keys stay apart so that they do not
-        # gather in one task the way nulls would.
-        fresh = F.when(F.col("hops") == hop - 1, F.col("seg_id")).otherwise(-1 - F.col("seg_id"))
-        stepped = reached.withColumn("_fresh", fresh).join(
-            forward.withColumnRenamed("seg_id", "_fresh"), ["chrom", "_fresh"], "left")
-        both = F.array(
-            F.struct(F.col("seg_id").alias("seg_id"), F.col("hops").alias("hops")),
-            F.struct(F.col("dst").alias("seg_id"), F.lit(hop).alias("hops")))
-        reached = stepped.select("root", "chrom", F.explode(both).alias("v")).select(
-            "root", "chrom", "v.seg_id", "v.hops").where(F.col("seg_id").isNotNull()).groupBy(
-            *key).agg(F.min("hops").alias("hops"))
+        few = is_small(frontier)
+        low, high = frontier.agg(F.min("seg_id"), F.max("seg_id")).first()
+        if low is None:
+            break
+        near = edge.where(F.col("src").between(low, high)).select("chrom", F.col("src").alias("seg_id"), "dst")
+        met = near.join(sized(frontier.drop("hops"), few), ["chrom", "seg_id"]).select(
+            "root", "chrom", F.col("dst").alias("seg_id")).distinct()
+        frontier = cut_lineage(met.join(reached, key, "left_anti").withColumn("hops", F.lit(hop)))
+        reached = reached.unionByName(frontier)
         if hop % HOPS_PER_CUT == 0:
             reached = cut_lineage(reached)
-            if reached.where(F.col("hops") == hop).isEmpty():
-                break
     return reached
 
 

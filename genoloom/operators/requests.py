@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..grid import cell_of
 
-# A broadcast side is at most this many rows of a few numbers and short strings.
+# A broadcast side is at most this many rows and bytes of text.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 # Up to this many ranges are handed to the scan one by one, beyond it their hull.
 PUSHED_RANGES = 32
 
@@ -51,8 +52,13 @@ def sized(df: DataFrame, small: bool) -> DataFrame:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` has few enough rows to broadcast; stops reading once it has more."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether ``df`` has few enough rows and bytes of text to broadcast.
+
+    Counted by one plain aggregate: each task sends one row of partial sums.
+    """
+    text = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    rows, size = df.agg(F.count(F.lit(1)), sum(text, F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def within_hull(points: DataFrame, pos: str, requests: DataFrame, lo: str, hi: str,

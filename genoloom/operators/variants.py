@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import phasing, trimmed
 from ..grid import DEFAULT_WIDTH
 from ..session import cut_lineage
-from .asof import nearest_mark
+from .asof import nearest_mark, surrounding_marks
 from .ranges import points_in_cells, points_in_ranges
 from . import requests as limits
 from .requests import is_small, sized
@@ -145,9 +145,28 @@ def samples_with_variant(site: DataFrame, carrier: DataFrame, sample: DataFrame,
     return with_phasing(carried.join(sized(hits, small), ["chrom", "site_id"]), sample)
 
 
-def variant_counts(hits: DataFrame) -> DataFrame:
-    """Number of variants per region."""
-    return hits.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_variants"))
+def variant_counts(hits: DataFrame, regions: DataFrame) -> DataFrame:
+    """Number of variants of every region, 0 where there are none."""
+    counts = hits.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_variants"))
+    return regions.select("region_id").distinct().join(counts, "region_id", "left").na.fill(0, ["n_variants"])
+
+
+def next_variants(site: DataFrame, probes: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """All alleles at the first site position at or after each probe ``(query_id, chrom, at)``."""
+    marks = site.select("chrom", F.col("pos").alias("mark"))
+    near = surrounding_marks(probes, marks, probe="at", width=width)
+    return near.where(F.col("mark_after").isNotNull()).select(
+        "query_id", "chrom", "at", F.col("mark_after").alias("pos")).join(
+        site.select("chrom", "site_id", *SITE_FACTS), ["chrom", "pos"])
+
+
+def windows_empty(breakpoints: DataFrame, windows: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """``windows`` ``(chrom, x, y, ...)`` with ``is_empty``: whether no segment starts in
+    ``(x, y + 1]``.  ``breakpoints`` has ``(chrom, ref_start)``."""
+    asked = windows.withColumn("_after", F.col("x") + 1)
+    near = surrounding_marks(asked, breakpoints.withColumnRenamed("ref_start", "mark"), probe="_after", width=width)
+    empty = F.col("mark_after").isNull() | (F.col("mark_after") - 1 > F.col("y"))
+    return near.select(*windows.columns, empty.alias("is_empty"))
 
 
 def distinct_variants(variants: DataFrame) -> DataFrame:

@@ -148,8 +148,9 @@ def oracle_sql() -> dict[str, str]:
             n.name, n.phasing FROM site s JOIN named n ON n.pos = s.pos"""),
         "range_join_variants": _with("req site", """SELECT q.region_id, s.pos, s.kind, s.ref, s.alt
             FROM req q JOIN site s ON s.pos >= q.x AND s.pos < q.y"""),
-        "variant_counts": _with("req site", """SELECT q.region_id, count(*) AS n_variants
-            FROM req q JOIN site s ON s.pos >= q.x AND s.pos < q.y GROUP BY 1"""),
+        "variant_counts": _with("req site", """SELECT q.region_id, count(s.pos) AS n_variants
+            FROM (SELECT region_id, x, y FROM req UNION ALL SELECT 0, length + 1, length + 9 FROM len) q
+            LEFT JOIN site s ON s.pos >= q.x AND s.pos < q.y GROUP BY 1"""),
         "interval_overlap": _with("req rseg", """SELECT q.region_id, r.seg_id, r.ref_start, r.ref_end
             FROM req q JOIN rseg r ON r.ref_start < q.y AND r.ref_end >= q.x"""),
         "interval_contained": _with("req rseg", """SELECT q.region_id, r.seg_id, r.ref_start, r.ref_end
@@ -161,7 +162,7 @@ def oracle_sql() -> dict[str, str]:
         "next_ref_node": _with("rseg", """SELECT rank, ref_start, next_start FROM rseg
             WHERE next_start IS NOT NULL"""),
         "nth_ref_node": _with("rseg", """SELECT r.rank, a.asked, r.ref_start FROM rseg r JOIN (
-            SELECT event_id % 1000 + 1 AS rank, count(*) AS asked FROM events GROUP BY 1) a
+            SELECT event_id % (SELECT count(*) FROM bp) + 1 AS rank, count(*) AS asked FROM events GROUP BY 1) a
             ON a.rank = r.rank"""),
         "window_is_empty": _with("probe bp", """SELECT query_id, spot AS x, spot + query_id % 5 AS y,
             CASE WHEN n.b IS NULL OR n.b - 1 > spot + query_id % 5 THEN 1 ELSE 0 END AS is_empty
@@ -177,17 +178,21 @@ def oracle_sql() -> dict[str, str]:
               AND c.pos < q.y) WHERE r = 1"""),
         "coord_running_delta": _with("coord", """SELECT sample_id, pos, kind, shift,
             pos + shift AS sample_pos FROM coord"""),
-        "sample_path_length": _with("coord len", """SELECT c.sample_id, s.s_name AS name,
-            count(*) AS n_variants, CAST(length + sum(c.delta) AS BIGINT) AS path_length
-            FROM coord c JOIN supplier s ON s.s_suppkey = c.sample_id, len GROUP BY c.sample_id, s.s_name, length"""),
+        "sample_path_length": _with("coord len", """SELECT s.s_suppkey AS sample_id, s.s_name AS name,
+            coalesce(n, 0) AS n_variants, CAST(length + coalesce(d, 0) AS BIGINT) AS path_length
+            FROM supplier s LEFT JOIN (SELECT sample_id, count(*) AS n, sum(delta) AS d FROM coord GROUP BY 1) c
+            ON s.s_suppkey = c.sample_id, len"""),
         "subsequence": _with("req ref_base", """SELECT q.region_id, string_agg(b.base, '' ORDER BY b.pos) AS bases
             FROM req q JOIN ref_base b ON b.pos >= q.x AND b.pos < q.y GROUP BY 1"""),
         "sample_class_dictionary": _with("klass", "SELECT site_id, class_id FROM klass"),
         "class_popcount": _with("klass", """SELECT class_id, CAST(any_value(len(members)) AS BIGINT) AS n_samples
             FROM klass GROUP BY 1"""),
-        "class_nth_sample": _with("klass", """SELECT class_id, class_id % 5 + 1 AS n,
-            members[class_id % 5 + 1] AS sample_id FROM klass
-            WHERE site_id = class_id AND len(members) >= class_id % 5 + 1"""),
+        "class_nth_sample": _with("klass", """SELECT class_id, class_id % len(members) + 1 AS n,
+            members[class_id % len(members) + 1] AS sample_id FROM klass WHERE site_id = class_id"""),
+        "sample_path": _with("reading", """SELECT sample_id, (pos - 1) // 64 AS cell,
+            string_agg(out, '' ORDER BY pos) AS text FROM reading GROUP BY 1, 2"""),
+        "stored_round_trip": _with("site", """SELECT s.pos, s.kind, s.ref, s.alt, s.delta, v.sample_id, v.phase,
+            v.gt1, v.gt2 FROM site s JOIN vcall v ON v.pos = s.pos"""),
         "carrier_density": _with("vcall", """SELECT m AS max_carriers, n AS n_samples,
             CASE WHEN m * 20 > n THEN 1 ELSE 0 END AS dense FROM (SELECT max(c) AS m FROM (
             SELECT count(*) AS c FROM vcall GROUP BY pos)), (SELECT count(*) AS n FROM supplier)"""),
@@ -268,7 +273,10 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN length(gt) IN (1, 3) AND p[2] > 0 THEN 1 ELSE 0 END AS any2 FROM gtp"""),
         "gt_predicates": _with("gtp", """SELECT l_orderkey, l_linenumber, gt, CAST(len(p) AS INT) AS ploidy,
             CASE WHEN h THEN 1 ELSE 0 END AS is_hom, CASE WHEN h THEN 0 ELSE 1 END AS is_het,
-            CASE WHEN coalesce(p[1], 0) > 0 OR coalesce(p[2], 0) > 0 THEN 1 ELSE 0 END AS has_non_ref
+            CASE WHEN coalesce(p[1], 0) > 0 OR coalesce(p[2], 0) > 0 THEN 1 ELSE 0 END AS has_non_ref,
+            CASE WHEN contains(gt, '.') THEN 1 ELSE 0 END AS is_missing,
+            CASE WHEN len(list_filter(p, lambda x: x IS NULL OR x <> 0)) = 0 THEN 1 ELSE 0 END AS is_hom_ref,
+            CASE WHEN h AND p[1] > 0 AND NOT contains(gt, '.') THEN 1 ELSE 0 END AS is_hom_non_ref
             FROM (SELECT *, len(p) = 1 OR p[1] IS NOT DISTINCT FROM p[2] AS h FROM gtp)"""),
         "phasing_string": _with("named", "SELECT pos, sample_id, phasing FROM named"),
         "base_code": """SELECT p_partkey, l AS letter, c AS code,

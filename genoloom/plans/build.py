@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..grid import DEFAULT_WIDTH
@@ -31,6 +33,11 @@ LAYOUT = {
 BANDS = {"pos": 1 << 20, "ref_start": 1 << 20, "src": 1 << 21, "cell": 1 << 8, "sample_id": 1}
 
 CALL_COLUMNS = ["file", "ord", "chrom", "pos", "ref", "alt", "col", "phase", "gt1", "gt2", "name"]
+CALLS = ("file string, ord long, chrom string, pos long, ref string, alt string, col int, phase boolean, "
+         "gt1 boolean, gt2 boolean, name string, batch long")
+REFERENCE = ("ref_chunk", "contig")
+# A batch numbers its rows as Spark does: a partition in the upper bits, a row in these.
+ROW_BITS = 33
 DERIVED = ["coord", "segment", "edge"]
 
 
@@ -83,19 +90,76 @@ def write_derived(of: dict[str, DataFrame], path: str, width: int = DEFAULT_WIDT
     of.update(write_all({n: lambda n=n: derived(of, n, width) for n in DERIVED}, path))
 
 
+@dataclass(frozen=True)
+class Manifest:
+    """What is needed to read a stored cohort: the cell width its chunks were cut with,
+    the allele rule, and the folders of the relations that count."""
+
+    version: int
+    width: int
+    allele_aware: bool
+    reference: str
+    relations: str
+
+    def folder(self, path: str, name: str) -> str:
+        return f"{path}/{self.reference if name in REFERENCE else self.relations}"
+
+
+def read_manifest(spark: SparkSession, path: str, width: int | None = None) -> Manifest | None:
+    """The newest manifest of a store, None if there is none; a width that contradicts it
+    is an error."""
+    schema = "version long, width long, allele_aware boolean, reference string, relations string"
+    try:
+        row = spark.read.schema(schema).json(f"{path}/manifest").orderBy(F.desc("version")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if row is None:
+        return None
+    if width is not None and width != row.width:
+        raise ValueError(f"the cohort was stored with cells of {row.width} bases, not {width}")
+    return Manifest(**row.asDict())
+
+
+def add_manifest(spark: SparkSession, path: str, m: Manifest) -> Manifest:
+    """Make a version count: its manifest is written last, beside the older ones."""
+    spark.createDataFrame([tuple(m.__dict__.values())], ", ".join(
+        f"{k} {t}" for k, t in zip(m.__dict__, ("long", "long", "boolean", "string", "string"), strict=True))).coalesce(
+        1).write.mode("append").json(f"{path}/manifest")
+    return m
+
+
+def next_version(spark: SparkSession, path: str) -> int:
+    last = read_manifest(spark, path)
+    return last.version + 1 if last else 1
+
+
 def store_reference(spark: SparkSession, fasta: str, path: str,
-                    width: int = DEFAULT_WIDTH) -> None:
-    """Store reference chunks and contig lengths."""
-    chunks = write_relation(read_fasta(spark, fasta, width), path, "ref_chunk")
+                    width: int = DEFAULT_WIDTH, allele_aware: bool = True) -> None:
+    """Store reference chunks and contig lengths in a folder of their own."""
+    version = next_version(spark, path)
+    folder = f"{path}/v{version}"
+    chunks = write_relation(read_fasta(spark, fasta, width), folder, "ref_chunk")
     if not unusable_chunks(chunks).isEmpty():
         raise ValueError("reference holds letters other than A, C, G, T, N")
-    write_relation(contigs_of(chunks), path, "contig")
+    write_relation(contigs_of(chunks), folder, "contig")
+    add_manifest(spark, path, Manifest(version, width, allele_aware, f"v{version}", f"v{version}"))
+
 
+def store_relations(spark: SparkSession, path: str, width: int | None = None) -> dict[str, DataFrame]:
+    """Check and normalise stored calls and store every relation that follows from them.
 
-def store_relations(spark: SparkSession, path: str, width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
-    """Check and normalise stored calls and store every relation that follows from them."""
-    out = {n: read_relation(spark, path, n) for n in ("ref_chunk", "contig")}
-    columns, raw = stored_calls(spark, path)
+    They go to a new folder and count once its manifest is there, so a store that fails
+    halfway stays what it was.
+    """
+    known = read_manifest(spark, path, width)
+    if known is None:
+        raise ValueError(f"no reference is stored at {path}")
+    root, width, version = path, known.width, known.version + 1
+    out = {n: read_relation(spark, known.folder(path, n), n) for n in REFERENCE}
+    path = f"{root}/v{version}"
+    columns, raw = stored_calls(spark, root)
     out["sample"] = write_relation(sample_dictionary(columns), path, "sample")
     ids = columns.join(out["sample"], "name").select("file", "col", "sample_id")
     # A header is as long as the cohort; more files than fit a broadcast are merged instead.
@@ -110,6 +174,7 @@ def store_relations(spark: SparkSession, path: str, width: int = DEFAULT_WIDTH)
     out["carrier"] = write_relation(
         merged_carriers(calls.join(sized(bad, few), "ord", "left_anti"), out["site"]), path, "carrier")
     write_derived(out, path, width)
+    add_manifest(spark, root, Manifest(version, width, known.allele_aware, known.reference, f"v{version}"))
     return out
 
 
@@ -121,22 +186,38 @@ def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aw
     they are numbered by must be fixed before sites and carriers are both derived from
     it, and a lost executor then rereads a table, not the VCF.
     """
-    store_reference(spark, fasta, path, width)
-    read_vcf(spark, vcf, allele_aware).write.mode("overwrite").parquet(f"{path}/calls")
+    store_reference(spark, fasta, path, width, allele_aware)
+    read_vcf(spark, vcf, allele_aware).withColumn("batch", F.lit(0).cast("long")).write.mode("overwrite").partitionBy(
+        "batch").parquet(f"{path}/calls")
     return store_relations(spark, path, width)
 
 
 def stored_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Sample columns and carrier calls of the table ``construct`` writes first."""
-    both = spark.read.parquet(f"{path}/calls").select(*CALL_COLUMNS)
+    """Sample columns and carrier calls of all batches, numbered without gaps or clashes.
+
+    Records are numbered batch by batch, in each by partition and row; the offsets of the
+    partitions are summed from their largest row numbers.
+    """
+    both = spark.read.schema(CALLS).parquet(f"{path}/calls").withColumn(
+        "part", F.shiftright("ord", ROW_BITS)).withColumn("row", F.col("ord").bitwiseAND((1 << ROW_BITS) - 1))
+    used = both.groupBy("batch", "part").agg((F.max("row") + 1).alias("n"))
+    inside = Window.partitionBy("batch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    batches = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # a row per batch
+    start = used.groupBy("batch").agg(F.sum("n").alias("n")).select(
+        "batch", F.coalesce(F.sum("n").over(batches), F.lit(0)).alias("start"))
+    offsets = cut_lineage(used.select("batch", "part", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("before")).join(
+        start, "batch").select("batch", "part", (F.col("start") + F.col("before")).alias("offset")))
+    both = both.join(sized(offsets, is_small(offsets)), ["batch", "part"]).withColumn(
+        "ord", F.col("offset") + F.col("row")).select(*CALL_COLUMNS)
     named = F.col("name").isNotNull()
     return both.where(named).select("file", "col", "name"), both.where(~named).drop("name")
 
 
-def rejected_alleles(spark: SparkSession, path: str, width: int = DEFAULT_WIDTH) -> DataFrame:
+def rejected_alleles(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
     """Alleles of a stored cohort's calls that failed the reference check, for the log."""
     _, raw = stored_calls(spark, path)
-    contig = read_relation(spark, path, "contig")
+    m = read_manifest(spark, path, width)
+    contig, chunks = (read_relation(spark, m.folder(path, n), n) for n in ("contig", "ref_chunk"))
     alleles = on_contig(raw.select("ord", "chrom", "pos", "ref", "alt").distinct(), contig)
-    bad = mismatched(alleles, contig, read_relation(spark, path, "ref_chunk"), width)
+    bad = mismatched(alleles, contig, chunks, m.width)
     return alleles.join(bad, "ord", "left_semi")

@@ -9,10 +9,13 @@ from ..grid import DEFAULT_WIDTH
 from ..operators import classes, graph, segments as seg, sequence, variants
 from ..operators.asof import surrounding_marks
 from ..operators.coords import paths
-from ..operators.requests import check_columns
+from ..operators.requests import check_columns, is_small, sized
 from ..schema import RELATIONS
 from ..sources import overlay
-from .build import DERIVED, construct, derived, read_relation, write_all, write_derived
+from .build import (
+    DERIVED, Manifest, add_manifest, construct, derived, next_version, read_manifest, read_relation, write_all,
+    write_derived,
+)
 
 
 class Cohort:
@@ -58,15 +61,23 @@ class Cohort:
         }, width)
 
     def save(self, path: str) -> Cohort:
-        """Store every relation; later ones are derived from the stored earlier ones."""
+        """Store every relation; later ones are derived from the stored earlier ones.  They
+        go to a new folder and count once its manifest is there."""
+        spark = self.relations["site"].sparkSession
+        version = next_version(spark, path)
         given = ("sample", "contig", "ref_chunk", "site", "carrier")
-        out = write_all({n: lambda n=n: self.relations[n] for n in given}, path)
-        write_derived(out, path, self.width)
+        out = write_all({n: lambda n=n: self.relations[n] for n in given}, f"{path}/v{version}")
+        write_derived(out, f"{path}/v{version}", self.width)
+        add_manifest(spark, path, Manifest(version, self.width, True, f"v{version}", f"v{version}"))
         return Cohort(out, self.width)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, width: int = DEFAULT_WIDTH) -> Cohort:
-        return cls({n: read_relation(spark, path, n) for n in RELATIONS}, width)
+    def load(cls, spark: SparkSession, path: str, width: int | None = None) -> Cohort:
+        """A stored cohort.  Its cell width is stored with it; one that contradicts is an error."""
+        m = read_manifest(spark, path, width)
+        if m is None:
+            raise ValueError(f"no cohort is stored at {path}")
+        return cls({n: read_relation(spark, m.folder(path, n), n) for n in RELATIONS}, m.width)
 
     def cached(self) -> Cohort:
         """Keep the relations in executor memory, spilling to disk, for many small batches."""
@@ -151,10 +162,12 @@ class Cohort:
         """Add the site of the sample's last path variant before each probe ``at``
         (``probes`` has ``chrom, sample_id, at``)."""
         by = ["chrom", "sample_id"]
-        marks = self.path.select(*by, F.col("pos").alias("mark"))
+        who = probes.select(*by).distinct()
+        mine = self.path.join(sized(who, is_small(who)), by, "left_semi")
+        marks = mine.select(*by, F.col("pos").alias("mark"))
         asked = probes.withColumn("_before", F.col("at") - 1)
         near = surrounding_marks(asked, marks, probe="_before", by=by, width=self.width)
-        at_pos = self.path.groupBy(*by, F.col("pos").alias("mark_before")).agg(
+        at_pos = mine.groupBy(*by, F.col("pos").alias("mark_before")).agg(
             F.max(F.struct("edit_key", "site_id", "sample_pos")).alias("v"))
         return near.drop("mark_after").join(at_pos, [*by, "mark_before"], "left").select(
             *probes.columns, F.col("mark_before").alias("pos"), "v.site_id", "v.sample_pos")

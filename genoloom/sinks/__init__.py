@@ -15,10 +15,15 @@ def variant_lines(listed: DataFrame) -> DataFrame:
 
 
 def write_variants(listed: DataFrame, path: str, pos: str = "pos") -> None:
-    """Variant TSV with its header, one folder for all regions of the batch."""
+    """Variant TSV with its header, one folder for all regions of the batch.
+
+    A variant's samples come in parts, a line each with its ``Part``; rows in sample
+    coordinates have both positions.
+    """
+    both = [F.col("sample_pos").alias("SamplePos")] if "sample_pos" in listed.columns else []
     variant_lines(listed).orderBy("region_id", pos, "ref", "alt", "part").select(
-        "region_id", F.col(pos).alias("Pos"), F.col("ref").alias("Ref"), F.col("alt").alias("Alt"),
-        F.col("samples").alias("Samples"),
+        "region_id", F.col(pos).alias("Pos"), *both, F.col("ref").alias("Ref"), F.col("alt").alias("Alt"),
+        F.col("samples").alias("Samples"), F.col("part").alias("Part"),
     ).write.mode("overwrite").csv(
         path, sep="\t", header=True, quote="", emptyValue="", ignoreTrailingWhiteSpace=False,
         ignoreLeadingWhiteSpace=False)

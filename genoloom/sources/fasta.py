@@ -74,9 +74,14 @@ def fasta_chunks(lines: DataFrame, width: int = DEFAULT_WIDTH, uppercase: bool =
                     (b - a + 1).cast("int")).alias("bases"))
     joined = cut.groupBy("chrom", "cell").agg(
         F.sort_array(F.collect_list(F.struct("at", "bases"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda e: e["bases"]), "")
+    last = F.element_at("p", -1)
+    span = last["at"] + F.length(last["bases"]) - F.element_at("p", 1)["at"]
+    # Pieces of one record never overlap; those of two records of one name do.
+    twice = F.raise_error(F.concat(F.lit("two FASTA records are named "), F.col("chrom")))
     return joined.select(
         "chrom", "cell", cell_start("cell", width).alias("start"),
-        F.array_join(F.transform("p", lambda e: e["bases"]), "").alias("bases"))
+        F.when(F.length(text) == span, text).otherwise(twice.cast("string")).alias("bases"))
 
 
 def read_fasta(spark: SparkSession, path: str, width: int = DEFAULT_WIDTH,

@@ -48,8 +48,10 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     bed = spark.read.csv(path, sep="\t", comment="#").select(
         F.col("_c0").alias("chrom"), (F.col("_c1").cast("long") + 1).alias("x"),
         (F.col("_c2").cast("long") + 1).alias("y"))
+    # Numbered by partition and line, so equal rows stay apart; store the batch before
+    # its ids are used twice.
     return bed.where(F.col("x").isNotNull()).select(
-        F.xxhash64("chrom", "x", "y").alias("region_id"), "chrom", "x", "y")
+        F.monotonically_increasing_id().alias("region_id"), "chrom", "x", "y")
 
 
 def parse_contig_region(text: Column) -> Column:

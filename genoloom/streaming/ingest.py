@@ -14,20 +14,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..sources.vcf import carrier_calls, parse_records
 
-# Record numbers of different batches are kept apart by this many bits; a batch numbers
-# its rows within them as long as it has fewer than 2^17 partitions of 2^33 rows.
-ORDER_BITS = 50
-# Segment ids need one bit above the record number.
-MAX_BATCHES = 1 << (62 - ORDER_BITS)
-
 
 def store_batch(lines: DataFrame, batch: int, path: str, allele_aware: bool = True) -> None:
-    """Write the calls of one batch of lines ``(file, line)`` under ``path``."""
-    if batch >= MAX_BATCHES:
-        raise ValueError("record numbers are used up; construct the cohort anew from its files")
-    calls = carrier_calls(parse_records(lines), allele_aware)
-    numbered = calls.withColumn("ord", F.col("ord") + F.lit(batch) * F.lit(1 << ORDER_BITS))
-    numbered.write.mode("overwrite").parquet(f"{path}/calls/batch={batch}")
+    """Write the calls of one batch of lines ``(file, line)`` under ``path``, beside the
+    calls ``construct`` stores as batch 0.  Records are numbered over all batches when they
+    are read."""
+    carrier_calls(parse_records(lines), allele_aware).write.mode("overwrite").parquet(f"{path}/calls/batch={batch + 1}")
 
 
 def ingest_files(spark: SparkSession, folder: str, path: str, checkpoint: str, *,

@@ -46,7 +46,7 @@ def test_command_line(spark, tmp_path, capsys):
 
     assert "alleles left out: 0" in run("construct", "-r", str(tmp_path / "x.fa"), "-v", str(tmp_path / "x.vcf"), "-p", store)
     run("query", "-p", store, "-t", "variants-ref", "-r", "25:27", "-o", str(out / "v"))
-    assert [t for t in read(out / "v") if not t.startswith("region_id")] == ["0\t25\t\tT\t1(0|1) ", "0\t26\t\tA\t1(0|1) "]
+    assert [t for t in read(out / "v") if not t.startswith("region_id")] == ["0\t25\t\tT\t1(0|1) \t0", "0\t26\t\tA\t1(0|1) \t0"]
     run("query", "-p", store, "-t", "sequence-sample", "-r", "1:83", "-s", "1", "-m", "1", "-o", str(out / "s"))
     assert read(out / "s") == ["0\t" + TOY_PATH]
     run("query", "-p", store, "-t", "samples", "-r", "39:0,10", "-b", "T,C", "-a", ",T", "-o", str(out / "n"))
@@ -54,6 +54,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert "26" in run("query", "-p", store, "-t", "closest", "-r", "30")
     run("query", "-p", store, "-t", "variants-sample-ref", "-r", "38:42", "-s", "1", "-o", str(out / "w"))
     assert len(read(out / "w")) == 3
+    shown = run("query", "-p", store, "-t", "variants-sample-sample", "-r", "28:31,2:3", "-s", "1")
+    assert "region 0: 0 variants" in shown and "region 1: 2 variants" in shown and "1\t25\t28\t\tT\t0\t1(0|1)" in shown
     with pytest.raises(SystemExit):
         run("query", "-p", store, "-t", "sequence-ref", "-r", "1:5")
     with pytest.raises(SystemExit):
