@@ -125,6 +125,9 @@ def scan(versions: DataFrame, ledger: Ledger, *, rules: tuple[ScanRule, ...] = R
     # The thin side is hashed, so that texts are moved once and not sorted.
     chosen = texts.select(at, "text").join(unseen.hint("shuffle_hash"), "at")
     chosen = chosen.where(F.sha2(F.col("text").cast("binary"), 256) == F.col("blob"))
-    ledger.add(unseen.select("blob"), findings(chosen.select("blob", "text"), rules), rule_version)
+    # The text depends on the blob's row, so no pattern is tried ahead of the join on texts
+    # that need no scan.
+    due = chosen.select("blob", F.when(F.length("blob") > 0, F.col("text")).alias("text"))
+    ledger.add(unseen.select("blob"), findings(due, rules), rule_version)
     back = paths.join(ledger.found(rule_version), "blob", "left")
     return back.select(*path_cols, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
