@@ -25,7 +25,7 @@ from genoloom.session import cut_lineage
 WORDS = re.compile(r"[^\W\d_]+").findall
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 LANGUAGES = 256
 
 
@@ -50,11 +50,11 @@ class LanguageModel:
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of a word and of its 2- to 4-grams with its ends marked; none without a letter."""
+    """Buckets of a word and of its 2- and 3-grams with its ends marked; none without a letter."""
     if not any(c.isalpha() for c in word):
         return []
     marked = f"<{word}>"
-    parts = [marked, *(marked[i:i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1))]
+    parts = [marked, *(marked[i:i + n] for n in (2, 3) for i in range(len(marked) - n + 1))]
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
 
 
