@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -25,6 +26,11 @@ def broadcast_bytes(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
+def extended(df: DataFrame, added: str) -> StructType:
+    """The schema of ``df`` with more columns at its end."""
+    return StructType([*df.schema.fields, *(StructType.fromDDL(added).fields if added else [])])
+
+
 def remainder(column: Column | str, n: int) -> Column:
     """crc32 of a number written as text, modulo n."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n

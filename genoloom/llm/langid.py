@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import arrow_slices
+from genoloom.llm.common import arrow_slices, extended
 from genoloom.session import cut_lineage
 
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -195,8 +195,6 @@ def predicted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """
     kept = docs.drop("lang_pred", "score", "accepted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema),
-                        "lang_pred string", "score double", "accepted boolean"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -223,4 +221,4 @@ def predicted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.bool_())],
                 names=[*part.schema.names, "lang_pred", "score", "accepted"])
 
-    return kept.mapInArrow(work, schema)
+    return kept.mapInArrow(work, extended(kept, "lang_pred string, score double, accepted boolean"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from genoloom.llm.common import arrow_slices, broadcast_bytes
+from genoloom.llm.common import arrow_slices, broadcast_bytes, extended
 
 SPACE = "▁"
 CACHED_STRETCHES = 300_000
@@ -244,8 +244,6 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     spark = docs.sparkSession
     kept = docs.drop("ids", "n_tokens", "decoded")
     model = broadcast_bytes(spark, model_path)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema),
-                        "ids array<int>", "n_tokens bigint", "decoded string"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model.value)
@@ -259,4 +257,4 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 [*part.columns, lists, pa.array(sizes), pa.array([g[1] for g in got], pa.string())],
                 names=[*part.schema.names, "ids", "n_tokens", "decoded"])
 
-    return kept.mapInArrow(work, schema)
+    return kept.mapInArrow(work, extended(kept, "ids array<int>, n_tokens bigint, decoded string"))

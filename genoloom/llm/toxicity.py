@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import arrow_slices
+from genoloom.llm.common import arrow_slices, extended
 from genoloom.session import cut_lineage
 
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -187,7 +187,6 @@ def scored(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """
     kept = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "score double", "predicted int"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
@@ -205,7 +204,7 @@ def scored(docs: DataFrame, model: ToxicModel) -> DataFrame:
                 [*part.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                 names=[*part.schema.names, "score", "predicted"])
 
-    return kept.mapInArrow(work, schema)
+    return kept.mapInArrow(work, extended(kept, "score double, predicted int"))
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> ToxicModel:
