@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from genoloom.llm.common import arrow_slices, shingle_sets
 from genoloom.llm.components import components
 from genoloom.llm.sketch import SCHEMA as SKETCH, bloom_of, chunk_rows, gathered, in_bloom
+from genoloom.operators.requests import is_small, sized
 from genoloom.session import cut_lineage
 
 COUNTER_BITS = 20
@@ -132,17 +133,26 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(rule.whole * both >= rule.part * (len(x) + len(y) - both))
+            keep = [any(_links(x, y, rule) for x in _sides(sides, True) for y in _sides(sides, False))
+                    for sides in batch.column("sides")]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sets = cut_lineage(docs.where("id is not null").mapInArrow(make, "id bigint, grams binary"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint").distinct())
+    roles = cut_lineage(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")))
+    # Few roles are broadcast, so that sets move once, to their pair; a pair has two of
+    # them, and one more for each further version of a document.
+    both = sets.join(sized(roles, is_small(roles)), "id").groupBy("a", "b").agg(
+        F.collect_list(F.struct((F.col("id") == F.col("a")).alias("first"), "grams")).alias("sides"))
+    return cut_lineage(both.mapInArrow(judge, "a bigint, b bigint"))
+
+
+def _sides(sides: pa.ListScalar, first: bool) -> list[np.ndarray]:
+    return [_unpacked(v["grams"].as_buffer()) for v in sides.values if v["first"].as_py() == first]
+
+
+def _links(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return rule.whole * both >= rule.part * (len(x) + len(y) - both)
 
 
 def _shared_grams(docs: DataFrame, nodes: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
