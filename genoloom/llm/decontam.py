@@ -2,7 +2,9 @@
 
 An item counts as leaked if a stretch of a document is within the edit budget of the whole
 item, on normalized text; an item longer than a window, if that holds for one of its
-windows.  A stretch with at most e edits against an item of m characters
+windows; and any item longer than an excerpt, if that holds for one of its short parts,
+which start so close together that every verbatim excerpt of that length holds a whole one.
+A stretch with at most e edits against an item of m characters
 shares at least m + 1 - q * (e + 1) q-grams with it, on diagonals that lie at most e apart.
 So shared q-grams are counted in diagonal bands of more than 2e + 1 diagonals that overlap
 by e, bands that reach the bound are kept, and each is verified by an alignment that stays
@@ -32,6 +34,8 @@ class Settings:
     rate: float = 0.05        # edits for each character of an item, rounded down
     least: int = 40           # items of fewer normalized characters are matched without edits
     window: int = 800         # longer items are searched for as windows of that size, half overlapping
+    excerpt: int = 250        # of longer items a verbatim excerpt of so many characters is found, whatever its offset,
+    part: int = 200           # as parts of that size that start excerpt - part apart are searched for, too
     block_chars: int = 4 << 20  # benchmark characters that are indexed and broadcast at once
 
     def budget(self, m: int) -> int:
@@ -81,18 +85,18 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], s: Settings):
         self.s = s
-        parts = [(i, w) for i, t in items for w in _windows(_strip(_codes(t)), s.window)]
-        self.ids = [i for i, _ in parts]
-        self.codes = [c for _, c in parts]
+        self.ids = [i for i, _ in items]
+        self.codes = [_strip(_codes(t)) for _, t in items]
         hashes = [_grams(c, s.q) for c in self.codes]
         self.hash = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        self.item = np.repeat(np.arange(len(parts), dtype=np.int64), [len(h) for h in hashes])
+        self.item = np.repeat(np.arange(len(items), dtype=np.int64), [len(h) for h in hashes])
         self.place = np.concatenate([*[np.arange(len(h), dtype=np.int64) for h in hashes], np.zeros(0, np.int64)])
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
         self.maybe[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        self.bounds = np.array([s.bound(len(c)) for c in self.codes], np.int64)
+        self.units = [_units(len(c), s) for c in self.codes]
+        self.bounds = np.array([min(s.bound(size) for size, _ in u) for u in self.units], np.int64)
         self.short = [k for k, c in enumerate(self.codes) if 0 < len(c) < s.q]
 
     def leaks(self, codes: np.ndarray) -> dict[int, int]:
@@ -106,7 +110,7 @@ class Index:
             at, low, many = at[many > 0], low[many > 0], many[many > 0]
             if len(at):
                 each = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-                self._bands(codes, self.item[each], np.repeat(at, many) - self.place[each], np.repeat(at, many), found)
+                self._bands(codes, self.item[each], np.repeat(at, many) - self.place[each], self.place[each], found)
         if self.short:
             text = codes.tobytes()
             for k in self.short:
@@ -114,38 +118,59 @@ class Index:
                     found[self.ids[k]] = 0
         return found
 
-    def _bands(self, codes, item, diagonal, at, found: dict[int, int]) -> None:
+    def _bands(self, codes, item, diagonal, place, found: dict[int, int]) -> None:
         order = np.lexsort((diagonal, item))
-        item, diagonal, at = item[order], diagonal[order], at[order]
+        item, diagonal, place = item[order], diagonal[order], place[order]
         edges = np.flatnonzero(np.diff(item)) + 1
         for a, b in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(item)]]), strict=True):
             k = int(item[a])
             if b - a < self.bounds[k] or self.ids[k] in found:
                 continue
-            m, e = len(self.codes[k]), self.s.budget(len(self.codes[k]))
-            width = 2 * e + 2
-            d = diagonal[a:b]
-            bands = d // width
-            both = np.concatenate([bands, bands[d - bands * width < e] - 1])  # the last band reaches e further
-            names, counts = np.unique(both, return_counts=True)
-            best = None
-            for band in names[counts >= self.bounds[k]].tolist():
-                edits = within(self.codes[k], codes, band * width, (band + 1) * width + e - 1, e)
-                if edits is not None and (best is None or edits < best):
-                    best = edits
-            if best is not None:
-                found[self.ids[k]] = best
+            for size, starts in self.units[k]:
+                edits = self._unit(codes, self.codes[k], size, starts, diagonal[a:b], place[a:b])
+                if edits is not None:
+                    found[self.ids[k]] = edits
+                    break
+
+    def _unit(self, codes, item, size: int, starts: np.ndarray, diagonal, place) -> int | None:
+        """The fewest edits of the first of an item's stretches from ``starts`` on that is found."""
+        e, bound = self.s.budget(size), self.s.bound(size)
+        if len(place) < bound:
+            return None
+        low = np.searchsorted(starts, place - (size - self.s.q), "left")
+        many = np.searchsorted(starts, place, "right") - low  # how many stretches hold a q-gram
+        which = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        d = np.repeat(diagonal, many)
+        width = 2 * e + 2
+        bands = d // width
+        more = d - bands * width < e  # the last band reaches e further
+        pairs = np.stack([np.concatenate([which, which[more]]), np.concatenate([bands, bands[more] - 1])])
+        names, counts = np.unique(pairs, axis=1, return_counts=True)
+        best = last = None
+        for n, band in names[:, counts >= bound].T.tolist():
+            if best is not None and n != last:
+                break
+            last, start = n, int(starts[n])
+            edits = within(item[start:start + size], codes, band * width + start, (band + 1) * width + e - 1 + start, e)
+            if edits is not None and (best is None or edits < best):
+                best = edits
+        return best
 
 
 def _strip(codes: np.ndarray) -> np.ndarray:
     return codes[:-1] if len(codes) and codes[-1] == 32 else codes
 
 
-def _windows(codes: np.ndarray, size: int) -> list[np.ndarray]:
-    if len(codes) <= size:
-        return [codes]
-    starts = [*range(0, len(codes) - size, size // 2), len(codes) - size]
-    return [codes[a:a + size] for a in starts]
+def _units(m: int, s: Settings) -> list[tuple[int, np.ndarray]]:
+    """Sizes and starts of the stretches of an item of m characters that are searched for."""
+    out = [(min(m, s.window), _starts(m, s.window, s.window // 2))]
+    if m > s.excerpt:
+        out.append((s.part, _starts(m, s.part, s.excerpt - s.part)))
+    return out
+
+
+def _starts(m: int, size: int, step: int) -> np.ndarray:
+    return np.array([*range(0, m - size, step), max(0, m - size)], np.int64)
 
 
 def _inside(part: bytes, whole: bytes, step: int) -> bool:
@@ -183,7 +208,8 @@ def within(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, item_id, edits): each item that a document contains within the item's budget.
+    """(doc_id, item_id, edits): each item that a document contains within the item's budget,
+    whole or, as the module says, in part; the edits are the whole's, else the part's.
 
     Texts are compared lower-cased, with one space for each run of other characters than
     letters and digits.  Items are indexed and broadcast in blocks of a bounded number of

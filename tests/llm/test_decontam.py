@@ -61,6 +61,27 @@ def test_normalized_passages_and_windows(spark):
     assert leaks(d.where("false"), b).collect() == [] and leaks(d, b.where("false")).collect() == []
 
 
+def test_verbatim_excerpts_are_found_at_any_offset():
+    rng = random.Random(5)
+    for size in (251, 390, 790, 1250, 3000):
+        plain = "".join(" " if i % 6 == 5 else rng.choice("abcdefghijk") for i in range(size - 1)) + "k"
+        m, index = size, Index([(1, plain)], S)
+        ends = ["".join(rng.choices("abcdefghijk ", k=300)) for _ in range(2)]
+        for long in sorted({250, min(m, 260), min(m, 700), min(m, 1198)}):
+            for start in {0, m - long, *(rng.randint(0, m - long) for _ in range(12))}:
+                text = ends[0] + "z" + plain[start:start + long] + "z" + ends[1]
+                assert 1 in index.leaks(_codes(text)), (size, long, start)
+        middle = plain[m // 3:m // 3 + 150]
+        assert index.leaks(_codes(ends[0] + middle + ends[1])) == {}
+
+
+def test_whole_items_with_edits_in_clusters_are_still_found():
+    rng = random.Random(6)
+    item = "".join(rng.choices("abcdefghijk", k=799))
+    text = "".join(c + ("z" * 11 if i in (199, 399, 599) else "") for i, c in enumerate(item))
+    assert Index([(1, item)], S).leaks(_codes(text)) == {1: 33}
+
+
 def test_every_whole_passage_is_found(spark):
     import duckdb
 
