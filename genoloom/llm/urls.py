@@ -15,11 +15,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genoloom.operators.requests import is_small, sized
 from genoloom.session import cut_lineage
 
 BINS = 16
-SUFFIXES = 256  # host endings and first path parts with a statistic of their own; the rest share one
-SUPPORT = 10    # rows that a statistic takes at least, as a rare one would repeat its own row's label
+SUPPORT = 10  # rows that a statistic takes at least, as a rare one would repeat its own row's label
+SALTS = 16    # parts of a host ending's or first path part's rows where statistics are too many to broadcast
 CLASSES = string.ascii_lowercase + string.digits + "-._/?&=%"
 UNIT = 1_000_000  # gradients are summed as whole numbers, so sums don't depend on their order
 
@@ -104,26 +105,58 @@ def _head(path: Column) -> Column:
     return F.regexp_extract(path, "^/([^/]*)", 1)
 
 
+def _keys() -> dict[str, Column]:
+    """What statistics are kept of: host endings and first path parts."""
+    return {"suffix_rate": _suffix(F.col("host")), "head_rate": _head(F.col("path"))}
+
+
+@dataclass(frozen=True)
+class Rates:
+    """The share of label 1 by key, as a table (``_key``, ``_rate``) of one row each."""
+
+    table: DataFrame
+    small: bool
+
+    @classmethod
+    def of(cls, rows: DataFrame, key: Column, prior: float) -> Rates:
+        table = cut_lineage(rows.groupBy(key.alias("_key")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).where(F.col("n") >= SUPPORT).select(
+            "_key", ((F.col("ones") + 10 * prior) / (F.col("n") + 10)).alias("_rate")))
+        return cls(table, is_small(table))
+
+    def added(self, urls: DataFrame, key: Column, name: str) -> DataFrame:
+        """``urls`` with the rate of each row's key as ``name``, null without one."""
+        rates = self.table.withColumnsRenamed({"_key": f"{name}_key", "_rate": name})
+        keyed = key == F.col(f"{name}_key")
+        if self.small:
+            return urls.join(sized(rates, True), keyed, "left").drop(f"{name}_key")
+        whole = [F.col(f"`{f.name}`") for f in urls.schema if "map<" not in f.dataType.simpleString()]
+        salt, salts = f"{name}_part", F.sequence(F.lit(0), F.lit(SALTS - 1))
+        urls = urls.withColumn(salt, F.pmod(F.xxhash64(*whole), F.lit(SALTS)).cast("int"))
+        rates = rates.withColumn(f"{name}_salt", F.explode(salts))
+        return urls.join(sized(rates, False), keyed & (F.col(salt) == F.col(f"{name}_salt")), "left").drop(
+            f"{name}_key", f"{name}_salt", salt)
+
+
 @dataclass
 class UrlModel:
     """Boosted trees over binned features; ``trees`` are nested (feature, bin, low, high) or leaf values."""
 
     base: float = 0.0
     edges: dict[str, list[float]] = field(default_factory=dict)
-    rates: dict[str, dict[str, float]] = field(default_factory=dict)
+    rates: dict[str, Rates] = field(default_factory=dict)
     prior: float = 0.5
     trees: list = field(default_factory=list)
 
     def features(self, urls: DataFrame, url_col: str) -> DataFrame:
         """Adds the features as one struct ``_f``."""
         f = _lexical(F.col(url_col), F.col("host"), F.col("path"))
-        for name, key in (("suffix_rate", _suffix(F.col("host"))), ("head_rate", _head(F.col("path")))):
-            known = self.rates.get(name, {})
+        for name, key in _keys().items():
             f[name] = F.lit(self.prior)
-            if known:
-                items = [F.lit(x) for kv in sorted(known.items()) for x in kv]
-                f[name] = F.coalesce(F.try_element_at(F.create_map(*items), key), F.lit(self.prior))
-        return urls.withColumn("_f", F.struct(*[c.alias(k) for k, c in f.items()]))
+            if name in self.rates:
+                urls = self.rates[name].added(urls, key, f"_{name}")
+                f[name] = F.coalesce(F.col(f"_{name}"), F.lit(self.prior))
+        return urls.withColumn("_f", F.struct(*[c.alias(k) for k, c in f.items()])).drop(*[f"_{k}" for k in self.rates])
 
     def bins(self) -> Column:
         """The features' bins as one struct: how many edges lie below the value."""
@@ -154,10 +187,7 @@ def train(labelled: DataFrame, *, trees: int = 10, depth: int = 3, rate: float =
     model.base = math.log(model.prior / (1 - model.prior))
     if not 0 < ones < n:
         return model
-    for name, key in (("suffix_rate", _suffix(F.col("host"))), ("head_rate", _head(F.col("path")))):
-        often = rows.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).orderBy(
-            F.desc("n"), "k").where(F.col("n") >= SUPPORT).limit(SUFFIXES).collect()
-        model.rates[name] = {r.k: (r.ones + 10 * model.prior) / (r.n + 10) for r in often}
+    model.rates = {name: Rates.of(rows, key, model.prior) for name, key in _keys().items()}
     seen = model.features(rows, "url")
     names = seen.schema["_f"].dataType.names
     cuts = [i / BINS for i in range(1, BINS)]

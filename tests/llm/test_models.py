@@ -8,6 +8,7 @@ import pytest
 
 from genoloom.llm import langid, toxicity, urls
 from genoloom.llm.queries import URL_RULES, op3_language_id, op4_url_filter, op5_toxicity
+from genoloom.operators import requests
 
 SF = "/root/testdata/sf0.01"
 
@@ -112,6 +113,27 @@ def test_url_rules_and_trees(spark):
     assert urls.judged(pages.where("false"), URL_RULES, model).collect() == []
 
 
+@pytest.mark.parametrize("rows", [requests.BROADCAST_ROWS, 0])
+def test_every_ending_with_support_has_its_rate(spark, monkeypatch, rows):
+    monkeypatch.setattr(requests, "BROADCAST_ROWS", rows)
+    ends = 330  # the last ones have the fewest rows
+    page = lambda i, k: f"http://h.e{i:03d}.com/p{i:03d}/{k:02d}"
+    known = [(page(i, k), i % 2) for i in range(ends) for k in range(15 if i < 300 else 12)]
+    rare = [("http://h.rare.com/rare/01", 1)] * (urls.SUPPORT - 1)
+    model = urls.train(spark.createDataFrame(known + rare, "url string, label int"), trees=1)
+    asked = spark.createDataFrame([(page(i, 99), i) for i in range(ends)] + [(page(7, 99), 7), (rare[0][0], -1), (None, -1)], "url string, i int")
+    got = model.features(urls.with_parts(asked), "url").select("i", "_f.suffix_rate", "_f.head_rate").collect()
+    assert len(got) == ends + 3
+    for r in got:
+        n = 15 if r.i < 300 else 12
+        want = model.prior if r.i < 0 else (r.i % 2 * n + 10 * model.prior) / (n + 10)
+        assert math.isclose(r.suffix_rate, want) and math.isclose(r.head_rate, want)
+    judged = urls.judged(asked, [], model)
+    assert judged.columns == ["url", "i", "host", "path", "block_score", "rule", "verdict"]
+    scores = {r.i: r.block_score for r in judged.collect() if r.i >= 0}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if i % 2 == 0)
+
+
 @pytest.mark.parametrize("label,score", [(None, 0.5), (1, 0.9), (0, 0.1)])
 def test_trees_without_both_labels(spark, label, score):
     rows = [("http://a/b", label)] * 20 if label is not None else []
