@@ -121,13 +121,16 @@ def scan(versions: DataFrame, ledger: Ledger, *, rules: tuple[ScanRule, ...] = R
     # ``at`` names a path in one column that may be null in none.
     at = F.xxhash64(*path_cols).alias("at")
     paths = cut_lineage(texts.select(*path_cols, at, F.sha2(F.col("text").cast("binary"), 256).alias("blob")))
-    unseen = cut_lineage(paths.groupBy("blob").agg(F.min("at").alias("at")).join(ledger.scanned(rule_version), "blob", "left_anti"))
-    # The thin side is hashed, so that texts are moved once and not sorted.
-    chosen = texts.select(at, "text").join(unseen.hint("shuffle_hash"), "at")
-    chosen = chosen.where(F.sha2(F.col("text").cast("binary"), 256) == F.col("blob"))
-    # The text depends on the blob's row, so no pattern is tried ahead of the join on texts
-    # that need no scan.
-    due = chosen.select("blob", F.when(F.length("blob") > 0, F.col("text")).alias("text"))
+    unseen = cut_lineage(paths.groupBy("blob").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")).join(
+        ledger.scanned(rule_version), "blob", "left_anti"))
+    # The thin side is hashed, so that texts are moved once and not sorted; each version
+    # meets its own blob alone, and the versions of one path spread over their blobs.
+    # No digest is null; said so, lest each is made once more to check it.
+    own = texts.select(at, F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")).alias("blob"), "text")
+    chosen = own.join(unseen.hint("shuffle_hash"), ["at", "blob"])
+    # The text depends on the unseen side's row, so no pattern is tried ahead of the join on
+    # texts that need no scan.
+    due = chosen.select("blob", F.when(F.col("n") > 0, F.col("text")).alias("text"))
     ledger.add(unseen.select("blob"), findings(due, rules), rule_version)
     back = paths.join(ledger.found(rule_version), "blob", "left")
     return back.select(*path_cols, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+from genoloom.llm import blobs
 from genoloom.llm.blobs import Ledger, scan
 
 KINDS = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 6, 2),
@@ -57,3 +58,13 @@ def test_query_runs_without_python_nodes(spark):
 
     plan = op9_secret_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_versions_of_one_path_meet_only_their_own_blob(spark, tmp_path, monkeypatch):
+    seen, plain = [], blobs.findings
+    monkeypatch.setattr(blobs, "findings", lambda texts, rules: seen.append(texts) or plain(texts, rules))
+    rows = [(None if i % 2 else 1, f"password = secret{i:03d}") for i in range(60)]
+    got = blobs.scan(spark.createDataFrame(rows, "doc_id long, text string"), blobs.Ledger(spark, str(tmp_path / "ledger"))).collect()
+    assert len(got) == 60 and all(len(r.spans) == 1 for r in got)
+    plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"ShuffledHashJoin \[at#\d+L?, blob#\d+\]", plan) and not re.search("Filter .*sha2", plan)
