@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import blobs, decontam, jaccard, langid, mtree, pieces, pii, toxicity, urls, warc
+from genoloom.llm import blobs, decontam, jaccard, langid, merkle, mtree, pieces, pii, runs, toxicity, urls, warc
 from genoloom.llm.common import remainder, table
 from genoloom.session import shared_folder
 
@@ -164,8 +164,42 @@ def op10_top_k(spark: SparkSession, d: str) -> DataFrame:
     return mtree.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of ids whose crc32 ends in 0 with their words from place a on replaced by
+    repeats of the p words there; the other texts as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.expr("g"), F.expr("n")
+    a, p = F.expr("g % n"), F.expr("1 + (n - g % n) div (3 + g % 8)")
+
+    def original(w: Column, i: Column) -> Column:
+        return F.when(i < a, w).otherwise(F.get("w", (a + (i - a) % p).cast("int")))
+
+    return docs.withColumn("w", F.when(h % 10 == 0, words)).withColumns(
+        {"n": F.size("w").cast("long"), "g": F.floor(h / 10)}).withColumn(
+        "text", F.when(n > 0, F.array_join(F.transform("w", original), " ")).otherwise(F.col("text"))).select("doc_id", "text")
+
+
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    found = runs.periodic_runs(_with_planted_runs(table(spark, d, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.withColumn("best", F.when(F.size("runs") > 0, longest))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    tampered = F.when(remainder("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    proofs = merkle.manifest(table(spark, d, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], claimed={"text": tampered})
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece, op3_language_id, op4_url_filter, op5_toxicity, op6_warc, op7_jaccard_join, op8_decontamination, op9_secret_scan, op10_top_k)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece, op3_language_id, op4_url_filter, op5_toxicity, op6_warc, op7_jaccard_join, op8_decontamination, op9_secret_scan, op10_top_k, op11_periodic_runs, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
