@@ -36,8 +36,8 @@ def remainder(column: Column | str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n
 
 
-def arrow_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``SLICE_BYTES`` of the column, one row at least."""
+def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about ``size`` bytes of the column, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -46,7 +46,7 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.
         start = 0
         while start < len(upto):
             base = upto[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(upto, base + SLICE_BYTES, side="right")))
+            end = max(start + 1, int(np.searchsorted(upto, base + size, side="right")))
             yield batch.slice(start, end - start)
             start = end
 
@@ -80,15 +80,16 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a slice of texts, and each text's number of words.
 
-    A word is a maximal run of bytes other than space and \\t \\n \\v \\f \\r, A-Z lower-cased.
+    A word is a maximal run of bytes other than space and \\t \\n \\v \\f \\r, A-Z lower-cased if asked.
     A word's hash is its byte polynomial modulo 2**64, finalized; nulls have no words.
     """
     texts = pa.array(texts) if not isinstance(texts, pa.Array) else texts
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
-    data = _LOWER[np.frombuffer(b"\n".join(t.as_buffer() if t.is_valid else b"" for t in texts), np.uint8)]
+    data = np.frombuffer(b"\n".join(t.as_buffer() if t.is_valid else b"" for t in texts), np.uint8)
+    data = _LOWER[data] if lower else data
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     inside = ~_IS_SPACE[data]

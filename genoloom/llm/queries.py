@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import blobs, decontam, jaccard, langid, merkle, mtree, pieces, pii, runs, toxicity, urls, warc
+from genoloom.llm import blobs, decontam, jaccard, langid, merkle, mtree, pieces, pii, runs, spans, toxicity, urls, warc
 from genoloom.llm.common import remainder, table
 from genoloom.session import shared_folder
 
@@ -80,6 +80,23 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
+OP13 = r"""
+WITH d AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
+r AS (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r
+    FROM (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM i)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM r WHERE r > 1),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text
+    FROM each LEFT JOIN (SELECT doc_id AS g, j AS gj FROM gone) ON doc_id = g AND j = gj WHERE gj IS NULL GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -198,9 +215,14 @@ def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    found = spans.deduplicated(table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece, op3_language_id, op4_url_filter, op5_toxicity, op6_warc, op7_jaccard_join, op8_decontamination, op9_secret_scan, op10_top_k, op11_periodic_runs, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece, op3_language_id, op4_url_filter, op5_toxicity, op6_warc, op7_jaccard_join, op8_decontamination, op9_secret_scan, op10_top_k, op11_periodic_runs, op12_merkle_manifest, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6, "op7_jaccard_join": OP7, "op9_secret_scan": OP9, "op10_top_k": OP10}
+    return {"op6_warc": OP6, "op7_jaccard_join": OP7, "op9_secret_scan": OP9, "op10_top_k": OP10, "op13_substring_dedup": OP13}
