@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,14 @@ class Settings:
 
     positives: int = 5_000   # confirmed toxic texts, about
     unlabelled: int = 8_000  # unlabelled texts, about
-    candidates: int = 50_000  # grams counted in unlabelled text, the most frequent in toxic texts
-    features: int = 1_000
+    width: int = 1 << 16     # weights; grams are hashed into them
+    support: int = 3         # toxic texts that have a gram
     least_z: float = 4.0     # by how many standard errors a gram's toxic rate exceeds its unlabelled rate,
     least_lift: float = 4.0  # and how many times as large it has to be
-    least_share: float = 0.02  # and the share of toxic texts that have it, three texts at least
     steps: int = 600
     decay: float = 1e-4
+    tolerance: float = 0.01  # of the negatives' risk below zero, before a step back
+    discount: float = 0.1    # of that step
 
 
 @dataclass
@@ -77,16 +79,17 @@ def _sampled(docs: DataFrame, size: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * size / n))
 
 
-def _frequencies(docs: DataFrame, known: frozenset[str] | None) -> DataFrame:
-    """(gram, n): in how many texts each gram occurs, summed in each task first."""
+def _frequencies(docs: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
+    """(gram, n): in how many texts each gram, or each known one, occurs, summed in each task first."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for part in arrow_slices(batches, "text"):
             for text in part.column("text").to_pylist():
                 found = _marks_of(text)
-                counts.update(found if known is None else found & known)
-            if len(counts) > 1_000_000:
+                counts.update(found if shared.value is None else found & shared.value)
+            if len(counts) > 500_000:
                 yield _counted(counts)
                 counts = Counter()
         yield _counted(counts)
@@ -98,69 +101,98 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"gram": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
 
+def _telling(toxic: DataFrame, unlabelled: DataFrame, n_p: int, n_u: int, s: Settings) -> list[str]:
+    """All grams whose rate in toxic texts exceeds that in unlabelled ones by far and surely.
+    How many texts have a gram is bounded by the samples, and so are the lists here."""
+    in_p = {r.gram: r.n for r in _frequencies(toxic).where(F.col("n") >= s.support).collect()}
+    in_u = {r.gram: r.n for r in _frequencies(unlabelled, frozenset(in_p)).collect()}
+    names = sorted(in_p)
+    a, c = (np.array([float(n.get(g, 0)) for g in names]) for n in (in_p, in_u))
+    p, q, both = a / n_p, c / n_u, (a + c) / (n_p + n_u)
+    z = (p - q) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
+    return [g for g, ok in zip(names, (z >= s.least_z) & (p >= s.least_lift * q), strict=True) if ok]
+
+
 def fit(toxic: DataFrame, unlabelled: DataFrame, prior: float, s: Settings = Settings()) -> ToxicModel:
     """A model from (id, text) rows of confirmed toxic and of unlabelled text.
 
-    Training draws bounded samples of both, as ``Settings`` says.  Without toxic texts the
-    model scores everything close to zero.
+    Training draws bounded samples of both, as ``Settings`` says.  Without toxic texts, or
+    with too few to tell any gram, the model scores everything close to zero.
     """
     toxic, unlabelled = (cut_lineage(_sampled(d, n)) for d, n in ((toxic, s.positives), (unlabelled, s.unlabelled)))
     n_p, n_u = toxic.count(), unlabelled.count()
-    if not n_p or not n_u:
-        return ToxicModel({}, -5.0)
-    often = _frequencies(toxic, None).where(F.col("n") >= max(3, s.least_share * n_p)).orderBy(F.desc("n"), "gram").limit(s.candidates)
-    in_p = {r.gram: r.n for r in often.collect()}
-    in_u = {r.gram: r.n for r in _frequencies(unlabelled, frozenset(in_p)).collect()}
-    z = {}
-    for g, a in in_p.items():
-        p, q = a / n_p, in_u.get(g, 0) / n_u
-        both = (a + in_u.get(g, 0)) / (n_p + n_u)
-        z[g] = (p - q) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
-    names = sorted((g for g in z if z[g] >= s.least_z and in_p[g] * n_u >= s.least_lift * in_u.get(g, 0) * n_p), key=lambda g: (-z[g], g))[:s.features]
+    names = _telling(toxic, unlabelled, n_p, n_u, s) if n_p and n_u else []
     if not names:
         return ToxicModel({}, -5.0)
-    place = {g: i for i, g in enumerate(names)}
+    slots = {g: crc32(g.encode()) % s.width for g in names}
+    shared = toxic.sparkSession.sparkContext.broadcast(slots)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "text"):
-            hits = [sorted(place[g] for g in _marks_of(t) & place.keys()) for t in part.column("text").to_pylist()]
+            hits = [sorted(shared.value[g] for g in _marks_of(t) & shared.value.keys()) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"hits": pa.array(hits, pa.list_(pa.int32()))})
 
     samples = []
-    for docs, n in ((toxic, n_p), (unlabelled, n_u)):  # equal rows are counted together, in a fixed order
+    for docs in (toxic, unlabelled):  # equal rows are counted together, in a fixed order
         found = docs.select("text").mapInArrow(rows, "hits array<int>").groupBy("hits").count().orderBy("hits").collect()
-        x = np.zeros((len(found), len(names)), np.float32)
-        for i, r in enumerate(found):
-            x[i, r.hits] = 1
-        samples.append((x, np.array([r["count"] for r in found], np.float32) / n))
-    w, b = _non_negative_pu(*samples, prior, s)
-    return ToxicModel({g: float(w[i]) for g, i in place.items()}, float(b))
+        samples.append(Sample([r.hits for r in found], [r["count"] for r in found]))
+    shared.destroy()
+    w, b = non_negative_pu(*samples, prior, s)
+    return ToxicModel({g: float(w[i]) for g, i in slots.items()}, float(b))
 
 
-def _non_negative_pu(positive, unlabelled, prior: float, s: Settings) -> tuple[np.ndarray, float]:
-    """Weights by Adam on the non-negative risk with the logistic loss.
+class Sample:
+    """Distinct sparse rows of ones and the share of texts that each stands for."""
 
-    Both samples are (rows, shares): distinct rows and the share of texts that have each.
-    """
-    (x_p, c_p), (x_u, c_u) = positive, unlabelled
-    w, b = np.zeros(x_p.shape[1], np.float32), -2.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    def __init__(self, hits: list[list[int]], counts: list[int]):
+        self.hits = hits
+        self.share = np.array(counts, np.float64) / max(1, sum(counts))
+        self.row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+        self.slot = np.array([i for h in hits for i in h], np.int64)
 
-    def sigmoid(t):
-        return 1 / (1 + np.exp(-np.clip(t, -30, 30)))
+    def sums(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.row, w[self.slot], len(self.hits)) + b
 
+    def gradient(self, d: np.ndarray, width: int) -> np.ndarray:
+        return np.append(np.bincount(self.slot, d[self.row], width), d.sum())
+
+
+def _sigmoid(t):
+    return 1 / (1 + np.exp(-np.clip(t, -30, 30)))
+
+
+def non_negative_pu(positive: Sample, unlabelled: Sample, prior: float, s: Settings) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Adam on the non-negative risk with the logistic loss.
+
+    A negatives' risk below minus the tolerance takes a discounted step back.  Grams were
+    chosen for a sure difference, so all steps are taken: stopping early costs minorities.
+    The intercept never exceeds the log odds of the prior, so a text without any evidence
+    stays below 0.5, and is lowered in the end until the mean score of the unlabelled sample
+    is at most the prior.
+    """
+    prior, p, u = min(max(prior, 1e-4), 0.45), positive, unlabelled
+    top = float(np.log(prior / (1 - prior)))
+    w, b = np.zeros(s.width), top
+    m, v = np.zeros(s.width + 1), np.zeros(s.width + 1)
     for step in range(1, s.steps + 1):
-        f_p, f_u = x_p @ w + b, x_u @ w + b
-        as_negative = c_u @ np.logaddexp(0, f_u) - prior * (c_p @ np.logaddexp(0, f_p))
-        d_u, back = c_u * sigmoid(f_u), -prior * c_p * sigmoid(f_p)
-        if as_negative >= 0:
-            d_p = prior * c_p * (sigmoid(f_p) - 1) + back
-        else:  # step back until the negatives' risk is positive again
-            d_p, d_u = -back, -d_u
-        grad = np.append(x_p.T @ d_p.astype(np.float32) + x_u.T @ d_u.astype(np.float32) + s.decay * w, d_p.sum() + d_u.sum())
+        f_p, f_u = p.sums(w, b), u.sums(w, b)
+        back, d_u = -prior * p.share * _sigmoid(f_p), u.share * _sigmoid(f_u)
+        as_negative = u.share @ np.logaddexp(0, f_u) - prior * (p.share @ np.logaddexp(0, f_p))
+        if as_negative >= -s.tolerance:
+            grad = p.gradient(prior * p.share * (_sigmoid(f_p) - 1) + back, s.width) + u.gradient(d_u, s.width)
+        else:
+            grad = -s.discount * (p.gradient(back, s.width) + u.gradient(d_u, s.width))
+        grad[:-1] += s.decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         move = 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-        w, b = (w - move[:-1]).astype(np.float32), b - move[-1]
+        w, b = w - move[:-1], min(top, b - move[-1])
+    low, high = b - 30, b
+    sums = u.sums(w, 0.0)
+    if u.share @ _sigmoid(sums + b) > prior:
+        for _ in range(50):
+            middle = (low + high) / 2
+            low, high = (middle, high) if u.share @ _sigmoid(sums + middle) <= prior else (low, middle)
+        b = low
     return w, b
 
 

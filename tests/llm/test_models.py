@@ -1,9 +1,11 @@
 """Language, toxicity and URL models: held-out accuracy, rules, edge cases."""
 
 import math
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from genoloom.llm import langid, toxicity, urls
@@ -48,16 +50,49 @@ def test_language_edge_cases(spark):
 
 # -- toxicity ------------------------------------------------------------------
 
-def test_toxicity_on_held_out_labels(spark):
-    d = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("size, least", [("sf0.001", 1.0), ("sf0.01", 0.6), ("sf0.1", 0.9)])
+def test_toxicity_on_held_out_labels(spark, size, least):
+    """Ten, 45 and 352 confirmed texts to learn from."""
+    d = f"/root/testdata/{size}"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     got = op5_toxicity(spark, d).collect()
     assert all(r.held_out == (crc(r.doc_id, 5) == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
     held = [(truth[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in truth]
-    assert sum(p for t, p in held if t) >= 0.9 * sum(t for t, _ in held)
+    assert sum(p for t, p in held if t) >= least * sum(t for t, _ in held)
     assert sum(p for t, p in held if not t) <= 0.02 * sum(1 - t for t, _ in held)
 
 
+def test_toxicity_of_a_small_minority(spark):
+    """One in a hundred toxic texts has a vocabulary of its own."""
+    rng, rows, labels = random.Random(4), [], []
+    usual, rare, plain = ([f"{k}{chr(97 + i)}{chr(97 + i)}" for i in range(n)] for k, n in (("vile", 12), ("gemein", 6), ("plain", 26)))
+    for i in range(12_000):
+        toxic = i % 8 == 0
+        words = rng.choices(plain, k=40) + (rng.choices(rare if i % 800 == 0 else usual, k=4) if toxic else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels += [(i, int(toxic))] if i % 5 else []
+    learnt = spark.createDataFrame(rows, "doc_id long, text string")
+    # every fifth is unlabelled, and all of the rare ones would be: label these
+    labels += [(i, 1) for i in range(0, 12_000, 800)]
+    model = toxicity.fit_on_labels(learnt, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fresh = [(20_000 + i, " ".join(rng.choices(plain, k=40) + rng.choices(rare, k=4))) for i in range(40)]
+    got = {r.doc_id: r.predicted for r in toxicity.scored(
+        learnt.union(spark.createDataFrame(fresh, learnt.schema)), model).collect()}
+    assert sum(got[i] for i, _ in fresh) >= 32
+    assert sum(got[i] for i in range(12_000) if i % 8) <= 105
+    assert sum(got[i] for i in range(0, 12_000, 8)) >= 1425
+
+
+def test_a_text_without_evidence_is_clean_whatever_the_sample():
+    for prior in (0.0, 0.01, 0.3, 0.9):
+        for hits_p, hits_u in (([[1]], [[]]), ([[1], [2]], [[], [1]]), ([[1]], [[1]]), ([[]], [[1]])):
+            p, u = (toxicity.Sample(h, [1] * len(h)) for h in (hits_p, hits_u))
+            w, b = toxicity.non_negative_pu(p, u, prior, toxicity.Settings(width=8, steps=60))
+            assert b < -0.1 and np.isfinite(w).all()
+            assert u.share @ (1 / (1 + np.exp(-u.sums(w, b)))) <= max(prior, 1e-4) + 1e-6
+
+
 def test_toxicity_edge_cases(spark):
     texts = [f"plain words number{i} here" + (" vile wretch" if i % 10 == 0 else "") for i in range(300)]
     docs = spark.createDataFrame([*enumerate(texts), (None, "vile"), (500, None)], "doc_id long, text string")
