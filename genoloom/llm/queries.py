@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import blobs, decontam, jaccard, langid, merkle, mtree, pieces, pii, runs, spans, toxicity, urls, warc
+from genoloom.llm import blobs, decontam, jaccard, langid, merkle, mtree, pii, runs, spans, toxicity, urls, warc
 from genoloom.llm.common import remainder, table
 from genoloom.session import shared_folder
 
@@ -97,12 +97,24 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIG
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+def piece_model() -> str:
+    """The vocabulary file of the public tokenizers that op2 and the pipeline use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    """The key of the pseudonyms: a secret of the deployment, set as genoloom.pii.key."""
-    return spark.conf.get("genoloom.pii.key", "an open key, for tests and examples").encode()
+    """The key of the pseudonyms: a secret of the deployment, set as genoloom.pii.key.  Only a
+    local session may go without, with an open key and a warning."""
+    key = spark.conf.get("genoloom.pii.key", None)
+    if key is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set genoloom.pii.key: pseudonyms are as secret as their key")
+        warnings.warn("genoloom.pii.key is not set: anyone can undo these pseudonyms", stacklevel=2)
+        key = "an open key, for tests and examples"
+    return key.encode()
 
 
 def op1_pii_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +123,9 @@ def op1_pii_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
-    coded = pieces.encode_documents(table(spark, d, "documents").select("doc_id", "text"), PIECE_MODEL)
+    from genoloom.llm import pieces
+
+    coded = pieces.encode_documents(table(spark, d, "documents").select("doc_id", "text"), piece_model())
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id", "n_tokens", F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),

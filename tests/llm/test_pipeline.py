@@ -11,7 +11,7 @@ from genoloom.llm import toxicity
 from genoloom.llm.decontam import Index, Settings, _codes
 from genoloom.llm.jaccard import Rule
 from genoloom.llm.pii import Pseudonyms, replaced
-from genoloom.llm.queries import PIECE_MODEL, pii_key
+from genoloom.llm.queries import piece_model, pii_key
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,7 +64,7 @@ def test_personal_data_is_replaced(spark, stages):
 
 def test_tokens(stages):
     before, after, _ = stages[4]
-    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     assert {i: (list(r.ids), r.n_tokens) for i, r in after.items()} == {
         i: (library.encode(r.text), len(library.encode(r.text))) for i, r in before.items()}
 
