@@ -25,14 +25,14 @@ from genoloom.llm.common import arrow_slices, mixed
 from genoloom.session import cut_lineage
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-FILTER_BITS = 20
+FILTER_BITS = 22
 
 
 @dataclass(frozen=True)
 class Settings:
     q: int = 8                # characters of a q-gram
     rate: float = 0.05        # edits for each character of an item, rounded down
-    least: int = 40           # items of fewer normalized characters are matched without edits
+    least: int = 40           # items of fewer normalized characters are matched without edits, as whole words
     window: int = 800         # longer items are searched for as windows of that size, half overlapping
     excerpt: int = 250        # of longer items a verbatim excerpt of so many characters is found, whatever its offset,
     part: int = 200           # as parts of that size that start excerpt - part apart are searched for, too
@@ -60,6 +60,7 @@ def _codes(text: str | None) -> np.ndarray:
     return codes[keep]
 
 
+_SPACE = np.array([32], np.uint32).tobytes()
 _WORDLIKE = np.array([chr(c).isalnum() for c in range(0x3000)])
 
 
@@ -97,7 +98,7 @@ class Index:
         self.maybe[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         self.units = [_units(len(c), s) for c in self.codes]
         self.bounds = np.array([min(s.bound(size) for size, _ in u) for u in self.units], np.int64)
-        self.short = [k for k, c in enumerate(self.codes) if 0 < len(c) < s.q]
+        self.tiny = [(k, b"".join((_SPACE, c.tobytes(), _SPACE))) for k, c in enumerate(self.codes) if 0 < len(c) < s.q]
 
     def leaks(self, codes: np.ndarray) -> dict[int, int]:
         """Items found in a text and their edits."""
@@ -108,13 +109,17 @@ class Index:
             low = np.searchsorted(self.hash, h[at], "left")
             many = np.searchsorted(self.hash, h[at], "right") - low
             at, low, many = at[many > 0], low[many > 0], many[many > 0]
-            if len(at):
-                each = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-                self._bands(codes, self.item[each], np.repeat(at, many) - self.place[each], self.place[each], found)
-        if self.short:
-            text = codes.tobytes()
-            for k in self.short:
-                if _inside(self.codes[k].tobytes(), text, 4):
+            each = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            # Most items share some q-grams with a text, few as many as their bound.
+            item = self.item[each]
+            on = np.bincount(item, minlength=len(self.ids))[item] >= self.bounds[item] if len(item) else np.zeros(0, bool)
+            if on.any():
+                each = each[on]
+                self._bands(codes, item[on], np.repeat(at, many)[on] - self.place[each], self.place[each], found)
+        if self.tiny:
+            text = b"".join((_SPACE, codes.tobytes(), _SPACE))
+            for k, word in self.tiny:
+                if _inside(word, text, 4):
                     found[self.ids[k]] = 0
         return found
 
@@ -124,7 +129,11 @@ class Index:
         edges = np.flatnonzero(np.diff(item)) + 1
         for a, b in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(item)]]), strict=True):
             k = int(item[a])
-            if b - a < self.bounds[k] or self.ids[k] in found:
+            if self.ids[k] in found:
+                continue
+            if len(self.codes[k]) < self.s.least:
+                if _stands_in(codes, self.codes[k], diagonal[a:b]):
+                    found[self.ids[k]] = 0
                 continue
             for size, starts in self.units[k]:
                 edits = self._unit(codes, self.codes[k], size, starts, diagonal[a:b], place[a:b])
@@ -144,19 +153,42 @@ class Index:
         width = 2 * e + 2
         bands = d // width
         more = d - bands * width < e  # the last band reaches e further
-        pairs = np.stack([np.concatenate([which, which[more]]), np.concatenate([bands, bands[more] - 1])])
-        names, counts = np.unique(pairs, axis=1, return_counts=True)
+        least = int(bands.min()) - 1
+        n_bands = int(bands.max()) - least + 1
+        names = which * n_bands + bands - least
+        names, counts = np.unique(np.concatenate([names, names[more] - 1]), return_counts=True)
         best = last = None
-        for n, band in names[:, counts >= bound].T.tolist():
+        for n, band in zip(*divmod(names[counts >= bound], n_bands), strict=True):
+            n, band = int(n), int(band) + least
             if best is not None and n != last:
                 break
             last, start = n, int(starts[n])
-            edits = within(item[start:start + size], codes, band * width + start, (band + 1) * width + e - 1 + start, e)
+            low, high = band * width, (band + 1) * width + e - 1
+            if _verbatim(codes, item[start:start + size], d[(which == n) & (d >= low) & (d <= high)] + start, self.s.q):
+                return 0
+            edits = within(item[start:start + size], codes, low + start, high + start, e)
             if edits is not None and (best is None or edits < best):
                 best = edits
         return best
 
 
+def _verbatim(codes: np.ndarray, item: np.ndarray, places: np.ndarray, q: int) -> bool:
+    """Whether an item stands in a text as it is, at a place that all its q-grams speak for."""
+    at, counts = np.unique(places, return_counts=True)
+    return any((codes[k:k + len(item)] == item).all() for k in at[counts == len(item) - q + 1].tolist()
+               if k >= 0 and k + len(item) <= len(codes))
+
+
+def _stands_in(codes: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> bool:
+    """Whether an item stands in a text, as whole words, on one of the diagonals."""
+    for at in np.unique(diagonal).tolist():
+        end = at + len(item)
+        if at >= 0 and end <= len(codes) and (not at or codes[at - 1] == 32) and (end == len(codes) or codes[end] == 32) \
+                and (codes[at:end] == item).all():
+            return True
+    return False
+
+
 def _strip(codes: np.ndarray) -> np.ndarray:
     return codes[:-1] if len(codes) and codes[-1] == 32 else codes
 
@@ -212,7 +244,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
     whole or, as the module says, in part; the edits are the whole's, else the part's.
 
     Texts are compared lower-cased, with one space for each run of other characters than
-    letters and digits.  Items are indexed and broadcast in blocks of a bounded number of
+    letters and digits.  An item of fewer than ``least`` characters counts without edits and
+    as whole words only: "yes" is not in "eyes", but an item of one common word is in very
+    many documents.  Items are indexed and broadcast in blocks of a bounded number of
     characters, each met with all documents; one longer than a block is a block.  Null and
     empty items and texts match nothing, null ids are kept as they are, repeated documents
     come out repeated, repeated items once for each.  Of other columns none is read.

@@ -2,7 +2,7 @@
 
 import random
 
-from genoloom.llm.decontam import Index, Settings, _codes, _strip, leaks, without_leaks
+from genoloom.llm.decontam import Index, Settings, _codes, _strip, _units, leaks, without_leaks
 
 S = Settings()
 
@@ -35,6 +35,9 @@ def test_finds_exactly_what_the_edit_distance_allows():
         want = fewest(plain.tolist(), codes.tolist()) if len(plain) else None
         budget = S.budget(len(plain))
         want = want if want is not None and want <= budget else None
+        if len(plain) < S.least:  # as whole words
+            words = "".join(map(chr, plain))
+            want = 0 if words and f" {words} " in " " + "".join(map(chr, codes)) + " " else None
         assert Index([(1, item)], S).leaks(codes).get(1) == want
         found += want is not None
     assert found > 30
@@ -75,6 +78,30 @@ def test_verbatim_excerpts_are_found_at_any_offset():
         assert index.leaks(_codes(ends[0] + middle + ends[1])) == {}
 
 
+def test_short_items_are_whole_words():
+    index = Index([(1, "Yes!"), (2, "tomatoes"), (3, "a red tomato"), (4, "?")], S)
+    for text, want in (("my eyes", {}), ("oh, yes", {1: 0}), ("stomatoesque", {}), ("ripe tomatoes.", {2: 0}), ("a red tomatoes", {2: 0}),
+                       ("a red tomato", {3: 0}), ("tomatoes a red tomato yes", {1: 0, 2: 0, 3: 0}), ("", {}), ("yesyes yes-yes", {1: 0})):
+        assert index.leaks(_codes(text)) == want, text
+
+
+def test_parts_with_edits_equal_the_edit_distance():
+    """Items of over 250 characters: found if a window or a part is within its own budget."""
+    rng, found = random.Random(8), 0
+    for _ in range(24):
+        item = "".join(rng.choices("abcdefgh ", k=rng.randint(251, 420)))
+        long = rng.randint(190, 260)
+        start = rng.randint(0, len(item) - min(long, len(item)))
+        ends = ["".join(rng.choices("abcdefgh ", k=60)) for _ in range(2)]
+        text = ends[0] + changed(rng, item[start:start + long], rng.randint(0, 16), "abcdefgh ") + ends[1]
+        codes, plain = _codes(text), _strip(_codes(item))
+        want = any(fewest(plain[k:k + size].tolist(), codes.tolist()) <= S.budget(size)
+                   for size, starts in _units(len(plain), S) for k in starts.tolist())
+        assert (1 in Index([(1, item)], S).leaks(codes)) == want
+        found += want
+    assert 4 < found < 24
+
+
 def test_whole_items_with_edits_in_clusters_are_still_found():
     rng = random.Random(6)
     item = "".join(rng.choices("abcdefghijk", k=799))
