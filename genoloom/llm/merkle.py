@@ -32,7 +32,6 @@ from genoloom.session import cut_lineage
 
 FAN = 3
 LEVELS = 7
-SPAN = FAN ** LEVELS
 
 
 def digest(*parts: str) -> str:
@@ -48,11 +47,11 @@ def leaf_of(*columns: Column) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
-def widths(width: int, whole: bool) -> list[int]:
+def widths(width: int, whole: bool, levels: int) -> list[int]:
     """The number of nodes on each level of a block: down to one if the block is the whole
     tier of its tree, else to the level of a full block's node."""
     out = [width]
-    while out[-1] > 1 if whole else len(out) <= LEVELS:
+    while out[-1] > 1 if whole else len(out) <= levels:
         out.append(-(-out[-1] // FAN))
     return out
 
@@ -146,50 +145,53 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
         "of", "in_task", "before", "task")
 
 
-def _block() -> Column:
-    return F.expr(f"at div {SPAN}").alias("block")
-
-
-_WHOLE = f"width <= {SPAN}"  # a tree that ends in this tier
-
-
 @dataclass(frozen=True)
 class Forest:
     """Trees as tiers of nodes (tree, at, width, hash); the first tier, the leaves, may have
     more columns.  The nodes of a tier are those of the blocks below."""
 
     tiers: list[DataFrame]
+    levels: int
+
+    @property
+    def block(self) -> Column:
+        return F.expr(f"at div {FAN ** self.levels}").alias("block")
+
+    @property
+    def whole(self) -> Column:
+        """That a tree ends in this tier."""
+        return F.col("width") <= FAN ** self.levels
 
     def roots(self) -> DataFrame:
         """(tree, hash) of each tree."""
-        out = [_blocks(t.where(_WHOLE)).select("tree", "hash") for t in self.tiers]
+        out = [self.above(t.where(self.whole)).select("tree", "hash") for t in self.tiers]
         for t in out[1:]:
             out[0] = out[0].union(t)
         return out[0]
 
+    def above(self, tier: DataFrame) -> DataFrame:
+        """(tree, at, width, hash): the node of each block of a tier."""
+        levels = self.levels
 
-def _blocks(tier: DataFrame) -> DataFrame:
-    """(tree, at, width, hash): the node of each block of a tier."""
-
-    def work(key: tuple, table: pa.Table) -> pa.Table:
-        table, width = table.sort_by("at"), table.column("width")[0]
-        leaves = table.column("hash").to_pylist()
-        top = built(leaves, widths(len(leaves), width.as_py() <= SPAN))[-1][0]
-        return pa.table({"tree": pa.array([key[0].as_py()], pa.int64()), "at": pa.array([key[1].as_py()], pa.int64()),
-                         "width": pa.array([width.as_py()], pa.int64()), "hash": pa.array([top])})
+        def work(key: tuple, table: pa.Table) -> pa.Table:
+            table, width = table.sort_by("at"), table.column("width")[0]
+            leaves = table.column("hash").to_pylist()
+            top = built(leaves, widths(len(leaves), width.as_py() <= FAN ** levels, levels))[-1][0]
+            return pa.table({"tree": pa.array([key[0].as_py()], pa.int64()), "at": pa.array([key[1].as_py()], pa.int64()),
+                             "width": pa.array([width.as_py()], pa.int64()), "hash": pa.array([top])})
 
-    return tier.select("tree", _block(), "at", "width", "hash").groupBy("tree", "block").applyInArrow(
-        work, "tree bigint, at bigint, width bigint, hash string")
+        return tier.select("tree", self.block, "at", "width", "hash").groupBy("tree", "block").applyInArrow(
+            work, "tree bigint, at bigint, width bigint, hash string")
 
 
-def planted(leaves: DataFrame) -> Forest:
-    """The trees of leaves (tree, at, width, hash, ...), ``at`` from 0 to ``width`` - 1."""
-    tiers = [cut_lineage(leaves)]
-    while True:
-        over = tiers[-1].where(f"not {_WHOLE}")
-        if over.isEmpty():
-            return Forest(tiers)
-        tiers.append(cut_lineage(_blocks(over).withColumn("width", F.expr(f"(width + {SPAN - 1}) div {SPAN}"))))
+def planted(leaves: DataFrame, levels: int = LEVELS) -> Forest:
+    """The trees of leaves (tree, at, width, hash, ...), ``at`` from 0 to ``width`` - 1, in
+    blocks of ``FAN ** levels``."""
+    forest = Forest([cut_lineage(leaves)], levels)
+    span = FAN ** levels
+    while not (over := forest.tiers[-1].where(~forest.whole)).isEmpty():
+        forest.tiers.append(cut_lineage(forest.above(over).withColumn("width", F.expr(f"(width + {span - 1}) div {span}"))))
+    return forest
 
 
 def proven(forest: Forest, asked: DataFrame | None = None, outer: DataFrame | None = None, *, claim: str | None = None) -> DataFrame:
@@ -204,31 +206,31 @@ def proven(forest: Forest, asked: DataFrame | None = None, outer: DataFrame | No
     """
     tiers, wanted = forest.tiers, [asked and asked.select("tree", "at").distinct()]
     for _ in tiers[1:]:
-        wanted.append(wanted[-1] and wanted[-1].select("tree", _block()).distinct().withColumnRenamed("block", "at"))
+        wanted.append(wanted[-1] and wanted[-1].select("tree", forest.block).distinct().withColumnRenamed("block", "at"))
     above = None
     for k in reversed(range(len(tiers))):
         tier, want = tiers[k], wanted[k]
-        rows = tier.select("*", _block(), F.lit(None).cast("string").alias("path"))
+        rows = tier.select("*", forest.block, F.lit(None).cast("string").alias("path"))
         if want:
             want = cut_lineage(want)
-            rows = rows.join(want.select("tree", _block()).distinct(), ["tree", "block"], "left_semi").join(
+            rows = rows.join(want.select("tree", forest.block).distinct(), ["tree", "block"], "left_semi").join(
                 want.withColumn("want", F.lit(True)), ["tree", "at"], "left")
         else:
             rows = rows.withColumn("want", F.lit(True))
         down = [above.select("tree", F.col("at").alias("block"), "path")] if above else []
         if outer:
-            ends = tier.where(_WHOLE).where("at = 0").select("tree", F.lit(0).cast("bigint").alias("block"))
+            ends = tier.where(forest.whole).where("at = 0").select("tree", F.lit(0).cast("bigint").alias("block"))
             down.append(outer.select("tree", "path").join(ends, "tree").select("tree", "block", "path"))
         for d in down:
             rows = rows.unionByName(d, allowMissingColumns=True)
         kept = rows.drop("block", "path", "want") if not k else rows.select("tree", "at")
         last = claim if not k else None
         schema = extended(kept, "proof_sha256 string, folded string" if last else "path string")
-        above = cut_lineage(rows.groupBy("tree", "block").applyInArrow(_prover(schema, last), schema))
+        above = cut_lineage(rows.groupBy("tree", "block").applyInArrow(_prover(schema, last, forest.levels), schema))
     return above
 
 
-def _prover(schema: StructType, claim: str | None):
+def _prover(schema: StructType, claim: str | None, levels: int):
     columns = [f.name for f in schema.fields if f.name not in ("path", "proof_sha256", "folded")]
 
     def work(table: pa.Table) -> pa.Table:
@@ -239,8 +241,8 @@ def _prover(schema: StructType, claim: str | None):
         paths: list[str] = []
         if out.num_rows:
             hashes = nodes.column("hash").to_pylist()
-            sizes = widths(len(hashes), nodes.column("width")[0].as_py() <= SPAN)
-            places = [at % SPAN for at in asked.column("at").to_pylist()]
+            sizes = widths(len(hashes), nodes.column("width")[0].as_py() <= FAN ** levels, levels)
+            places = [at % FAN ** levels for at in asked.column("at").to_pylist()]
             missing = octopus(set(places), sizes)
             tree = built(hashes, sizes) if any(missing) else []
             read = [{i: tree[k][i] for i in positions} for k, positions in enumerate(missing)]
@@ -256,7 +258,7 @@ def _prover(schema: StructType, claim: str | None):
 
 
 def manifest(docs: DataFrame, columns: list[str], *, group: str = "source", order: str = "doc_id",
-             claimed: dict[str, Column] | None = None) -> DataFrame:
+             claimed: dict[str, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """A proof of each row of ``docs``: (``order``, ``group``, leaf, subroot, root,
     proof_sha256, folded_root, verified).
 
@@ -274,10 +276,10 @@ def manifest(docs: DataFrame, columns: list[str], *, group: str = "source", orde
     groups = numbered(cut_lineage(placed.select(F.lit(0).alias("all"), F.col("g").alias("name")).distinct()), "all", ["name"])
     groups = cut_lineage(groups.select("name", F.col("at").alias("tree"), F.col("width").alias("n_groups")))
     placed = placed.join(sized(groups.select("name", "tree"), is_small(groups)), F.col("g").eqNullSafe(F.col("name"))).drop("name")
-    trees = planted(placed)
+    trees = planted(placed, levels)
     subroots = cut_lineage(trees.roots())
     top = planted(groups.join(subroots, "tree").select(
-        F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("at"), F.col("n_groups").alias("width"), "hash"))
+        F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("at"), F.col("n_groups").alias("width"), "hash"), levels)
     root = top.roots().first()  # one digest
     outer = proven(top).select(F.col("at").alias("tree"), "path")
     found = proven(trees, None, outer, claim="claim")
