@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from genoloom.llm import decontam, jaccard, pieces, pii, toxicity
 from genoloom.llm.common import remainder, table
-from genoloom.llm.queries import PIECE_MODEL, pii_key
+from genoloom.llm.queries import piece_model, pii_key
 from genoloom.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -49,7 +49,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of each document: (doc_id, lang, source, ids, n_tokens)."""
-    return pieces.encode_documents(_columns(docs), PIECE_MODEL).select("doc_id", "lang", "source", "ids", "n_tokens")
+    return pieces.encode_documents(_columns(docs), piece_model()).select("doc_id", "lang", "source", "ids", "n_tokens")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -25,6 +25,16 @@ def test_every_query_has_sql():
     assert set(entry.core_queries()) == set(entry.core_sql())
 
 
+def test_a_missing_dependency_of_an_optional_module_costs_its_queries_only(tmp_path, monkeypatch):
+    (tmp_path / "needs_more.py").write_text("import surely_not_installed\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setattr(entry, "_OPTIONAL", ("needs_more", "genoloom.not_there"))
+    with pytest.warns(UserWarning, match="surely_not_installed"):
+        assert entry.queries() == entry.core_queries()
+    with pytest.warns(UserWarning, match="needs_more"):
+        assert entry.oracle_sql() == entry.core_sql()
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["region_id", "pos", "kind", "ref", "alt", "part", "n_samples", "samples"]
