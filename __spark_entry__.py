@@ -26,7 +26,7 @@ from genoloom.operators.asof import surrounding_marks  # noqa: E402
 from genoloom.plans.cohort import Cohort  # noqa: E402
 from genoloom.session import cut_lineage, shared_folder  # noqa: E402
 from genoloom.sinks import variant_lines  # noqa: E402
-from genoloom.sources import fasta, overlay, regions, vcf  # noqa: E402
+from genoloom.sources import bgzf, fasta, overlay, regions, vcf  # noqa: E402
 
 DOT_RADIUS, SEARCH_RADIUS = 2, 4
 # Narrow cells, so that the small contig of the tables spans many of them.
@@ -142,6 +142,33 @@ def samples_with_variant(spark, d):
     return c.samples_with_variant(asked).select("query_id", "pos", "ref", "alt", "name", "phasing")
 
 
+# -- block-gzipped files ----------------------------------------------------------
+
+def _stored_records(spark, d) -> list[tuple[str, int]]:
+    """The overlay's records as sorted, indexed, block-gzipped files."""
+    raw = _raw_alleles(_with_bases(spark, d, _cohort(spark, d)))
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.col("site_id").cast("string"), "ref", "alt",
+                       F.lit("99"), F.lit("."), F.lit("."), F.lit("GT"))
+    sorted_ = raw.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").select(line.alias("line"))
+    files = bgzf.write_blocked(sorted_, f"{shared_folder(spark)}/blocked-{uuid.uuid4().hex}", ["##fileformat=VCFv4.1"])
+    return [(r.uri, r["bytes"]) for r in files.collect()]
+
+
+def _records(lines):
+    return vcf.parse_records(lines).select("chrom", "pos", "ref", "alt")
+
+
+def bgzip_read(spark, d):
+    return _records(bgzf.read_blocked_lines(spark, _stored_records(spark, d), split_bytes=1 << 10))
+
+
+def bgzip_region_read(spark, d):
+    """Ten windows of 300 bases, spread over the contig."""
+    length = overlay.contig(spark, d).first()["length"]
+    windows = [(overlay.CHROM, k * length // 10 + 1, k * length // 10 + 301) for k in range(10)]
+    return _records(bgzf.read_blocked_lines(spark, _stored_records(spark, d), regions=windows))
+
+
 # -- joins, as-of lookups, windows -----------------------------------------------
 
 def range_join_variants(spark, d):
@@ -616,7 +643,7 @@ _NAMED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q7_samples_with_variant": samples_with_variant,
 }
 _PLAIN = [
-    range_join_variants, variant_counts, interval_overlap, interval_contained, asof_position_index,
+    bgzip_read, bgzip_region_read, range_join_variants, variant_counts, interval_overlap, interval_contained, asof_position_index,
     prev_ref_node, next_ref_node, nth_ref_node, window_is_empty, next_variant, prev_sample_variant,
     coord_running_delta, sample_path_length, sample_path, stored_round_trip, subsequence, sample_class_dictionary, class_popcount,
     class_nth_sample, carrier_density, carrier_union, graph_stats, segments, edges, all_vertices,

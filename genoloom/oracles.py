@@ -146,6 +146,9 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY 1, 2, 3, 4, 5, 6"""),
         "q7_samples_with_variant": _with("site named", """SELECT s.pos AS query_id, s.pos, s.ref, s.alt,
             n.name, n.phasing FROM site s JOIN named n ON n.pos = s.pos"""),
+        "bgzip_read": _with("raw", "SELECT 'x' AS chrom, pos, ref, alt FROM raw"),
+        "bgzip_region_read": _with("raw len", """SELECT DISTINCT 'x' AS chrom, pos, ref, alt FROM raw, len,
+            (SELECT unnest(range(10)) AS k) WHERE pos < k * length // 10 + 301 AND pos + length(ref) > k * length // 10 + 1"""),
         "range_join_variants": _with("req site", """SELECT q.region_id, s.pos, s.kind, s.ref, s.alt
             FROM req q JOIN site s ON s.pos >= q.x AND s.pos < q.y"""),
         "variant_counts": _with("req site", """SELECT q.region_id, count(s.pos) AS n_variants

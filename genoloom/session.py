@@ -25,8 +25,16 @@ def get_session(app: str = "genoloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as a URI with its scheme.  Spark takes one without a scheme to be on the
+    default file system, other libraries on an executor's own disk."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables, shared by all executors."""
+    """The folder the cluster names for intermediate tables, shared by all executors, as a URI."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -35,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
         if app not in _local_folders:
             _local_folders[app] = tempfile.mkdtemp(prefix="genoloom-")
         named = _local_folders[app]
-    return named
+    return qualified(spark, named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

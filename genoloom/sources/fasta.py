@@ -6,14 +6,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..grid import DEFAULT_WIDTH, cell_of, cell_start
+from .bgzf import SPLIT_BYTES, is_blocked, listed, read_blocked_lines
 
 # Fixed value: letters a stored reference may hold.
 STORED_BASES = "^[ACGTN]*$"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with the file block they came from and their order inside it."""
-    text = spark.read.text(path)
+def read_lines(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Text lines with the file block they came from and their order inside it.
+
+    Block-gzipped files are read by many tasks each, other ``.gz`` files by one.
+    """
+    files = listed(spark, path)
+    blocked = [f for f in files if f[0].endswith((".gz", ".bgz", ".bgzf")) and is_blocked(f[0])]
+    if not blocked:
+        return _plain_lines(spark.read.text(path))
+    parts = read_blocked_lines(spark, blocked, split_bytes=split_bytes)
+    others = [u for u, _ in files if u not in {b for b, _ in blocked}]
+    if not others:
+        return parts
+    return _plain_lines(spark.read.text(others)).drop("line_no").unionByName(parts.drop("line_no")).select(
+        "file", "block", F.monotonically_increasing_id().alias("line_no"), "line")
+
+
+def _plain_lines(text: DataFrame) -> DataFrame:
     return text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),

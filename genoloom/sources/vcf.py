@@ -7,12 +7,15 @@ the array, and only then is it exploded.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import carried_alleles, edit_key, first_base, is_plain_alt, last_base, trimmed
 from ..grid import DEFAULT_WIDTH, cell_of, cell_start
 from ..operators.requests import is_small, sized
+from .bgzf import listed, read_blocked_lines
 from .fasta import read_lines
 
 # How the header line begins, and the columns ahead of the samples.
@@ -82,10 +85,16 @@ def carrier_calls(records: DataFrame, allele_aware: bool = True) -> DataFrame:
     )
 
 
-def read_vcf(spark: SparkSession, path: str, allele_aware: bool = True) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, allele_aware: bool = True, *,
+             regions: Sequence[tuple[str, int, int]] | None = None) -> DataFrame:
     """Carrier calls and sample columns of a VCF file or folder in one pass over the text;
-    ``.gz`` is unpacked."""
-    return carrier_calls(parse_records(read_lines(spark, path)), allele_aware)
+    ``.gz`` is unpacked, in parallel if it is block-gzipped.
+
+    With ``regions`` of (contig, x, y), for block-gzipped files with an index beside each,
+    only the blocks that hold their records are read.
+    """
+    lines = read_lines(spark, path) if regions is None else read_blocked_lines(spark, listed(spark, path), regions=regions)
+    return carrier_calls(parse_records(lines), allele_aware)
 
 
 def on_contig(alleles: DataFrame, contig: DataFrame) -> DataFrame:
