@@ -179,21 +179,21 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, shape: Shape) -> DataFram
 def _cut_out(docs: DataFrame, kinds: DataFrame, n_kinds: int, shape: Shape) -> DataFrame:
     """(id, v, start, anchor, words): the words of the earliest piece of each kind at least.
 
-    Few kinds are found by a Bloom filter where the texts lie; then other occurrences of a
-    kind come too, which changes nothing.  With more kinds, texts meet their own pieces.
+    Few kinds are found by a Bloom filter where the texts lie; then a few other pieces come
+    too, which changes nothing.  With more kinds, texts meet their own pieces.
     """
     few = n_kinds <= BLOOM_PIECES
     added = "id bigint, v bigint, start int, anchor bigint, words binary"
     if few:
-        def code(start: np.ndarray, p: Pieces) -> np.ndarray:
-            return _key(_key(p.anchor, p.content), start.astype(np.int64))
+        def code(ids: pa.Array, start: np.ndarray, content: np.ndarray) -> np.ndarray:
+            return _key(_key(ids.fill_null(-1).to_numpy(), start.astype(np.int64)), content)
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                anchor, content, start = (b.column(c).to_numpy() for c in ("anchor", "content", "start"))
-                yield pa.RecordBatch.from_pydict({"code": _key(_key(anchor, content), start.astype(np.int64))})
+                yield pa.RecordBatch.from_pydict({
+                    "code": code(b.column("id"), b.column("start").to_numpy(), b.column("content").to_numpy())})
 
-        codes = kinds.select("anchor", "content", "start").mapInArrow(keyed, "code bigint")
+        codes = kinds.select("id", "start", "content").mapInArrow(keyed, "code bigint")
         shared = docs.sparkSession.sparkContext.broadcast(bloom_of(codes))
     else:
         own = kinds.groupBy("id", "v").agg(F.collect_list("start").alias("starts"))
@@ -205,7 +205,7 @@ def _cut_out(docs: DataFrame, kinds: DataFrame, n_kinds: int, shape: Shape) -> D
             texts = part.column("text")
             p = pieces_of(texts, shape)
             if few:
-                on = in_bloom(shared.value, code(p.start, p))
+                on = in_bloom(shared.value, code(part.column("id").take(pa.array(p.text)), p.start, p.content))
             else:
                 on = np.zeros(len(p.start), bool)
                 first = np.searchsorted(p.text, np.arange(len(texts) + 1))
