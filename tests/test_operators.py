@@ -10,7 +10,7 @@ from genoloom.grid import cell_of
 from genoloom.operators import classes, graph, multiset, report
 from genoloom.operators import requests as req
 from genoloom.operators.asof import nearest_mark, surrounding_marks
-from genoloom.operators.ranges import intervals_in_ranges, points_in_ranges
+from genoloom.operators.ranges import cover, intervals_in_ranges, points_in_ranges
 from genoloom.operators.scan import ordered_scan
 
 
@@ -60,6 +60,34 @@ def test_range_joins_match_nested_loops(spark, monkeypatch, limit):
         assert got == want
 
 
+@pytest.mark.parametrize("limit", [req.BROADCAST_ROWS, 0])
+def test_long_intervals_meet_long_requests_once(spark, monkeypatch, limit):
+    """Both as long as a chromosome: 60,000 cells each, a few dozen rows when spread."""
+    monkeypatch.setattr(req, "BROADCAST_ROWS", limit)
+    n = 250_000_000
+    spans = [("x", 1 + 997 * i, n - 1231 * i, i) for i in range(60)] + [("x", p, p, p) for p in (1, 4096, 4097, n)]
+    asked = [(i, "x", 1 + 1009 * i, n - 1361 * i) for i in range(60)] + [(90, "x", n, n + 1), (91, "x", 5, 5), (92, "x", 4096, 4098)]
+    s = spark.createDataFrame(spans, "chrom string, ref_start long, ref_end long, i long")
+    r = spark.createDataFrame(asked, "region_id long, chrom string, x long, y long")
+    for contained in (False, True):
+        got = sorted((t.region_id, t.i) for t in intervals_in_ranges(s, r, contained=contained).collect())
+        meet = (lambda q, b, e: q[2] <= b and e < q[3]) if contained else (lambda q, b, e: b < q[3] and e >= q[2])
+        assert got == sorted((q[0], i) for q in asked for _, b, e, i in spans if q[2] < q[3] and meet(q, b, e))
+    rows = r.select(F.size(cover(F.col("x"), F.col("y"), 4096)).alias("n")).collect()
+    assert max(t.n for t in rows) < 190 and [t.n for t in rows[-3:]] == [1, 0, 2]
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3, 6])
+def test_cover_holds_each_position_once(spark, levels):
+    rng = random.Random(levels)
+    ranges_ = [(a, a + rng.choice([0, 1, 3, 16, 17, 200, 5000])) for a in rng.choices(range(1, 9000), k=60)]
+    df = spark.createDataFrame(ranges_, "x long, y long")
+    for r in df.select("x", "y", cover(F.col("x"), F.col("y"), 2, levels).alias("c")).collect():
+        cells = sorted(p for level, cell in r.c for p in range(cell * 16 ** level, (cell + 1) * 16 ** level))
+        want = list(range((r.x - 1) // 2, (r.y - 2) // 2 + 1)) if r.x < r.y else []
+        assert cells == want
+
+
 def test_no_requests_give_no_rows(spark):
     r = spark.createDataFrame([], "region_id long, chrom string, x long, y long")
     p = spark.createDataFrame([("x", 3)], "chrom string, pos long")
