@@ -6,6 +6,9 @@ import pytest
 from conftest import fasta_text, vcf_text
 from pyspark.sql import functions as F
 
+from genoloom.grid import cell_of
+from genoloom.operators import overlap
+from genoloom.operators.overlap import overlapped_edits
 from genoloom.plans.cohort import Cohort
 from genoloom.sources.regions import regions_from
 
@@ -108,3 +111,50 @@ def test_random_cohorts(spark, tmp_path, seed, n, longest, width):
     pieces = {(r.sample_id, r.region_id): r.sequence for r in c.sample_sequence_ref(req).collect()}
     for j, n in enumerate(names):
         assert "".join(pieces[(ids[n], i)] for i in range(len(cuts) - 1)) == paths[j][1]
+
+
+@pytest.mark.parametrize("reach", [9, 200, 5000])
+def test_one_run_over_ten_thousand_cells(spark, reach):
+    """Every variant reaches into the next; now and then one far beyond."""
+    rng, edits, at = random.Random(reach), [], 1
+    for i in range(20_000):
+        hi = at + rng.choice([8, 9, 9, 9, reach]) if i else at + 9
+        edits.append((2 * at + 1, at, hi))
+        at += 8
+    rows = [("x", 1, *e) for e in edits] + [("x", 2, *e) for e in edits[5::3]]
+    df = spark.createDataFrame(rows, "chrom string, sample_id long, edit_key long, lo long, hi long").withColumn(
+        "_cell", cell_of("lo", 16))
+    got = {(r.sample_id, r.edit_key) for r in overlapped_edits(df, 16).collect()}
+    want = set()
+    for sample, mine in ((1, edits), (2, edits[5::3])):
+        end = 0
+        for key, lo, hi in mine:
+            if lo > end:
+                end = hi
+            else:
+                want.add((sample, key))
+    assert got == want and len({c for _, c in got}) > 5000
+
+
+def test_composed_steps_equal_steps_one_by_one(spark):
+    rng, rows = random.Random(2), []
+    for i in range(200):
+        cells, base = [], 0
+        for c in range(rng.randint(1, 6)):
+            edits = sorted({base + rng.randrange(10) for _ in range(rng.randint(1, 4))})
+            cells.append((c, [(2 * lo + 1, lo, lo + rng.choice([0, 1, 5, 14, 40])) for lo in edits], base + 9))
+            base += 10
+        rows.append((i, cells))
+    df = spark.createDataFrame(rows, "i int, cells array<struct<at: bigint, edits: array<struct<edit_key: bigint, lo: bigint, hi: bigint>>, stop: bigint>>")
+    steps = F.transform("cells", lambda c: F.struct(c["at"].alias("at"), overlap._cell_steps(c["edits"], c["stop"]).alias("steps")))
+    reaches = F.sequence(F.lit(-1).cast("long"), F.lit(70).cast("long"))
+    whole = df.select("cells", F.transform(reaches, lambda r: overlap._reach_after(overlap._composed(steps), r)).alias("got"))
+    for r in whole.collect():
+        for reach, got in zip(range(-1, 71), r.got, strict=True):
+            for cell in r.cells:
+                inside = False
+                for e in cell.edits:
+                    if e.lo > reach:
+                        reach, inside = e.hi, True
+                reach = max(reach, cell.stop) if inside else reach
+            assert got == reach
