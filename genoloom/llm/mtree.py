@@ -15,6 +15,7 @@ inequality before any distance to them is computed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from genoloom.session import cut_lineage
 
 SCALE = 64
-LARGEST = 1 << 26  # components beyond this would not fit into a 64-bit score
+LARGEST = 1 << 26  # vectors with scaled components from here on are kept out of the tree and scored one by one
+OVERSIZED = 1024   # such vectors that are broadcast at once
+LONG = (1 << 63) - 1
 SLACK = 1e-6
 NO_SCORE = -(1 << 62)
 NO_ID = (1 << 63) - 1
@@ -43,16 +46,24 @@ class Settings:
     block: int = 256     # queries that are searched together, about
 
 
+def _picked(rows: DataFrame, id_col: str, vector_col: str, large: bool) -> DataFrame:
+    vector = F.col(vector_col)
+
+    def below(most: float) -> Column:  # false for NaN and null
+        return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < most)), F.lit(False))
+
+    there = F.col(id_col).isNotNull() & vector.isNotNull() & (F.size(vector) > 0)
+    fit = below(float("inf")) & ~below(LARGEST / SCALE) if large else below(LARGEST / SCALE)
+    return rows.where(there & fit).select(F.col(id_col).cast("bigint").alias("id"), vector.cast("array<double>").alias("v"))
+
+
 def whole_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vec, norm): components scaled and floored, as packed 32-bit numbers.
 
-    Rows with a null id, a null or empty vector, a null, non-finite or too large component
-    are left out.
+    Rows with a null id, a null or empty vector, a null or non-finite component are left
+    out; those with a component from ``LARGEST`` on are ``oversized`` ones.
     """
-    vector = F.col(vector_col)
-    fit = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < LARGEST / SCALE))  # false for NaN
-    picked = rows.where(F.col(id_col).isNotNull() & vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fit, F.lit(False))).select(
-        F.col(id_col).cast("bigint").alias("id"), vector.cast("array<double>").alias("v"))
+    picked = _picked(rows, id_col, vector_col, False)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,6 +248,51 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.T.astype(np.int64)
 
 
+def _exactly(rows: DataFrame, asked: DataFrame, vectors: DataFrame, query: Column, id_col: str, vector_col: str, k: int) -> DataFrame | None:
+    """(query_id, mark, id, score) with at least the k best pairs of which one is oversized:
+    all queries against oversized candidates and oversized queries against all, in blocks
+    of ``OVERSIZED`` and whole numbers of any size.  None if there are none."""
+    large = cut_lineage(_picked(rows, id_col, vector_col, True))
+    n = large.count()
+    if not n:
+        return None
+    marked = cut_lineage(_picked(rows.where(query), id_col, vector_col, True).select(
+        "id", F.xxhash64("v").alias("mark"), "v").distinct())
+    parts, out = -(-n // OVERSIZED), None
+    plain = asked.select("id", "mark", "vec", F.lit(None).cast("array<double>").alias("v"))
+    queries = plain.unionByName(marked.withColumn("vec", F.lit(None).cast("binary")))
+    stored = vectors.select("id", F.lit(0).cast("bigint").alias("mark"), "vec", F.lit(None).cast("array<double>").alias("v"))
+    for p in range(parts):
+        mine = F.pmod(F.xxhash64("id"), F.lit(parts)) == p
+        for many, few, asking in ((queries, large.where(mine).withColumn("mark", F.lit(0)), True), (stored, marked.where(mine), False)):
+            block = [(r.id, r.mark, _scaled(r.v)) for r in few.select("id", "mark", "v").collect()]
+            if not block:
+                continue
+            shared = rows.sparkSession.sparkContext.broadcast(block)
+
+            def work(batches: Iterator[pa.RecordBatch], shared=shared, asking=asking) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    best: dict[tuple, list[tuple[int, int]]] = {}
+                    for i, mark, vec, v in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "vec", "v")), strict=True):
+                        x = _scaled(v) if vec is None else np.frombuffer(vec, np.int32).tolist()
+                        for j, other, y in shared.value:
+                            if i != j:
+                                q, c = ((i, mark), j) if asking else ((j, other), i)
+                                score = sum(a * b for a, b in zip(x, y, strict=False))
+                                best.setdefault(q, []).append((-max(-LONG - 1, min(LONG, score)), c))
+                    kept = [(q, m, c, -s) for (q, m), found in best.items() for s, c in sorted(found)[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], pa.int64()) for c in range(4)],
+                                                     names=["query_id", "mark", "id", "score"])
+
+            hits = many.mapInArrow(work, "query_id bigint, mark bigint, id bigint, score bigint")
+            out = hits if out is None else out.union(hits)
+    return out
+
+
+def _scaled(v: list[float]) -> list[int]:
+    return [math.floor(SCALE * x) if abs(x) < 1e300 else SCALE * int(x) for x in v]
+
+
 ASKED = "cluster int, id bigint, mark bigint, vec binary, floor bigint"
 BLOCK = "cluster int, block bigint, qids binary, marks binary, qvecs binary, floors binary"
 
@@ -248,18 +304,29 @@ def top_k(rows: DataFrame, query: Column, *, id_col: str = "vec_id", vector_col:
     Queries are the rows for which ``query`` holds; candidates all rows but those of the
     query's id.  Ties go to the smaller id; repeated candidate rows count each, repeated
     query rows once; rows of one id with different vectors are queries of their own.  The
-    shorter of two vectors counts as filled up with zeros.  Rows that ``whole_vectors``
-    leaves out take no part.  With fewer candidates than k all are returned, without any
+    shorter of two vectors counts as filled up with zeros.  Null ids, null and empty vectors
+    and those with null or non-finite components take no part.  A score that no long holds
+    is given as the largest or smallest long.  With fewer candidates than k all are returned, without any
     none.  Other columns are not read.
     """
     spark = rows.sparkSession
     vectors = cut_lineage(whole_vectors(rows, id_col, vector_col))
+    asked = cut_lineage(whole_vectors(rows.where(query), id_col, vector_col).select(
+        "id", F.xxhash64("vec").alias("mark"), "vec").distinct())
+    per_query = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "id")
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", F.row_number().over(per_query)).where(F.col("rank") <= s.k)
+
+    def answer(hits: DataFrame) -> DataFrame:
+        return hits.select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+    exact = _exactly(rows, asked, vectors, query, id_col, vector_col, s.k)
     tree = build(vectors, s)
     if tree is None:
-        return spark.createDataFrame([], f"query_id bigint, rank int, `{id_col}` bigint, score bigint")
+        none = spark.createDataFrame([], "query_id bigint, mark bigint, id bigint, score bigint")
+        return answer(ranked(exact or none))
     space, roots, radii = tree.space, tree.roots, tree.radii
-    asked = cut_lineage(whole_vectors(rows.where(query), id_col, vector_col).select(
-        "id", F.xxhash64("vec").alias("mark"), "vec").distinct())
     blocks = max(1, -(-asked.count() // s.block))
 
     def send(home_only: bool):
@@ -309,12 +376,11 @@ def top_k(rows: DataFrame, query: Column, *, id_col: str = "vec_id", vector_col:
         packed = cut_lineage(sent.withColumn("block", F.pmod(F.xxhash64("id", "mark"), F.lit(blocks))).groupBy(
             "cluster", "block").applyInArrow(pack, BLOCK))
         hits = packed.join(nodes, "cluster").mapInArrow(search, "query_id bigint, mark bigint, id bigint, score bigint")
-        # The rank filter keeps k rows of a query in each task before they are shuffled.
-        per_query = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "id")
-        return hits.withColumn("rank", F.row_number().over(per_query)).where(F.col("rank") <= s.k)
+        return ranked(hits)  # keeps k rows of a query in each task before they are shuffled
 
     # One node of the own cluster, the same for all its queries, bounds the k-th scores.
     first = found(asked.withColumn("floor", F.lit(NO_SCORE)), True, tree.nodes.where("node = 0"))
     kth = cut_lineage(first.where(F.col("rank") == s.k).select(F.col("query_id").alias("id"), "mark", F.col("score").alias("floor")))
     bounded = asked.join(kth, ["id", "mark"], "left").withColumn("floor", F.coalesce("floor", F.lit(NO_SCORE)))
-    return found(bounded, False, tree.nodes).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    best = found(bounded, False, tree.nodes)
+    return answer(best if exact is None else ranked(best.drop("rank").unionByName(exact)))

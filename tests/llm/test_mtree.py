@@ -14,10 +14,10 @@ SMALL = Settings(k=5, sample=64, clusters=4, node=40, page=8, block=7)
 
 def brute(rows, k, every=20):
     fit = [(i, [math.floor(64 * x) for x in v]) for i, v in rows
-           if i is not None and v and all(x is not None and math.isfinite(x) and abs(x) < 2**20 for x in v)]
+           if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, v in sorted({(i, tuple(v)) for i, v in fit if i % every == 0}):
-        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in fit if i != q)[:k]
+        scores = sorted((-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=False)))), i) for i, w in fit if i != q)[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     return sorted(out)
 
@@ -60,6 +60,19 @@ def test_a_third_equal_repeats_nulls_and_other_lengths(spark):
     assert got == brute(rows, SMALL.k)
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_large_components_take_part(spark, monkeypatch, block):
+    from genoloom.llm import mtree
+
+    monkeypatch.setattr(mtree, "OVERSIZED", block)
+    rng = random.Random(3)
+    rows = [(i, [f32(rng.gauss(0, 1)) for _ in range(2)]) for i in range(200)]
+    rows += [(0, [2.0**21, 0.0]), (200, [2.0**20, -1.0]), (201, [-(2.0**20), 3.0]), (220, [3e38, 1.0]), (221, [-3e38, 2.0]), (240, [2.0**40, 2.0**40]),
+             (203, [2.0**21, 0.5]), (204, [1.0, 2.0**25]), (204, [1.0, 2.0**25]), (240, [2.0**40, 2.0**40])]
+    check(spark, rows)
+    check(spark, rows[200:])
+
+
 def test_fewer_candidates_than_k_and_none(spark):
     check(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], Settings())
     check(spark, [(20, [1.0])])
