@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoloom.llm.common import arrow_slices, extended
+from genoloom.operators.requests import is_small, sized
 from genoloom.session import cut_lineage
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
 CACHED_WORDS = 500_000
-LANGUAGES = 256
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,7 @@ class Settings:
     """Bounds of the training sample and of the model; none of them touches prediction."""
 
     per_language: int = 600  # documents, about; each also gives a snippet of a few words
+    total: int = 60_000      # documents of all languages, about, so fewer of each if there are very many
     dimensions: int = 16
     epochs: int = 4
     rate: float = 0.5
@@ -76,13 +77,10 @@ def _training_rows(docs: DataFrame, s: Settings) -> DataFrame:
 
     Documents are drawn by a hash of their id, each language at its own rate.
     """
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        rate = F.lit(0.0)
-    else:
-        rate = F.coalesce(F.try_element_at(F.create_map(*[
-            F.lit(x) for r in sizes for x in (r.lang, min(1.0, s.per_language / r["count"]))]), F.col("lang")), F.lit(0.0))
-    drawn = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate * (1 << 20))
+    sizes = cut_lineage(docs.groupBy("lang").count())
+    each = min(s.per_language, max(1, s.total // max(1, sizes.count())))
+    rates = sizes.select("lang", (F.lit(each) / F.col("count")).alias("rate"))
+    drawn = docs.join(sized(rates, is_small(rates)), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches, "text"):
