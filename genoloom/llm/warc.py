@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.llm.common import arrow_slices
-from genoloom.session import cut_lineage
+from genoloom.session import cut_lineage, qualified
 
 HISTOGRAM = 4096
 CRLF = "\r\n"
@@ -66,13 +66,13 @@ def _shard(plan: DataFrame, s: Settings) -> tuple[Column, int]:
     A cell that holds more bytes than a range is dealt by a hash of page and payload.
     """
     low, high = plan.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return F.lit(0), 1
+    low, high = (0, 0) if low is None else (low, high)
     width = (high - low) // HISTOGRAM + 1
-    cell = F.call_function("div", F.col("page_id") - low, F.lit(width)).cast("int")
-    sizes = dict(plan.where("page_id is not null").groupBy(cell.alias("cell")).agg(F.sum("size").alias("bytes")).collect())
+    # Cell 0 holds the null ids.
+    cell = F.coalesce(F.call_function("div", F.col("page_id") - low, F.lit(width)).cast("int") + 1, F.lit(0))
+    sizes = dict(plan.groupBy(cell.alias("cell")).agg(F.sum("size").alias("bytes")).collect())
     first, parts, held, last = [], [], 0, 0
-    for k in range(HISTOGRAM):
+    for k in range(HISTOGRAM + 1):
         size = sizes.get(k, 0)
         if held and held + size > s.shard_bytes:
             last, held = last + 1, 0
@@ -80,8 +80,7 @@ def _shard(plan: DataFrame, s: Settings) -> tuple[Column, int]:
         first.append(last)
         parts.append(n)
         last, held = last + n - 1, held + size if n == 1 else s.shard_bytes
-    at = F.coalesce(cell, F.lit(0)) + 1
-    start, many = (F.element_at(F.array(*map(F.lit, v)), at) for v in (first, parts))
+    start, many = (F.element_at(F.array(*map(F.lit, v)), cell + 1) for v in (first, parts))
     return start + F.pmod(F.xxhash64("page_id", "digest", "url"), many).cast("int"), last + 1
 
 
@@ -136,7 +135,7 @@ class _Roller:
     def roll(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temporary, f"{self.base}/{self.name}")
+            self._rename(self.temporary, f"{self.base}/{self.name}")
             self.files.append({"file": self.name, "bytes": self.size, "records": self.records, "sha1": self.sha.hexdigest()})
             self.out = None
 
@@ -145,7 +144,14 @@ class _Roller:
         name = f"{self.base}/manifest-{self.shard:05d}.json"
         with self.fs.open_output_stream(f"{name}.{self.attempt}", compression=None) as f:
             f.write(json.dumps(self.files).encode())
-        self.fs.move(f"{name}.{self.attempt}", name)
+        self._rename(f"{name}.{self.attempt}", name)
+
+    def _rename(self, temporary: str, name: str) -> None:
+        """Some file systems rename onto no file that is there: one of an earlier attempt,
+        which holds the same bytes."""
+        if self.fs.get_file_info(name).type != pafs.FileType.NotFound:
+            self.fs.delete_file(name)
+        self.fs.move(temporary, name)
 
 
 def write(pages: DataFrame, folder: str, s: Settings = Settings()) -> DataFrame:
@@ -158,6 +164,7 @@ def write(pages: DataFrame, folder: str, s: Settings = Settings()) -> DataFrame:
     are not read.  An empty table gives no files.
     """
     spark = pages.sparkSession
+    folder = qualified(spark, folder)
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
@@ -189,7 +196,7 @@ def write(pages: DataFrame, folder: str, s: Settings = Settings()) -> DataFrame:
             roller.commit()
         yield pa.RecordBatch.from_pydict({"done": pa.array([0], pa.int32())})
 
-    full.repartitionByRange(shards, "shard").sortWithinPartitions(
+    full.repartitionById(shards, "shard").sortWithinPartitions(
         "shard", "page_id", "digest", "url", "turn").select(
         "shard", "page_id", "digest", "turn", "url", "payload", "refers_to").mapInArrow(work, "done int").agg(F.count(F.lit(1))).first()
     return manifest(spark, folder)
@@ -241,7 +248,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
     ``payload`` is null for revisits; sizes and digests of responses are taken from the
     bytes read.  A damaged or cut record is an error.
     """
-    n = max(1, files.count())
+    n, folder = max(1, files.count()), qualified(files.sparkSession, folder)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)

@@ -48,6 +48,16 @@ def test_language_edge_cases(spark):
     assert (again.table == model.table).all() and again.heat == model.heat
 
 
+def test_more_than_256_languages(spark):
+    rng = random.Random(6)
+    words = {g: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(5)] for g in range(300)}
+    rows = [(40 * g + i, f"g{g}", " ".join(rng.choices(words[g], k=12))) for g in range(300) for i in range(6)]
+    model = langid.fit(spark.createDataFrame(rows, "id long, lang string, text string"))
+    fresh = spark.createDataFrame([(g, " ".join(words[g] * 3)) for g in range(300)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predicted(fresh, model).collect()}
+    assert len(model.names) == 300 and sum(got[g] == f"g{g}" for g in range(300)) > 270
+
+
 # -- toxicity ------------------------------------------------------------------
 
 @pytest.mark.parametrize("size, least", [("sf0.001", 1.0), ("sf0.01", 0.6), ("sf0.1", 0.9)])

@@ -3,7 +3,9 @@
 import gzip
 import hashlib
 
-from genoloom.llm.warc import Settings, read, record_plan, write
+from pyspark.sql import functions as F
+
+from genoloom.llm.warc import Settings, _shard, read, record_plan, write
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -55,3 +57,24 @@ def test_null_ids_and_empty_tables(spark, tmp_path):
     empty = str(tmp_path / "e")
     assert read(write(spark.createDataFrame([], SCHEMA), empty), empty).collect() == []
     assert record_plan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_third_null_ids_spread_over_ranges_and_a_second_attempt(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i, f"u{i}", f"{i} " * 300) for i in range(600)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    s = Settings(shard_bytes=20_000, file_bytes=5_000)
+    plan = record_plan(pages, s)
+    shard, n = _shard(plan, s)
+    sizes = plan.withColumn("shard", shard).groupBy("shard").sum("size").collect()
+    assert len(sizes) > 20 and max(r.shard for r in sizes) < n and max(r[1] for r in sizes) < 60_000
+    folder = str(tmp_path / "w")
+    first = sorted(tuple(f) for f in write(pages, folder, s).collect())
+    again = sorted(tuple(f) for f in write(pages, folder, s).collect())  # files and manifests are there
+    assert first == again
+    got = read(write(pages, folder, s), folder).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(rows)
+
+
+def test_one_range_is_one_task(spark):
+    df = spark.range(64).withColumn("k", F.col("id").cast("int") % 16).repartitionById(16, "k")
+    assert df.select("k", F.spark_partition_id().alias("p")).where("k <> p").count() == 0
