@@ -275,6 +275,62 @@ def stored_round_trip(spark, d):
         "pos", "kind", "ref", "alt", "delta", "sample_id", "phase", "gt1", "gt2"), "phase", "gt1", "gt2")
 
 
+def stored_graph(spark, d):
+    """Segments, edges and sample coordinates of a cohort that was stored and loaded."""
+    path = f"{shared_folder(spark)}/cohort-{uuid.uuid4().hex}"
+    Cohort.from_tables(spark, d, WIDTH).save(path)
+    c = Cohort.load(spark, path)
+    rows = lambda df, name, *cols: df.select(F.lit(name).alias("relation"), *[
+        F.col(k).cast("long").alias(v) for k, v in zip(cols, ("a", "b", "c"), strict=True)])
+    return rows(c.segment, "segment", "seg_id", "ref_start", "ref_end").unionByName(
+        rows(c.edge.withColumn("n", F.lit(0)), "edge", "src", "dst", "n")).unionByName(
+        rows(c.coord, "coord", "sample_id", "pos", "sample_pos"))
+
+
+def merged_files(spark, d):
+    """The cohort as text, half of the samples in each of two files, read and merged."""
+    c = _with_bases(spark, d, _cohort(spark, d))
+    base = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    overlay.write_text(overlay.fasta_lines(c.ref_base), f"{base}/fa")
+    raw = cut_lineage(_raw_alleles(c).select("site_id", "pos", "ref", "alt"))
+    calls = overlay.calls(spark, d)
+    names = [(r.sample_id, r.name) for r in c.sample.orderBy("sample_id").collect()]  # a header is as long
+    for k in range(2):
+        mine = [n for n in names if n[0] % 2 == k]
+        overlay.write_text(overlay.vcf_lines(calls.where(F.col("sample_id") % 2 == k), raw, mine), f"{base}/vcf/{k}")
+    got = Cohort.from_files(spark, f"{base}/fa", f"{base}/vcf/*", f"{base}/store", width=WIDTH)
+    return variants.all_carriers_of(got.site, got.carrier, got.sample).select("pos", "kind", "ref", "alt", "name", "phasing")
+
+
+def path_overlaps(spark, d):
+    """Deletions of up to 200 bases on two contigs, in runs over many cells of 64."""
+    found = coords.sample_coordinates(
+        cut_lineage(overlay.dense_site(spark, d)), cut_lineage(overlay.dense_carrier(spark, d)), WIDTH)
+    return _bits(found.select("chrom", "sample_id", "pos", "on_path", "shift", "sample_pos"), "on_path")
+
+
+def sample_class_shared(spark, d):
+    """Classes of sites that share their carriers, with how many have each."""
+    found = classes.sample_classes(overlay.dense_carrier(spark, d))
+    return found.groupBy("chrom", "class_id").agg(F.count(F.lit(1)).alias("n_sites"), F.max("site_id").alias("last_site"))
+
+
+def vcf_wide_parse(spark, d):
+    """Wide records with a header, two ALTs and missing genotypes."""
+    head = spark.createDataFrame([(0, "\t".join([*vcf.LEADING, *(f"n{k}" for k in range(7))]).replace("CHROM", "#CHROM"))], "at bigint, line string")
+    key, two = F.col("p_partkey"), F.col("p_size") % 2 == 0
+    given = F.array(*map(F.lit, ("0|0", "0|1", "1|1", "1|2", "./.", "2|0")))
+    cells = []
+    for k in range(7):
+        cell = F.get(given, ((key * 7 + 3 * k) % 6).cast("int"))
+        cells.append(F.concat(F.when(~two & cell.contains("2"), "0/1").otherwise(cell), F.lit(":9")))
+    record = F.concat_ws("\t", F.lit("x"), (key + 1).cast("string"), F.lit("."), F.lit("A"), F.when(two, "C,GT").otherwise("C"),
+                         F.lit("9"), F.lit("."), F.lit("NS=7"), F.lit("GT:DP"), *cells)
+    lines = head.unionByName(_table(spark, d, "part").where(key % 10 == 3).select(key.alias("at"), record.alias("line")))
+    calls = vcf.carrier_calls(vcf.parse_records(lines.select(F.lit("one").alias("file"), "line")))
+    return _bits(calls.select("pos", "alt", "col", "name", "phase", "gt1", "gt2"), "phase", "gt1", "gt2")
+
+
 def subsequence(spark, d):
     c = _cohort(spark, d)
     return fasta.subsequences(c.ref_chunk, overlay.requests(spark, d).select(
@@ -387,7 +443,7 @@ def path_step(spark, d):
     before = _ref_marks(c).select("chrom", (F.col("ref_end") + 1).alias("lo"), F.col("seg_id").alias("src"))
     asked = c.path.select("chrom", "lo", "sample_id").join(before, ["chrom", "lo"]).select(
         "chrom", "src", "sample_id")
-    return _bits(graph.path_step(c.edge, c.segment, c.marks(), asked).select(
+    return _bits(graph.path_step(c.edge, c.segment, seg.segment_sites(c.site, c.contig), c.carrier, asked).select(
         "src", "sample_id", "dst", "on_variant"), "on_variant")
 
 
@@ -645,7 +701,8 @@ _NAMED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _PLAIN = [
     bgzip_read, bgzip_region_read, range_join_variants, variant_counts, interval_overlap, interval_contained, asof_position_index,
     prev_ref_node, next_ref_node, nth_ref_node, window_is_empty, next_variant, prev_sample_variant,
-    coord_running_delta, sample_path_length, sample_path, stored_round_trip, subsequence, sample_class_dictionary, class_popcount,
+    coord_running_delta, sample_path_length, sample_path, stored_round_trip, stored_graph, merged_files,
+    path_overlaps, sample_class_shared, vcf_wide_parse, subsequence, sample_class_dictionary, class_popcount,
     class_nth_sample, carrier_density, carrier_union, graph_stats, segments, edges, all_vertices,
     out_neighbors, in_neighbors, out_degree, in_degree, is_edge, neighbor_intersection,
     neighbor_order, bfs_radius, path_step, dot_lines, vertex_info, allele_classify, allele_trim,

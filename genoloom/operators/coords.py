@@ -12,6 +12,7 @@ from .requests import is_small, sized
 from .scan import ordered_scan
 
 PATH = ["chrom", "sample_id"]
+PARTS = 64
 
 
 def path_candidates(site: DataFrame, carrier: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
@@ -57,11 +58,11 @@ def path_lengths(sample: DataFrame, contig: DataFrame, path: DataFrame) -> DataF
     sample on every contig; without variants it is the contig's."""
     change = path.groupBy(*PATH).agg(
         F.count(F.lit(1)).alias("n_variants"), F.sum("delta").alias("_delta"))
-    # The answer itself has a row per sample and contig: every sample has every contig of
-    # its assembly.
-    assembly = F.lit(0).alias("_assembly")
-    every = sample.select("sample_id", "name", assembly).join(
-        sized(contig.select("chrom", "length", assembly), is_small(contig)), "_assembly")
+    # The answer itself has a row per sample and contig: every sample has every contig.
+    # Samples are dealt to parts and each part is given the contigs, so that no task has all.
+    every = sample.select("sample_id", "name", F.pmod(F.xxhash64("sample_id"), F.lit(PARTS)).alias("_part")).join(
+        sized(contig.select("chrom", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("_part")),
+              is_small(contig)), "_part")
     return every.join(change, PATH, "left").select(
         "chrom", "sample_id", "name", F.coalesce("n_variants", F.lit(0)).alias("n_variants"),
         (F.col("length") + F.coalesce("_delta", F.lit(0))).alias("path_length"))

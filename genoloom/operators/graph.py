@@ -88,21 +88,29 @@ def neighbor_order(edge: DataFrame, segment: DataFrame) -> DataFrame:
     return edge.join(target, ["chrom", "dst"]).select("chrom", "src", "dst", "is_ref")
 
 
-def path_step(edge: DataFrame, segment: DataFrame, marks: DataFrame,
+def path_step(edge: DataFrame, segment: DataFrame, marking: DataFrame, carrier: DataFrame,
               asked: DataFrame) -> DataFrame:
     """Where a sample's path goes from a vertex: the neighbour marked with the sample,
     else the reference neighbour with the smallest start.
 
-    ``asked`` has ``(chrom, src, sample_id)``; ``marks`` has ``(chrom, seg_id, sample_id)``.
+    ``asked`` has ``(chrom, src, sample_id)``; ``marking`` is that of ``segment_sites``.
+    Sites and carriers are cut down to the neighbours of the asked vertices before the
+    samples are looked up.
     """
+    asked = asked.select("chrom", "src", "sample_id").distinct()
+    vertices = asked.select("chrom", "src").distinct()
     target = segment.select("chrom", F.col("seg_id").alias("dst"), "kind", "ref_start")
-    options = (
-        asked.distinct().join(edge, ["chrom", "src"]).join(target, ["chrom", "dst"])
-        .join(marks.select("chrom", F.col("seg_id").alias("dst"), "sample_id",
-                           F.lit(1).alias("marked")).distinct(),
-              ["chrom", "dst", "sample_id"], "left")
-        .where(F.col("marked").isNotNull() | (F.col("kind") == "REF"))
-    )
+    near = cut_lineage(edge.join(sized(vertices, is_small(vertices)), ["chrom", "src"], "left_semi"))
+    ends = near.select("chrom", "dst").distinct()
+    few = is_small(ends)
+    near = near.join(target.join(sized(ends, few), ["chrom", "dst"], "left_semi"), ["chrom", "dst"])
+    sites = marking.select("chrom", F.col("seg_id").alias("dst"), "site_id").join(sized(ends, few), ["chrom", "dst"], "left_semi")
+    options = cut_lineage(asked.join(near, ["chrom", "src"]))
+    marked = options.select("chrom", "dst", "sample_id").distinct().join(sites, ["chrom", "dst"]).join(
+        carrier.select("chrom", "site_id", "sample_id"), ["chrom", "site_id", "sample_id"], "left_semi").select(
+        "chrom", "dst", "sample_id", F.lit(1).alias("marked")).distinct()
+    options = options.join(marked, ["chrom", "dst", "sample_id"], "left").where(
+        F.col("marked").isNotNull() | (F.col("kind") == "REF"))
     choice = F.struct(F.coalesce(-F.col("marked"), F.lit(0)).alias("by_mark"), "ref_start", "dst")
     return options.groupBy("chrom", "src", "sample_id").agg(F.min(choice).alias("best")).select(
         "chrom", "src", "sample_id", F.col("best.dst").alias("dst"),

@@ -67,6 +67,18 @@ _BASE: dict[str, str] = {
         JOIN bp b ON b.ref_start <= q.x GROUP BY 1""",
     "klass": """SELECT site_id, min(site_id) OVER (PARTITION BY members) AS class_id, members FROM (
         SELECT pos AS site_id, list(sample_id ORDER BY sample_id) AS members FROM vcall GROUP BY 1)""",
+    "dense": """SELECT CASE WHEN p_partkey % 4 < 2 THEN 'a' ELSE 'b' END AS chrom, p_partkey + 1 AS pos,
+        CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE -4 * p_size END AS delta,
+        p_partkey + 1 + CASE p_partkey % 6 WHEN 2 THEN 1 ELSE 0 END AS lo,
+        p_partkey + 1 + CASE p_partkey % 6 WHEN 4 THEN 4 * p_size - 1 ELSE 0 END AS hi
+        FROM part WHERE p_partkey % 2 = 0""",
+    "dcall": """SELECT DISTINCT CASE WHEN l_partkey % 4 < 2 THEN 'a' ELSE 'b' END AS chrom, l_partkey + 1 AS pos,
+        l_suppkey % 7 + 1 AS sample_id FROM lineitem WHERE l_partkey % 2 = 0""",
+    "queue": """SELECT d.*, c.sample_id, row_number() OVER (PARTITION BY c.chrom, c.sample_id
+        ORDER BY d.lo, d.pos) AS r FROM dense d JOIN dcall c ON c.chrom = d.chrom AND c.pos = d.pos""",
+    "wide": """SELECT p_partkey + 1 AS pos, k AS col, CASE WHEN p_size % 2 = 1 AND contains(g, '2') THEN '0/1' ELSE g END AS gt,
+        p_size % 2 = 0 AS two FROM (SELECT *, (['0|0', '0|1', '1|1', '1|2', './.', '2|0'])[(p_partkey * 7 + 3 * k) % 6 + 1] AS g
+        FROM (SELECT *, unnest(range(7)) AS k FROM part WHERE p_partkey % 10 = 3))""",
     "cnt": """SELECT l_linestatus, l_partkey AS key, l_suppkey AS value, count(*) AS count
         FROM lineitem GROUP BY 1, 2, 3""",
     "raw": """SELECT s.pos AS site_id, CASE s.kind WHEN 'DEL' THEN s.pos - 1 ELSE s.pos END AS pos,
@@ -90,7 +102,7 @@ _NEEDS: dict[str, list[str]] = {
     "ref_base": [], "vcall": [], "site": ["vcall", "ref_base"], "len": [], "named": ["vcall"],
     "req": ["len"], "probe": ["len"], "coord": ["site"], "reading": ["coord"], "bp": ["site", "len"],
     "rseg": ["bp"], "segm": ["rseg"], "sedge": ["rseg"], "edg": ["sedge"], "mark": ["coord", "len"],
-    "roots": ["req", "bp"], "klass": ["vcall"], "cnt": [], "raw": ["site"], "made": [], "gtx": [],
+    "roots": ["req", "bp"], "klass": ["vcall"], "cnt": [], "raw": ["site"], "dense": [], "dcall": [], "queue": ["dense", "dcall"], "wide": [], "made": [], "gtx": [],
     "gtp": ["gtx"],
 }
 
@@ -196,6 +208,28 @@ def oracle_sql() -> dict[str, str]:
             string_agg(out, '' ORDER BY pos) AS text FROM reading GROUP BY 1, 2"""),
         "stored_round_trip": _with("site", """SELECT s.pos, s.kind, s.ref, s.alt, s.delta, v.sample_id, v.phase,
             v.gt1, v.gt2 FROM site s JOIN vcall v ON v.pos = s.pos"""),
+        "stored_graph": _with("segm edg coord", """SELECT 'segment' AS relation, seg_id AS a, ref_start AS b, ref_end AS c FROM segm
+            UNION ALL SELECT 'edge', src, dst, 0 FROM edg UNION ALL SELECT 'coord', sample_id, pos, pos + shift FROM coord"""),
+        "merged_files": _with("site named", """SELECT s.pos, s.kind, s.ref, s.alt, v.name, v.phasing
+            FROM site s JOIN named v ON v.pos = s.pos"""),
+        "path_overlaps": _with("queue", """walk(chrom, sample_id, r, reach, taken) AS (
+            SELECT chrom, sample_id, r, hi, 1 FROM queue WHERE r = 1 UNION ALL
+            SELECT q.chrom, q.sample_id, q.r, CASE WHEN q.lo > w.reach THEN q.hi ELSE w.reach END,
+              CASE WHEN q.lo > w.reach THEN 1 ELSE 0 END
+            FROM walk w JOIN queue q ON q.chrom = w.chrom AND q.sample_id = w.sample_id AND q.r = w.r + 1),
+            placed AS (SELECT q.chrom, q.sample_id, q.pos, w.taken AS on_path, CAST(coalesce(sum(q.delta * w.taken) OVER (
+              PARTITION BY q.chrom, q.sample_id ORDER BY q.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift
+              FROM queue q JOIN walk w ON w.chrom = q.chrom AND w.sample_id = q.sample_id AND w.r = q.r)
+            SELECT *, pos + shift AS sample_pos FROM placed""", True),
+        "sample_class_shared": _with("dcall", """SELECT chrom, class_id, count(*) AS n_sites, max(site_id) AS last_site FROM (
+            SELECT chrom, site_id, min(site_id) OVER (PARTITION BY chrom, members) AS class_id FROM (
+              SELECT chrom, pos AS site_id, string_agg(CAST(sample_id AS VARCHAR), ',' ORDER BY sample_id) AS members
+              FROM dcall GROUP BY 1, 2)) GROUP BY 1, 2"""),
+        "vcf_wide_parse": _with("wide", """SELECT pos, alt, col, CAST(NULL AS VARCHAR) AS name, phase, gt1, gt2 FROM (
+              SELECT pos, alt, CAST(col AS INT) AS col, CASE WHEN contains(gt, '|') THEN 1 ELSE 0 END AS phase,
+                CASE WHEN substr(gt, 1, 1) = o THEN 1 ELSE 0 END AS gt1, CASE WHEN substr(gt, 3, 1) = o THEN 1 ELSE 0 END AS gt2
+              FROM (SELECT *, 'C' AS alt, '1' AS o FROM wide UNION ALL SELECT *, 'GT', '2' FROM wide WHERE two)) WHERE gt1 + gt2 > 0
+            UNION ALL SELECT NULL, 'ALT', CAST(k AS INT), concat('n', k), 0, 0, 0 FROM (SELECT unnest(range(7)) AS k)"""),
         "carrier_density": _with("vcall", """SELECT m AS max_carriers, n AS n_samples,
             CASE WHEN m * 20 > n THEN 1 ELSE 0 END AS dense FROM (SELECT max(c) AS m FROM (
             SELECT count(*) AS c FROM vcall GROUP BY pos)), (SELECT count(*) AS n FROM supplier)"""),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -39,6 +40,8 @@ REFERENCE = ("ref_chunk", "contig")
 # A batch numbers its rows as Spark does: a partition in the upper bits, a row in these.
 ROW_BITS = 33
 DERIVED = ["coord", "segment", "edge"]
+MANIFEST = {"version": "long", "width": "long", "allele_aware": "boolean", "reference": "string", "relations": "string",
+            "contigs": "string", "batches": "string", "records": "long"}
 
 
 def write_relation(df: DataFrame, path: str, name: str) -> DataFrame:
@@ -93,22 +96,41 @@ def write_derived(of: dict[str, DataFrame], path: str, width: int = DEFAULT_WIDT
 @dataclass(frozen=True)
 class Manifest:
     """What is needed to read a stored cohort: the cell width its chunks were cut with,
-    the allele rule, and the folders of the relations that count."""
+    the allele rule, the folders of the relations that count, which of them holds a contig,
+    the batches of calls that are in them and how many record numbers these use."""
 
     version: int
     width: int
     allele_aware: bool
     reference: str
     relations: str
+    contigs: str | None = None  # JSON, contig -> folder; without it all are in ``relations``
+    batches: str | None = None  # JSON list
+    records: int | None = None
 
     def folder(self, path: str, name: str) -> str:
         return f"{path}/{self.reference if name in REFERENCE else self.relations}"
 
+    def read(self, spark: SparkSession, path: str, name: str, only: Sequence[str] | None = None) -> DataFrame:
+        """A relation as of this version, of all contigs or some."""
+        if name in (*REFERENCE, "sample") or (self.contigs is None and only is None):
+            return read_relation(spark, self.folder(path, name), name)
+        if self.contigs is None:
+            return read_relation(spark, self.folder(path, name), name).where(F.col("chrom").isin(list(only)))
+        held: dict[str, list[str]] = {}
+        for chrom, folder in json.loads(self.contigs).items():
+            if only is None or chrom in only:
+                held.setdefault(folder, []).append(chrom)
+        out = read_relation(spark, self.folder(path, name), name).where("false")
+        for folder, chroms in sorted(held.items()):
+            out = out.unionByName(read_relation(spark, f"{path}/{folder}", name).where(F.col("chrom").isin(chroms)))
+        return out
+
 
 def read_manifest(spark: SparkSession, path: str, width: int | None = None) -> Manifest | None:
     """The newest manifest of a store, None if there is none; a width that contradicts it
     is an error."""
-    schema = "version long, width long, allele_aware boolean, reference string, relations string"
+    schema = ", ".join(f"{k} {t}" for k, t in MANIFEST.items())
     try:
         row = spark.read.schema(schema).json(f"{path}/manifest").orderBy(F.desc("version")).first()
     except AnalysisException as e:
@@ -124,8 +146,7 @@ def read_manifest(spark: SparkSession, path: str, width: int | None = None) -> M
 
 def add_manifest(spark: SparkSession, path: str, m: Manifest) -> Manifest:
     """Make a version count: its manifest is written last, beside the older ones."""
-    spark.createDataFrame([tuple(m.__dict__.values())], ", ".join(
-        f"{k} {t}" for k, t in zip(m.__dict__, ("long", "long", "boolean", "string", "string"), strict=True))).coalesce(
+    spark.createDataFrame([tuple(m.__dict__[k] for k in MANIFEST)], ", ".join(f"{k} {t}" for k, t in MANIFEST.items())).coalesce(
         1).write.mode("append").json(f"{path}/manifest")
     return m
 
@@ -159,25 +180,79 @@ def store_relations(spark: SparkSession, path: str, width: int | None = None) ->
     root, width, version = path, known.width, known.version + 1
     out = {n: read_relation(spark, known.folder(path, n), n) for n in REFERENCE}
     path = f"{root}/v{version}"
-    columns, raw = stored_calls(spark, root)
-    out["sample"] = write_relation(sample_dictionary(columns), path, "sample")
-    ids = columns.join(out["sample"], "name").select("file", "col", "sample_id")
-    # A header is as long as the cohort; more files than fit a broadcast are merged instead.
-    calls = on_contig(raw, out["contig"]).join(
-        sized(ids, is_small(ids)), ["file", "col"]).drop("file", "col")
-
-    alleles = calls.select("ord", "chrom", "pos", "ref", "alt").distinct()
-    bad = cut_lineage(mismatched(alleles, out["contig"], out["ref_chunk"], width))
-    few = is_small(bad)
-    good = alleles.join(sized(bad, few), "ord", "left_anti")
+    calls = stored_calls(spark, root)
+    out["sample"] = write_relation(sample_dictionary(calls.columns), path, "sample")
+    keyed, good = _checked(calls, out, width)
     out["site"] = write_relation(canonical_sites(good), path, "site")
-    out["carrier"] = write_relation(
-        merged_carriers(calls.join(sized(bad, few), "ord", "left_anti"), out["site"]), path, "carrier")
+    out["carrier"] = write_relation(merged_carriers(keyed, out["site"]), path, "carrier")
     write_derived(out, path, width)
-    add_manifest(spark, root, Manifest(version, width, known.allele_aware, known.reference, f"v{version}"))
+    add_manifest(spark, root, Manifest(
+        version, width, known.allele_aware, known.reference, f"v{version}", None, json.dumps(calls.batches), calls.records))
     return out
 
 
+def _checked(calls: Calls, of: dict[str, DataFrame], width: int) -> tuple[DataFrame, DataFrame]:
+    """Calls of known contigs with their samples' ids, and their alleles, without those whose
+    REF differs from the reference."""
+    ids = calls.columns.join(of["sample"], "name").select("file", "col", "sample_id")
+    # A header is as long as the cohort; more files than fit a broadcast are merged instead.
+    keyed = on_contig(calls.rows, of["contig"]).join(
+        sized(ids, is_small(ids)), ["file", "col"]).drop("file", "col")
+    alleles = keyed.select("ord", "chrom", "pos", "ref", "alt").distinct()
+    bad = cut_lineage(mismatched(alleles, of["contig"], of["ref_chunk"], width))
+    few = is_small(bad)
+    return tuple(df.join(sized(bad, few), "ord", "left_anti") for df in (keyed, alleles))
+
+
+def update_relations(spark: SparkSession, path: str, width: int | None = None) -> Manifest:
+    """Bring a store up to date with batches of calls that came after its last version.
+
+    Only the new batches are read.  Their sites and carriers are merged with the stored
+    ones of the contigs they touch, and what is derived is worked out anew for these
+    contigs alone; the other contigs' files are neither read nor written but named by the new
+    manifest.  Sites keep their ids, as later records have larger numbers, and samples
+    theirs; new names follow.  A store without a list of its batches, or one that was given
+    an earlier batch since, is stored anew.
+    """
+    known = read_manifest(spark, path, width)
+    if known is None or known.batches is None:
+        store_relations(spark, path, width)
+        return read_manifest(spark, path)
+    done, there = json.loads(known.batches), batches_of(spark, path)
+    new = [b for b in there if b not in done]
+    if not new:
+        return known
+    if done and new[0] < max(done):
+        store_relations(spark, path, width)
+        return read_manifest(spark, path)
+    version = known.version + 1
+    folder = f"{path}/v{version}"
+    of = {n: known.read(spark, path, n) for n in (*REFERENCE, "sample")}
+    calls = stored_calls(spark, path, new, known.records)
+    names = calls.columns.join(of["sample"], "name", "left_anti")
+    taken = of["sample"].agg(F.coalesce(F.max("sample_id"), F.lit(0))).first()[0]
+    added = sample_dictionary(names).withColumn("sample_id", F.col("sample_id") + taken)
+    of["sample"] = write_relation(of["sample"].unionByName(added), folder, "sample")
+    keyed, good = (cut_lineage(df) for df in _checked(calls, of, known.width))
+    touched = sorted(r.chrom for r in good.select("chrom").distinct().collect())  # contigs, as in the manifest
+    old = {n: known.read(spark, path, n, touched) for n in ("site", "carrier")}
+    of["contig"] = of["contig"].where(F.col("chrom").isin(touched))
+    key = ["chrom", "pos", "kind", "ref", "alt"]
+    both = old["site"].unionByName(canonical_sites(good).select(*old["site"].columns))
+    facts = [c for c in old["site"].columns if c not in (*key, "site_id")]
+    of["site"] = write_relation(both.groupBy(*key).agg(
+        F.min("site_id").alias("site_id"), *[F.first(c).alias(c) for c in facts]).select(*old["site"].columns), folder, "site")
+    both = old["carrier"].unionByName(merged_carriers(keyed, of["site"]).select(*old["carrier"].columns))
+    of["carrier"] = write_relation(both.groupBy("chrom", "site_id", "pos", "edit_key", "sample_id").agg(
+        *[F.bool_or(c).alias(c) for c in ("phase", "gt1", "gt2")]), folder, "carrier")
+    write_derived(of, folder, known.width)
+    held = json.loads(known.contigs) if known.contigs else {
+        r.chrom: known.relations for r in known.read(spark, path, "contig").select("chrom").collect()}
+    return add_manifest(spark, path, Manifest(
+        version, known.width, known.allele_aware, known.reference, f"v{version}",
+        json.dumps(held | {c: f"v{version}" for c in touched}), json.dumps(sorted([*done, *new])), calls.records))
+
+
 def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aware: bool = True,
               width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
     """Read, check, normalise and store a cohort under ``path``, a folder all executors share.
@@ -192,30 +267,48 @@ def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aw
     return store_relations(spark, path, width)
 
 
-def stored_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Sample columns and carrier calls of all batches, numbered without gaps or clashes.
+@dataclass(frozen=True)
+class Calls:
+    """Stored calls: sample columns, carriers, their batches, and the first record number
+    that is free after them."""
+
+    columns: DataFrame
+    rows: DataFrame
+    batches: list[int]
+    records: int
+
+
+def batches_of(spark: SparkSession, path: str) -> list[int]:
+    return sorted(r.batch for r in spark.read.schema(CALLS).parquet(f"{path}/calls").select("batch").distinct().collect())
+
+
+def stored_calls(spark: SparkSession, path: str, batches: list[int] | None = None, start: int = 0) -> Calls:
+    """Sample columns and carrier calls of some batches, all if none are given, numbered from
+    ``start`` without gaps or clashes.
 
     Records are numbered batch by batch, in each by partition and row; the offsets of the
     partitions are summed from their largest row numbers.
     """
-    both = spark.read.schema(CALLS).parquet(f"{path}/calls").withColumn(
+    batches = batches_of(spark, path) if batches is None else batches
+    both = spark.read.schema(CALLS).parquet(f"{path}/calls").where(F.col("batch").isin(batches)).withColumn(
         "part", F.shiftright("ord", ROW_BITS)).withColumn("row", F.col("ord").bitwiseAND((1 << ROW_BITS) - 1))
     used = both.groupBy("batch", "part").agg((F.max("row") + 1).alias("n"))
     inside = Window.partitionBy("batch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    batches = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # a row per batch
-    start = used.groupBy("batch").agg(F.sum("n").alias("n")).select(
-        "batch", F.coalesce(F.sum("n").over(batches), F.lit(0)).alias("start"))
-    offsets = cut_lineage(used.select("batch", "part", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("before")).join(
-        start, "batch").select("batch", "part", (F.col("start") + F.col("before")).alias("offset")))
-    both = both.join(sized(offsets, is_small(offsets)), ["batch", "part"]).withColumn(
+    ahead = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # a row per batch
+    first = used.groupBy("batch").agg(F.sum("n").alias("n")).select(
+        "batch", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) + start).alias("start"))
+    offsets = cut_lineage(used.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(
+        first, "batch").select("batch", "part", "n", (F.col("start") + F.col("before")).alias("offset")))
+    end = offsets.agg(F.max(F.col("offset") + F.col("n"))).first()[0]
+    both = both.join(sized(offsets.drop("n"), is_small(offsets)), ["batch", "part"]).withColumn(
         "ord", F.col("offset") + F.col("row")).select(*CALL_COLUMNS)
     named = F.col("name").isNotNull()
-    return both.where(named).select("file", "col", "name"), both.where(~named).drop("name")
+    return Calls(both.where(named).select("file", "col", "name"), both.where(~named).drop("name"), batches, end or start)
 
 
 def rejected_alleles(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
     """Alleles of a stored cohort's calls that failed the reference check, for the log."""
-    _, raw = stored_calls(spark, path)
+    raw = stored_calls(spark, path).rows
     m = read_manifest(spark, path, width)
     contig, chunks = (read_relation(spark, m.folder(path, n), n) for n in ("contig", "ref_chunk"))
     alleles = on_contig(raw.select("ord", "chrom", "pos", "ref", "alt").distinct(), contig)

@@ -13,7 +13,7 @@ from ..operators.requests import check_columns, is_small, sized
 from ..schema import RELATIONS
 from ..sources import overlay
 from .build import (
-    DERIVED, Manifest, add_manifest, construct, derived, next_version, read_manifest, read_relation, write_all,
+    DERIVED, Manifest, add_manifest, construct, derived, next_version, read_manifest, write_all,
     write_derived,
 )
 
@@ -77,7 +77,7 @@ class Cohort:
         m = read_manifest(spark, path, width)
         if m is None:
             raise ValueError(f"no cohort is stored at {path}")
-        return cls({n: read_relation(spark, m.folder(path, n), n) for n in RELATIONS}, m.width)
+        return cls({n: m.read(spark, path, n) for n in RELATIONS}, m.width)
 
     def cached(self) -> Cohort:
         """Keep the relations in executor memory, spilling to disk, for many small batches."""

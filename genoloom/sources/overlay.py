@@ -111,3 +111,72 @@ def requests(spark: SparkSession, sf_dir: str, length: int = 300) -> DataFrame:
         contig(spark, sf_dir), "chrom").select(
         F.col("s_suppkey").alias("region_id"), "chrom", x.alias("x"), (x + length).alias("y"),
         F.col("s_suppkey").alias("sample_id"))
+
+
+# -- a second view: two contigs, long deletions that overlap, few samples with many variants --
+
+DENSE_SAMPLES = 7
+
+
+def _dense_chrom(partkey: Column) -> Column:
+    return F.when(partkey % 4 < 2, "a").otherwise("b")
+
+
+def dense_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site on every second part: a substitution, an insertion, or a deletion of four
+    bases for each unit of the part's size, so up to 200 bases over some forty sites."""
+    part = _table(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == 0)
+    key, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(key % 6 == 0, "SUB").when(key % 6 == 2, "INS").otherwise("DEL")
+    n = (4 * size).cast("int")
+    rows = part.select(
+        _dense_chrom(key).alias("chrom"), (key + 1).alias("pos"), kind.alias("kind"),
+        F.when(kind == "SUB", "A").when(kind == "INS", "").otherwise(F.repeat(F.lit("A"), n)).alias("ref"),
+        F.when(kind == "SUB", "C").when(kind == "INS", "GT").otherwise("").alias("alt"),
+        F.when(kind == "SUB", 0).when(kind == "INS", 2).otherwise(-n).cast("long").alias("delta"))
+    return rows.select(
+        "chrom", F.col("pos").alias("site_id"), "pos", "kind", "ref", "alt", "delta",
+        first_base(F.col("kind"), F.col("pos")).alias("lo"), last_base(F.col("kind"), F.col("pos"), F.col("ref")).cast("long").alias("hi"),
+        edit_key(F.col("kind"), F.col("pos")).alias("edit_key"))
+
+
+def dense_carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers modulo ``DENSE_SAMPLES`` are the samples, so many sites share their carriers."""
+    line = _table(spark, sf_dir, "lineitem").where(F.col("l_partkey") % 2 == 0)
+    key = F.col("l_partkey")
+    kind = F.when(key % 6 == 0, "SUB").when(key % 6 == 2, "INS").otherwise("DEL")
+    rows = line.select(key, (F.col("l_suppkey") % DENSE_SAMPLES + 1).alias("sample_id")).distinct()
+    return rows.select(
+        _dense_chrom(key).alias("chrom"), (key + 1).alias("site_id"), (key + 1).alias("pos"),
+        edit_key(kind, key + 1).alias("edit_key"), "sample_id",
+        F.lit(True).alias("phase"), F.lit(True).alias("gt1"), F.lit(True).alias("gt2"))
+
+
+# -- the variant view as text ------------------------------------------------------
+
+def vcf_lines(calls: DataFrame, raw: DataFrame, samples: list[tuple[int, str]]) -> DataFrame:
+    """``(at, line)``: header and wide records of some samples, in file order by ``at``;
+    ``raw`` has ``(site_id, pos, ref, alt)`` as records spell them."""
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(n for _, n in samples)])
+    bit = lambda c: F.when(F.col(c) == 1, "1").otherwise("0")
+    genotype = F.concat(bit("gt1"), F.when(F.col("phase") == 1, "|").otherwise("/"), bit("gt2"))
+    called = calls.groupBy(F.col("pos").alias("site_id")).agg(F.map_from_entries(F.collect_list(F.struct("sample_id", genotype))).alias("g"))
+    ids = F.array(*[F.lit(i).cast("long") for i, _ in samples])
+    cells = F.transform(ids, lambda i: F.coalesce(F.try_element_at("g", i), F.lit("0|0")))
+    line = F.concat_ws("\t", F.lit(CHROM), F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("99"), F.lit("."), F.lit("NS=1"),
+                       F.lit("GT"), F.array_join(cells, "\t"))
+    records = raw.join(called, "site_id", "left").select(F.col("pos").alias("at"), line.alias("line"))
+    return records.sparkSession.createDataFrame([(-1, head)], "at bigint, line string").unionByName(records)
+
+
+def fasta_lines(bases: DataFrame, width: int = 60) -> DataFrame:
+    """``(at, line)`` of the one contig in lines of ``width`` bases."""
+    rows = bases.groupBy(F.call_function("div", F.col("pos") - 1, F.lit(width)).alias("at")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "base"))).alias("b")).select(
+        "at", F.array_join(F.transform("b", lambda e: e["base"]), "").alias("line"))
+    return rows.sparkSession.createDataFrame([(-1, f">{CHROM} from the tables")], "at bigint, line string").unionByName(rows)
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    """One text file of lines in order."""
+    lines.coalesce(1).sortWithinPartitions("at").select("line").write.text(path)

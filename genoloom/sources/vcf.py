@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import carried_alleles, edit_key, first_base, is_plain_alt, last_base, trimmed
 from ..grid import DEFAULT_WIDTH, cell_of, cell_start
 from ..operators.requests import is_small, sized
+from ..session import cut_lineage
 from .bgzf import listed, read_blocked_lines
 from .fasta import read_lines
 
@@ -28,11 +29,19 @@ REFERENCE_CALLS = ["0|0", "0/0", "0", ".", "./.", ".|."]
 def sample_dictionary(columns: DataFrame) -> DataFrame:
     """``(sample_id, name)``: ids from 1 in header order, first appearance counting.
 
-    0 is kept for the reference.  The scan over names is as long as the cohort.
+    0 is kept for the reference.  Names are dealt by ranges of file and column and numbered
+    inside each range; only the ranges' sizes, a number per task, are summed in one place.
     """
-    first = columns.groupBy("name").agg(F.min(F.struct("file", "col")).alias("at"))
-    order = Window.orderBy("at.file", "at.col")
-    return first.select(F.row_number().over(order).cast("long").alias("sample_id"), "name")
+    first = columns.groupBy("name").agg(F.min(F.struct("file", "col")).alias("at")).select("name", "at.file", "at.col")
+    dealt = cut_lineage(first.repartitionByRange("file", "col").withColumn("range", F.spark_partition_id()))
+    before, offsets = 0, []
+    for r in dealt.groupBy("range").count().orderBy("range").collect():
+        offsets.append((r["range"], before))
+        before += r["count"]
+    starts = columns.sparkSession.createDataFrame(offsets, "range int, before long")
+    inside = Window.partitionBy("range").orderBy("file", "col")
+    return dealt.withColumn("n", F.row_number().over(inside)).join(F.broadcast(starts), "range").select(
+        (F.col("before") + F.col("n")).alias("sample_id"), "name")
 
 
 def info_map(info: Column) -> Column:

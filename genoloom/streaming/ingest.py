@@ -1,8 +1,8 @@
 """Variant files that arrive over time.
 
 A stream watches a folder and adds the calls of each new file to a cohort's stored
-calls; ``plans.build.store_relations`` then brings sites, carriers and coordinates up
-to date for all of them.  A batch writes a folder named after its number, so one that
+calls; ``plans.build.update_relations`` then brings sites, carriers and what follows from
+them up to date on the contigs that they touch.  A batch writes a folder named after its number, so one that
 is run again after a failure replaces its own rows.
 """
 
