@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ from genoloom.session import cut_lineage
 COUNTER_BITS = 20
 LANES = 8
 LANE_MAX = 255
+BLOCK = 64  # partners that meet one set together, about
 
 
 @dataclass(frozen=True)
@@ -118,7 +120,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that link, judged on the full sets of both texts.
 
     The sets are made where the texts lie; a Bloom filter keeps most documents that are
-    in no pair from being hashed, and the joins are exact.
+    in no pair from being hashed, and the joins are exact.  The partners of one b meet it
+    in blocks, so that its set moves once for each block, and a's once for each pair.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     shared = docs.sparkSession.sparkContext.broadcast(bloom_of(asked))
@@ -133,21 +136,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [any(_links(x, y, rule) for x in _sides(sides, True) for y in _sides(sides, False))
-                    for sides in batch.column("sides")]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            linked = []
+            for b, sides in zip(batch.column("b").to_pylist(), batch.column("sides"), strict=True):
+                ids = sides.values.field("id").to_pylist()
+                sets = [_unpacked(v.as_buffer()) for v in sides.values.field("grams")]
+                own = [s for i, s in zip(ids, sets, strict=True) if i == b]
+                linked += {(i, b) for i, s in zip(ids, sets, strict=True) if i != b and any(_links(s, o, rule) for o in own)}
+            yield pa.RecordBatch.from_pydict({
+                "a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
 
     sets = cut_lineage(docs.where("id is not null").mapInArrow(make, "id bigint, grams binary"))
-    roles = cut_lineage(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")))
-    # Few roles are broadcast, so that sets move once, to their pair; a pair has two of
-    # them, and one more for each further version of a document.
-    both = sets.join(sized(roles, is_small(roles)), "id").groupBy("a", "b").agg(
-        F.collect_list(F.struct((F.col("id") == F.col("a")).alias("first"), "grams")).alias("sides"))
-    return cut_lineage(both.mapInArrow(judge, "a bigint, b bigint"))
-
-
-def _sides(sides: pa.ListScalar, first: bool) -> list[np.ndarray]:
-    return [_unpacked(v["grams"].as_buffer()) for v in sides.values if v["first"].as_py() == first]
+    blocks = cut_lineage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
+    dealt = pairs.join(sized(blocks, is_small(blocks)), "b").withColumn("block", F.pmod(F.xxhash64("a"), "blocks"))
+    roles = cut_lineage(dealt.select("b", "block", F.explode(F.array("a", "b")).alias("id")).distinct())
+    # Few roles are broadcast, so that sets move once, to their block.
+    both = sets.join(sized(roles, is_small(roles)), "id").groupBy("b", "block").agg(
+        F.collect_list(F.struct("id", "grams")).alias("sides"))
+    return cut_lineage(both.select("b", "sides").mapInArrow(judge, "a bigint, b bigint"))
 
 
 def _links(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
@@ -156,13 +161,28 @@ def _links(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
 
 
 def _shared_grams(docs: DataFrame, nodes: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
-    """(gram, id, n, pos, lanes, size): the nodes' prefix n-grams that two nodes or more have."""
+    """(gram, id, n, pos, lanes, size): the nodes' prefix n-grams that two nodes or more have.
+
+    A Bloom filter keeps most others from becoming rows; the join that follows is exact.
+    """
     made = cut_lineage(_prefixes(docs, rule, counts).join(nodes, "id", "left_semi"))
-    rows = made.select("id", F.posexplode("grams").alias("pos", "gram"))
-    often = cut_lineage(rows.groupBy("gram").count().where("count > 1").select("gram"))
-    shared = cut_lineage(rows.join(often, "gram", "left_semi"))
+    often = cut_lineage(made.select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 1").select("gram"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(often))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column("grams").flatten().to_numpy()
+            many = pc.list_value_length(batch.column("grams")).to_numpy()
+            row = np.repeat(np.arange(len(many)), many)
+            pos = np.arange(len(grams)) - np.repeat(np.cumsum(many) - many, many)
+            on = in_bloom(shared.value, grams)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams[on]), *batch.select(["id", "n", "lanes"]).take(pa.array(row[on])).columns, pa.array(pos[on].astype(np.int32))],
+                names=["gram", "id", "n", "lanes", "pos"])
+
+    rows = made.mapInArrow(work, "gram bigint, id bigint, n bigint, lanes bigint, pos int")
     size = F.floor(F.ln("n") / float(np.log(rule.whole / rule.part))).cast("int").alias("size")
-    return cut_lineage(shared.join(made.select("id", "n", "lanes", size), "id"))
+    return cut_lineage(rows.join(often, "gram", "left_semi").select("*", size))
 
 
 def _first_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
