@@ -331,6 +331,30 @@ def vcf_wide_parse(spark, d):
     return _bits(calls.select("pos", "alt", "col", "name", "phase", "gt1", "gt2"), "phase", "gt1", "gt2")
 
 
+def info_by_allele(spark, d):
+    """Typed INFO of each ALT of records with one to three, by what the header declares."""
+    head = [f'##INFO=<ID={i},Number={n},Type={t},Description="made, up">' for i, n, t in (
+        ("AC", "A", "Integer"), ("DP", "1", "Integer"), ("DB", "0", "Flag"), ("AF", "A", "Float"), ("RC", "R", "Integer"),
+        ("GL", "G", "Integer"), ("TAG", ".", "String"))]
+    key, n = F.col("p_partkey"), F.col("p_size") % 3 + 1
+    listed = lambda count, step: F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: (key % 50 * step + i).cast("string")), ",")
+    info = F.concat_ws(
+        ";", F.concat(F.lit("AC="), listed(n, 1)), F.concat(F.lit("DP="), F.when(key % 7 == 0, ".").otherwise((key % 90).cast("string"))),
+        F.when(key % 2 == 0, "DB"), F.concat(F.lit("AF="), F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("0."), i.cast("string"))), ",")),
+        F.concat(F.lit("RC="), listed(n + 1, 2)), F.concat(F.lit("GL="), listed(F.call_function("div", (n + 1) * (n + 2), F.lit(2)), 3)),
+        F.when(key % 3 == 0, "TAG=a,b"))
+    alts = F.array_join(F.slice(F.array(*map(F.lit, ("C", "G", "T"))), F.lit(1), n), ",")
+    line = F.concat_ws("\t", F.lit("x"), (key + 1).cast("string"), F.lit("."), F.lit("A"), alts, F.lit("9"), F.lit("."), info)
+    lines = spark.createDataFrame([(h,) for h in head], "line string").unionByName(
+        _table(spark, d, "part").select(line.alias("line"))).withColumn("file", F.lit("one"))
+    fields = vcf.info_fields(lines)
+    found = vcf.parse_records(lines).withColumn("i", vcf.info_of_allele(fields))
+    return found.select(
+        "pos", "alt", F.col("i.AC").alias("ac"), F.col("i.DP").alias("dp"), F.col("i.DB").cast("int").alias("db"),
+        (F.col("i.AF") * 10).cast("int").alias("af10"), F.get("i.RC", 0).alias("rc_ref"), F.get("i.RC", 1).alias("rc_alt"),
+        *[F.get("i.GL", k).alias(f"gl_{k}") for k in range(3)], F.array_join("i.TAG", "+").alias("tag"))
+
+
 def subsequence(spark, d):
     c = _cohort(spark, d)
     return fasta.subsequences(c.ref_chunk, overlay.requests(spark, d).select(
@@ -702,7 +726,7 @@ _PLAIN = [
     bgzip_read, bgzip_region_read, range_join_variants, variant_counts, interval_overlap, interval_contained, asof_position_index,
     prev_ref_node, next_ref_node, nth_ref_node, window_is_empty, next_variant, prev_sample_variant,
     coord_running_delta, sample_path_length, sample_path, stored_round_trip, stored_graph, merged_files,
-    path_overlaps, sample_class_shared, vcf_wide_parse, subsequence, sample_class_dictionary, class_popcount,
+    path_overlaps, sample_class_shared, vcf_wide_parse, info_by_allele, subsequence, sample_class_dictionary, class_popcount,
     class_nth_sample, carrier_density, carrier_union, graph_stats, segments, edges, all_vertices,
     out_neighbors, in_neighbors, out_degree, in_degree, is_edge, neighbor_intersection,
     neighbor_order, bfs_radius, path_step, dot_lines, vertex_info, allele_classify, allele_trim,

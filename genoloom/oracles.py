@@ -230,6 +230,12 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN substr(gt, 1, 1) = o THEN 1 ELSE 0 END AS gt1, CASE WHEN substr(gt, 3, 1) = o THEN 1 ELSE 0 END AS gt2
               FROM (SELECT *, 'C' AS alt, '1' AS o FROM wide UNION ALL SELECT *, 'GT', '2' FROM wide WHERE two)) WHERE gt1 + gt2 > 0
             UNION ALL SELECT NULL, 'ALT', CAST(k AS INT), concat('n', k), 0, 0, 0 FROM (SELECT unnest(range(7)) AS k)"""),
+        "info_by_allele": """SELECT p_partkey + 1 AS pos, substr('CGT', CAST(i AS INT), 1) AS alt, p_partkey % 50 + i AS ac,
+            CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 90 END AS dp, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS db,
+            CAST(i AS INT) AS af10, p_partkey % 50 * 2 + 1 AS rc_ref, p_partkey % 50 * 2 + i + 1 AS rc_alt,
+            p_partkey % 50 * 3 + 1 AS gl_0, p_partkey % 50 * 3 + i * (i + 1) // 2 + 1 AS gl_1,
+            p_partkey % 50 * 3 + i * (i + 1) // 2 + i + 1 AS gl_2, CASE WHEN p_partkey % 3 = 0 THEN 'a+b' END AS tag
+            FROM (SELECT *, unnest(range(1, p_size % 3 + 2)) AS i FROM part)""",
         "carrier_density": _with("vcall", """SELECT m AS max_carriers, n AS n_samples,
             CASE WHEN m * 20 > n THEN 1 ELSE 0 END AS dense FROM (SELECT max(c) AS m FROM (
             SELECT count(*) AS c FROM vcall GROUP BY pos)), (SELECT count(*) AS n FROM supplier)"""),

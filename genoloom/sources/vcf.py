@@ -7,7 +7,8 @@ the array, and only then is it exploded.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,76 @@ def info_map(info: Column) -> Column:
     return F.str_to_map(info, F.lit(";"), F.lit("="))
 
 
+# A header's types of fields.
+INFO_TYPES = {"Integer": "bigint", "Float": "double", "Flag": "boolean", "Character": "string", "String": "string"}
+
+
+@dataclass(frozen=True)
+class InfoField:
+    """A field of INFO as a header declares it: ``number`` is a count, A (one for each ALT),
+    R (for each allele), G (for each genotype) or a dot."""
+
+    name: str
+    number: str
+    kind: str
+
+    @property
+    def type(self) -> str:
+        """The type of its value for one ALT."""
+        one = INFO_TYPES[self.kind]
+        return one if self.kind == "Flag" or self.number in ("0", "1", "A") else f"array<{one}>"
+
+
+def info_fields(lines: DataFrame) -> list[InfoField]:
+    """The fields that the headers of ``lines`` declare, by name; as many as a header has.
+
+    Files that declare a name differently are an error; fields of unknown types are text.
+    """
+    declared = lines.where(F.col("line").startswith("##INFO=<")).select(
+        *[F.regexp_extract("line", rf"[<,]{k}=([^,>]+)", 1).alias(k) for k in ("ID", "Number", "Type")]).distinct()
+    out: dict[str, InfoField] = {}
+    for r in declared.where("ID <> ''").orderBy("ID", "Number", "Type").collect():
+        field = InfoField(r.ID, "0" if r.Type == "Flag" else r.Number or ".", r.Type if r.Type in INFO_TYPES else "String")
+        if out.setdefault(r.ID, field) != field:
+            raise ValueError(f"INFO field {r.ID} is declared in two ways")
+    return list(out.values())
+
+
+def _cast_to(kind: str) -> Callable[[Column], Column]:
+    return lambda text: F.when(text != ".", text).try_cast(kind)
+
+
+def info_of_allele(fields: Sequence[InfoField], info: Column | str = "info", ordinal: Column | str = "ordinal") -> Column:
+    """INFO text as a struct of typed values that belong to one ALT, the ``ordinal``-th from 1.
+
+    A: the ALT's own value.  R: the reference's and the ALT's.  G: those of the three diploid
+    genotypes of the two.  1: the value.  Others: all values.  Missing fields and dots are null,
+    a flag is true or false, a value that is not of its type is null.
+    """
+    ordinal = F.col(ordinal) if isinstance(ordinal, str) else ordinal
+    values = info_map(F.col(info) if isinstance(info, str) else info)
+    out = []
+    for f in fields:
+        raw = F.try_element_at(values, F.lit(f.name))
+        if f.kind == "Flag":
+            out.append(F.coalesce(F.map_contains_key(values, F.lit(f.name)), F.lit(False)).alias(f.name))
+            continue
+        one = _cast_to(INFO_TYPES[f.kind])
+        parts = F.split(raw, ",")
+        if f.number in ("0", "1"):
+            value = one(raw)
+        elif f.number == "A":
+            value = one(F.get(parts, (ordinal - 1).cast("int")))
+        else:
+            hom = F.call_function("div", ordinal * (ordinal + 1), F.lit(2))  # place of the genotype 0/ALT
+            places = {"R": [F.lit(0), ordinal], "G": [F.lit(0), hom, hom + ordinal]}.get(f.number)
+            some = parts if places is None else F.when(
+                parts.isNotNull(), F.array(*[F.get(parts, p.cast("int")) for p in places]))
+            value = F.transform(some, one)
+        out.append(value.alias(f.name))
+    return F.struct(*out)
+
+
 def parse_records(lines: DataFrame) -> DataFrame:
     """One row per record and ALT: ``file, ord, chrom, pos, ref, alt, ordinal, info, format,
     cells``; the header line comes along as a record whose cells are the sample names.

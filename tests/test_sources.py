@@ -3,6 +3,7 @@
 import gzip
 import random
 
+import pytest
 from conftest import TOY_REF, fasta_text, vcf_text
 from pyspark.sql import functions as F
 
@@ -151,3 +152,21 @@ def test_trimming(spark):
 def test_info_map(spark):
     df = spark.createDataFrame([("AC=1;LEN=3;MICROSAT",)], "i string").select(vcf.info_map(F.col("i")).alias("m"))
     assert df.where("m['LEN'] > 2 AND m['AC'] = '1'").collect()[0].m["MICROSAT"] is None
+
+
+def test_typed_info_of_one_allele(spark):
+    head = ['##INFO=<ID=AC,Number=A,Type=Integer,Description="x">', "##INFO=<ID=DB,Number=0,Type=Flag>", "##INFO=<ID=S,Number=2,Type=Float>",
+            "##INFO=<ID=ODD,Number=1,Type=Unheard>", "##INFO=<ID=GL,Number=G,Type=Integer>", "##FORMAT=<ID=GT,Number=1,Type=String>"]
+    body = ["x\t5\t.\tA\tC,G\t.\t.\tAC=1,x;S=0.5,.;DB;ODD=a=b;GL=0,1,2,3,4,5", "x\t6\t.\tA\tC\t.\t.\t.", "x\t7\t.\tA\tC\t.\t.\tAC=."]
+    lines = spark.createDataFrame([("f", t) for t in head + body], "file string, line string")
+    fields = vcf.info_fields(lines)
+    assert [(f.name, f.type) for f in fields] == [
+        ("AC", "bigint"), ("DB", "boolean"), ("GL", "array<bigint>"), ("ODD", "string"), ("S", "array<double>")]
+    got = vcf.parse_records(lines).select("pos", "alt", vcf.info_of_allele(fields).alias("i")).orderBy("pos", "alt").collect()
+    assert [tuple(r.i) for r in got] == [
+        (1, True, [0, 1, 2], "a=b", [0.5, None]), (None, True, [0, 3, 5], "a=b", [0.5, None]),
+        (None, False, None, None, None), (None, False, None, None, None)]
+    twice = lines.union(spark.createDataFrame([("g", "##INFO=<ID=AC,Number=1,Type=Integer>")], lines.schema))
+    with pytest.raises(ValueError, match="AC"):
+        vcf.info_fields(twice)
+    assert vcf.info_fields(lines.where("false")) == []
