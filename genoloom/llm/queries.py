@@ -80,6 +80,48 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
+# The CRC-32 of a number's text, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+
+def _sized(*columns: str) -> str:
+    """Values as one text, each with its byte count."""
+    one = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({0} AS VARCHAR))), ':', CAST({0} AS VARCHAR)) END"
+    return f"sha256(concat({', '.join(one.format(c) for c in columns)}))"
+
+
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT *, CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents),
+l AS (SELECT doc_id, source, {_sized("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    {_sized("doc_id", "source", "lang", "n_chars", "tampered")} AS claim FROM d),
+p AS (SELECT *, row_number() OVER () AS k, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS pos FROM l),
+node(tree, level, pos, n, h) AS (
+    SELECT tree, 0, pos, n, leaf FROM p UNION ALL
+    SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+sub AS (SELECT tree, h FROM node WHERE n = 1),
+top(level, pos, n, h) AS (
+    SELECT 0, tree, count(*) OVER (), h FROM sub UNION ALL
+    SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 3, n),
+every AS (SELECT tree, level, pos, n, h FROM node UNION ALL SELECT -1, level, pos, n, h FROM top),
+sib AS (
+    SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+           coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+    FROM every a LEFT JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 AND a.pos <> b.pos
+    WHERE a.n > 1 GROUP BY 1, 2, 3),
+up(k, tree, level, pos, n, h, proof) AS (
+    SELECT k, tree, 0, pos, n, claim, '' FROM p UNION ALL
+    SELECT k, u.tree, u.level + 1, u.pos // 3, (n + 2) // 3, sha256(concat(l, h, r)), concat(proof, l, r)
+    FROM up u JOIN sib s ON s.tree = u.tree AND s.level = u.level AND s.pos = u.pos WHERE n > 1),
+out(k, level, pos, n, h, proof) AS (
+    SELECT k, 0, u.tree, t.n, u.h, u.proof FROM up u JOIN top t ON t.level = 0 AND t.pos = u.tree WHERE u.n = 1 UNION ALL
+    SELECT k, u.level + 1, u.pos // 3, (n + 2) // 3, sha256(concat(l, h, r)), concat(proof, l, r)
+    FROM out u JOIN sib s ON s.tree = -1 AND s.level = u.level AND s.pos = u.pos WHERE n > 1)
+SELECT p.doc_id, p.leaf, sub.h AS subroot, top.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root, o.h = top.h AS verified
+FROM p JOIN sub USING (tree) JOIN out o ON o.k = p.k AND o.n = 1 JOIN top ON top.n = 1"""
+
 OP13 = r"""
 WITH d AS (
     SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -239,4 +281,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6, "op7_jaccard_join": OP7, "op9_secret_scan": OP9, "op10_top_k": OP10, "op13_substring_dedup": OP13}
+    return {"op6_warc": OP6, "op7_jaccard_join": OP7, "op9_secret_scan": OP9, "op10_top_k": OP10, "op12_merkle_manifest": OP12, "op13_substring_dedup": OP13}

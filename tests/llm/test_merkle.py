@@ -5,10 +5,11 @@ import zlib
 from hashlib import sha256
 
 import pytest
+from compare import compare, connect
 from pyspark.sql import functions as F
 
 from genoloom.llm import merkle
-from genoloom.llm.queries import op12_merkle_manifest
+from genoloom.llm.queries import OP12, op12_merkle_manifest
 
 SF = "/root/testdata/sf0.001"
 
@@ -123,3 +124,8 @@ def test_proofs_of_some_leaves(spark, levels):
     assert set(got) == set(asked[:6])
     for (t, i), r in got.items():
         assert merkle.folded(leaves[t][i], r.path) == tree(leaves[t])[0]
+
+
+def test_query_equals_sql(spark):
+    ok, text = compare(spark, connect(SF), SF, "op12_merkle_manifest", op12_merkle_manifest, OP12)
+    assert ok, text

@@ -85,3 +85,32 @@ def test_queries_without_the_optional_modules(monkeypatch):
 
     monkeypatch.setattr(entry.importlib, "import_module", missing)
     assert set(entry.queries()) == set(entry.core_queries()) and set(entry.oracle_sql()) == set(entry.core_sql())
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows, columns with names that
+    are used inside."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(90_001, None), (90_002, ""), (None, "some words here"), (None, None), (90_003, "one two three four five six"),
+           (90_003, "one two three four five six"), (90_004, "one two three four five six"), (90_005, "word " * 200_000),
+           (90_006, "mail me at someone@example.org")]
+    more = spark.createDataFrame([(i, t, "en", None, None) for i, t in odd], docs.select(*cp.COLUMNS).schema)
+    docs = docs.select(*cp.COLUMNS).unionByName(more).selectExpr("*", "1 AS score", "'x' AS predicted", "2 AS id", "'y' AS spans", "3 AS ids")
+    for k, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert docs.columns == list(cp.COLUMNS)
+            docs = docs.selectExpr("*", "1 AS score", "'z' AS component_id", "2 AS item_id", "3 AS ids", "4 AS n")
+    got = [(r.doc_id, r.n_tokens) for r in docs.where("doc_id is null or doc_id > 90000").collect()]
+    by = dict(g for g in got if g[0] is not None)
+    assert sorted(by) == [90_001, 90_002, 90_003, 90_005, 90_006] and len(got) == len(by) + 2
+    assert by[90_001] == by[90_002] == 0 and by[90_005] > 100_000
+    assert "someone" not in spark.read.parquet(str(tmp_path / "3")).where("doc_id = 90006").first().text
+
+
+def test_empty_tables_pass_all_stages(spark):
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in cp.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0 and (out.columns == list(cp.COLUMNS) or name == "sentencepiece")

@@ -5,10 +5,11 @@ import random
 
 import pyarrow as pa
 import pytest
+from compare import compare, connect
 from pyspark.sql import functions as F
 
 from genoloom.llm import spans
-from genoloom.llm.queries import op13_substring_dedup
+from genoloom.llm.queries import OP13, op13_substring_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +92,8 @@ def test_equal_windows_have_one_anchor_and_every_window_one_piece():
     owner = {(t, s + k): a for t, s, n, a in zip(p.text, p.start, p.windows, p.anchor, strict=True) for k in range(n)}
     assert len(owner) == p.windows.sum() == 101 + 41
     assert all(owner[2, k] == owner[0, 30 + k] for k in range(41))
+
+
+def test_query_equals_sql(spark):
+    ok, text = compare(spark, connect(SF), SF, "op13_substring_dedup", op13_substring_dedup, OP13)
+    assert ok, text
