@@ -1,6 +1,8 @@
 """A training corpus in five stages: no toxic, similar or leaked documents, no personal data, tokens.
 
-Each stage takes what the one before kept, written as Parquet and read again.
+Each stage takes what the one before kept, written as Parquet and read again.  All stages
+take tables with more columns, whatever their names, and leave these out; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import decontam, jaccard, pieces, pii, toxicity
+from genoloom.llm import decontam, jaccard, pii, toxicity
 from genoloom.llm.common import remainder, table
 from genoloom.llm.queries import piece_model, pii_key
 from genoloom.session import shared_folder
@@ -25,30 +27,46 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic.  It learns labels only from rows
-    whose crc32 of the id modulo 5 is not 0."""
+    whose crc32 of the id modulo 5 is not 0.
+
+    Null and empty texts are never toxic and stay, as do rows with a null id, from which
+    nothing is learnt.  Rows are judged one by one, so repeated rows stay or go together.
+    """
     learn = remainder("doc_id", 5) != 0
     model = toxicity.fit_on_labels(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
     return _columns(toxicity.scored(_columns(docs), model).where("predicted = 0"))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts that share five-word shingles at 0.8 or more."""
+    """One document of each class of texts that share five-word shingles at 0.8 or more.
+
+    The smallest doc_id of a class stays; of rows that repeat it the one with the smallest
+    text, and of equal rows one.  Null and empty texts are in classes of their own, and
+    rows with a null id stay.
+    """
     return _columns(jaccard.keep_one(_columns(docs), jaccard.Rule(words=5, part=80)))
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item, judged by id: rows that share the id of a leak
+    go with it.  Null and empty texts contain none, and rows with a null id stay."""
     return _columns(decontam.without_leaks(_columns(docs), table(spark, sf_dir, "benchmark")))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data and ``n_chars`` counted anew."""
+    """All documents, with pseudonyms for personal data and ``n_chars`` counted anew.
+
+    A null text stays null, with a null ``n_chars``; repeated rows stay repeated and equal.
+    """
     done = pii.pseudonymised(_columns(docs), pii_key(spark), spans_col=None)
     return _columns(done.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each document: (doc_id, lang, source, ids, n_tokens)."""
+    """The tokens of each document: (doc_id, lang, source, ids, n_tokens).  Null and empty
+    texts have none; repeated rows stay repeated."""
+    from genoloom.llm import pieces
+
     return pieces.encode_documents(_columns(docs), piece_model()).select("doc_id", "lang", "source", "ids", "n_tokens")
 
 
