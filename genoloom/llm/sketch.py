@@ -15,12 +15,13 @@ from genoloom.llm.common import mixed
 CHUNK = 1 << 14
 FAN_IN = 64
 BLOOM_BITS = 1 << 24
+BLOOM_IDS = 4_000_000  # ids that one task gathers: it sends as many bytes for few as for many
 SCHEMA = "chunk int, part int, counts binary"
 
 
 def chunk_rows(values: np.ndarray) -> pa.RecordBatch:
     """A task's 64-bit values as rows of ``SCHEMA``, chunks of zeros left out."""
-    part = TaskContext.get().partitionId() % FAN_IN
+    part = TaskContext.get().partitionId() // FAN_IN
     kept = [(k, c) for k, c in enumerate(values.astype(np.int64).reshape(-1, CHUNK)) if c.any()]
     return _batch([k for k, _ in kept], [part] * len(kept), [zlib.compress(c.tobytes(), 1) for _, c in kept])
 
@@ -34,8 +35,8 @@ def _batch(chunks: list, parts: list, raws: list) -> pa.RecordBatch:
 def gathered(rows: DataFrame, size: int, combine: np.ufunc) -> np.ndarray:
     """All tasks' arrays of ``size`` values combined into one.
 
-    Two levels of bounded fan-in, each group read as a stream; what reaches the driver is
-    ``size`` numbers, whatever the input.
+    Two levels, the first with a fan-in of ``FAN_IN`` tasks, each group read as a stream; what
+    reaches the driver is ``size`` numbers, whatever the input.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +73,8 @@ def bloom_of(ids: DataFrame) -> np.ndarray:
                 bits[slots] = True
         yield chunk_rows(np.packbits(bits).view(np.int64))
 
-    return gathered(ids.mapInArrow(work, SCHEMA), BLOOM_BITS // 64, np.bitwise_or).view(np.uint8)
+    few = ids.coalesce(ids.count() // BLOOM_IDS + 1)
+    return gathered(few.mapInArrow(work, SCHEMA), BLOOM_BITS // 64, np.bitwise_or).view(np.uint8)
 
 
 def in_bloom(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
