@@ -1,4 +1,4 @@
-"""Command line: ``construct``, ``query`` and ``draw`` over a stored cohort."""
+"""Command line: ``construct``, ``update``, ``query`` and ``draw`` over a stored cohort."""
 
 from __future__ import annotations
 
@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from .grid import DEFAULT_WIDTH
 from .operators.variants import sample_list, variant_counts
-from .plans.build import rejected_alleles
+from .plans.build import add_files, read_manifest, rejected_alleles
 from .plans.cohort import Cohort
 from .session import cut_lineage, get_session
-from .sinks import write_dot, write_samples, write_sequences, write_variants
+from .sinks import write_dot, write_path, write_samples, write_sequences, write_variants
 from .sources.regions import regions
 
 QUERIES = ["closest", "sequence-ref", "sequence-sample", "variants-sample-ref",
-           "variants-sample-sample", "variants-ref", "samples"]
-NEEDS_SAMPLE = {"sequence-ref", "sequence-sample", "variants-sample-ref", "variants-sample-sample"}
+           "variants-sample-sample", "variants-ref", "samples", "sample-path"]
+NEEDS_SAMPLE = {"sequence-ref", "sequence-sample", "variants-sample-ref", "variants-sample-sample", "sample-path"}
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="genoloom", description=__doc__)
@@ -31,10 +31,14 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--any-allele", action="store_true",
                        help="count any non-zero genotype as carrying every ALT of its record")
 
+    more = verbs.add_parser("update", help="add VCF files to a stored cohort")
+    more.add_argument("-v", "--vcf", required=True, help="VCF file or folder of them, plain or gzip")
+    more.add_argument("-p", "--output-prefix", required=True, help="folder of a stored cohort")
+
     ask = verbs.add_parser("query", help="ask a stored cohort")
     ask.add_argument("-p", "--output-prefix", required=True, help="folder of a stored cohort")
     ask.add_argument("-t", "--type", required=True, choices=QUERIES)
-    ask.add_argument("-r", "--region", required=True, help="start:end, separated by ','")
+    ask.add_argument("-r", "--region", help="start:end, separated by ','; sample-path alone needs none")
     ask.add_argument("-m", "--mode", type=int, choices=[0, 1], default=0,
                      help="0 reads what the regions need, 1 caches the cohort first")
     ask.add_argument("-c", "--chrom", help="contig, needed when the cohort has several")
@@ -78,6 +82,16 @@ def run_query(spark: SparkSession, args) -> tuple[DataFrame, DataFrame | None]:
     if args.mode == 1:
         cohort = cohort.cached()
     chrom = _contig(cohort, args.chrom)
+    if args.type in NEEDS_SAMPLE and not args.sample_name:
+        raise SystemExit(f"{args.type} needs a sample name")
+    if args.type == "sample-path":
+        who = cohort.with_sample(spark.createDataFrame([(chrom,)], "chrom string"), args.sample_name)
+        found = cohort.sample_path(who).select("cell", "text")
+        if args.output_file:
+            write_path(found, args.output_file)
+        return found, None
+    if not args.region:
+        raise SystemExit(f"{args.type} needs regions")
     if args.type == "samples":
         found = cohort.samples_with_variant(_asked_variants(spark, args, chrom))
         if args.output_file:
@@ -87,8 +101,6 @@ def run_query(spark: SparkSession, args) -> tuple[DataFrame, DataFrame | None]:
     if args.type != "closest" and not asked.where("x < 1 or y <= x").isEmpty():
         raise SystemExit("regions are start:end with 1 <= start < end")
     if args.type in NEEDS_SAMPLE:
-        if not args.sample_name:
-            raise SystemExit(f"{args.type} needs a sample name")
         asked = cohort.with_sample(asked, args.sample_name)
     if args.type == "closest":
         probes = asked.select(F.col("region_id").alias("query_id"), "chrom", F.col("x").alias("at"))
@@ -132,6 +144,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None,
                                    allele_aware=not args.any_allele, width=width)
         cohort.stats().show(truncate=False)
         print("alleles left out:", rejected_alleles(spark, args.output_prefix).count())
+    elif args.verb == "update":
+        before = read_manifest(spark, args.output_prefix)
+        if before is None:
+            raise SystemExit(f"no cohort is stored at {args.output_prefix}")
+        now = add_files(spark, args.output_prefix, args.vcf)
+        print(f"version {before.version} -> {now.version}")
     elif args.verb == "query":
         found, counts = run_query(spark, args)
         for r in (counts.orderBy("region_id").toLocalIterator() if counts is not None else ()):

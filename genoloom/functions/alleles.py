@@ -26,6 +26,7 @@ def classify(ref: Column, alt: Column) -> Column:
 
 def mutation_name(kind: Column) -> Column:
     """Long name of a kind; a complex replacement is a substitution of unequal lengths."""
+    # Fixed values.
     return (
         F.when(kind == "INS", "INSERTION").when(kind == "DEL", "DELETION")
         .otherwise("SUBSTITUTION")

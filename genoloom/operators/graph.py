@@ -129,6 +129,7 @@ def dot_lines(found: DataFrame, segment: DataFrame, edge: DataFrame, marking: Da
     nodes = found.select("root", "chrom", "seg_id")
     about = segment.select("chrom", "seg_id", "kind", "length", "ref_start")
     labelled = nodes.join(about, ["chrom", "seg_id"])
+    # The text of labels, here and below, and of the frame.
     head = labelled.select(
         "root", F.lit(1).alias("section"), F.col("seg_id").alias("a"),
         F.lit(-2).cast("long").alias("b"),
@@ -180,6 +181,7 @@ def vertex_info(segment: DataFrame, marks: DataFrame, classes: DataFrame,
                 sample: DataFrame) -> DataFrame:
     """A line of text per vertex and carrier part: id, offset, length, class and carriers."""
     named = with_phasing(marks, sample)
+    # The words of the line, here and below.
     text = F.format_string("Sample id: %s Sample phase: %s Index: %d ", "name", "phasing", "index")
     part = F.call_function("div", F.col("sample_id"), F.lit(SAMPLES_PER_PART))
     listed = named.groupBy("chrom", "seg_id", part.alias("part")).agg(

@@ -253,6 +253,16 @@ def update_relations(spark: SparkSession, path: str, width: int | None = None) -
         json.dumps(held | {c: f"v{version}" for c in touched}), json.dumps(sorted([*done, *new])), calls.records))
 
 
+def add_files(spark: SparkSession, path: str, vcf: str) -> Manifest:
+    """Add the calls of VCF files to a store as its next batch, and bring it up to date."""
+    known = read_manifest(spark, path)
+    if known is None:
+        raise ValueError(f"no cohort is stored at {path}")
+    batch = max(batches_of(spark, path), default=-1) + 1
+    read_vcf(spark, vcf, known.allele_aware).write.mode("overwrite").parquet(f"{path}/calls/batch={batch}")
+    return update_relations(spark, path)
+
+
 def construct(spark: SparkSession, fasta: str, vcf: str, path: str, *, allele_aware: bool = True,
               width: int = DEFAULT_WIDTH) -> dict[str, DataFrame]:
     """Read, check, normalise and store a cohort under ``path``, a folder all executors share.

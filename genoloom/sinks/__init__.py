@@ -36,6 +36,11 @@ def write_sequences(sequences: DataFrame, path: str) -> None:
     ).write.mode("overwrite").text(path)
 
 
+def write_path(pieces: DataFrame, path: str) -> None:
+    """A whole sequence, a line per grid cell; the part files in name order spell it."""
+    pieces.orderBy("cell").select(F.col("text").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_samples(found: DataFrame, path: str) -> None:
     """``query_id  name phasing`` lines, one carrier a line."""
     found.orderBy("query_id", "sample_id").select(

@@ -75,3 +75,25 @@ def test_command_line(spark, tmp_path, capsys):
     run("draw", "-p", store, "-r", "10", "-n", "3")
     drawn = read(tmp_path / "ser" / "graph.dot")
     assert drawn[0] == "digraph {" and drawn[-1] == "}"
+
+
+def test_command_line_updates_and_prints_whole_paths(spark, tmp_path, capsys):
+    (tmp_path / "x.fa").write_text(fasta_text(TOY_REF))
+    (tmp_path / "a.vcf").write_text(vcf_text(TOY_RECORDS[:3], ["p"]))
+    (tmp_path / "b.vcf").write_text(vcf_text(TOY_RECORDS[3:], ["p"]))
+    store, out = str(tmp_path / "ser"), tmp_path / "o"
+
+    def run(*args):
+        assert cli.main(list(args), spark=spark, width=16) == 0
+        return capsys.readouterr().out
+
+    run("construct", "-r", str(tmp_path / "x.fa"), "-v", str(tmp_path / "a.vcf"), "-p", store)
+    assert "version 2 -> 3" in run("update", "-v", str(tmp_path / "b.vcf"), "-p", store)
+    run("query", "-p", store, "-t", "sample-path", "-s", "p", "-o", str(out))
+    assert "".join(read(out)) == TOY_PATH
+    shown = run("query", "-p", store, "-t", "sample-path", "-s", "p")
+    assert "".join(line.partition("\t")[2] for line in shown.splitlines() if "\t" in line) == TOY_PATH
+    with pytest.raises(SystemExit, match="sample name"):
+        run("query", "-p", store, "-t", "sample-path")
+    with pytest.raises(SystemExit, match="regions"):
+        run("query", "-p", store, "-t", "variants-ref")
