@@ -25,7 +25,7 @@ from genoloom.session import cut_lineage
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 BEGINNINGS = range(3, 8)
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 SHARE = 150  # a gram is dense from one word in so many on
 
 
@@ -89,7 +89,7 @@ def _frequencies(docs: DataFrame, known: frozenset[str] | None = None) -> DataFr
             for text in part.column("text").to_pylist():
                 found = _marks_of(text)
                 counts.update(found if shared.value is None else found & shared.value)
-            if len(counts) > 500_000:
+            if len(counts) > 200_000:
                 yield _counted(counts)
                 counts = Counter()
         yield _counted(counts)
