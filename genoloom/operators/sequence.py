@@ -110,7 +110,10 @@ def _assemble(spans: DataFrame, coord: DataFrame, ref_chunk: DataFrame, width: i
     return (
         cells.join(tiles, TILE, "left")
         .join(chunk.select("chrom", "cell", "bases"), ["chrom", "cell"], "left")
-        .select(*REQUEST, *keep, "cell", text.alias("text"))
+        .select(*REQUEST, *keep, "cell", text.alias("text"), (F.col("cell") > cell_of(
+            F.greatest("ref_lo", "ref_hi"), width)).alias("_beyond"))
+        # The cell after the last base is there for an insertion only.
+        .where(~F.col("_beyond") | (F.col("text") != "")).drop("_beyond")
     )
 
 

@@ -1,7 +1,7 @@
 """The hand-checked toy: nine records of one sample on 80 bases."""
 
 import pytest
-from conftest import TOY_PATH, TOY_REF
+from conftest import TOY_PATH, TOY_REF, fasta_text, vcf_text
 
 from genoloom.plans.cohort import Cohort
 from genoloom.sources.regions import regions, regions_from
@@ -93,6 +93,17 @@ def test_whole_path_pieces(toy, spark):
     assert sum(1 for _, t in rows if t) == 5
 
 
+@pytest.mark.parametrize("alt,cells", [("A", [0, 1, 2, 3, 4]), ("GTT", [0, 1, 2, 3, 4, 5])])
+def test_a_contig_of_whole_cells_has_no_cell_more(spark, tmp_path, alt, cells):
+    """Eighty bases are five cells of 16; a sixth holds an insertion after the last base only."""
+    (tmp_path / "x.fa").write_text(fasta_text(TOY_REF))
+    (tmp_path / "x.vcf").write_text(vcf_text([(80, "G", alt, "1|1")]))
+    c = Cohort.from_files(spark, str(tmp_path / "x.fa"), str(tmp_path / "x.vcf"), str(tmp_path / "out"), width=16)
+    rows = sorted((r.cell, r.text) for r in c.sample_path(spark.createDataFrame([("x", 1)], "chrom string, sample_id long")).collect())
+    assert [k for k, _ in rows] == cells
+    assert "".join(t for _, t in rows) == TOY_REF[:-1] + alt
+
+
 def test_sample_variants(toy, spark):
     asked = windows(spark, [(10, 26), (28, 46)])
     in_ref = sorted((r.region_id, r.pos, r.ref, r.alt) for r in toy.sample_variants_ref(asked).collect())
