@@ -77,6 +77,8 @@ def ordered_scan(
         else:
             raise ValueError(f"unknown scan kind: {kind}")
 
-    carry_in = df.groupBy(*keys).agg(*totals).select(*keys, *carried)
+    # With few rows a cell it has almost as many rows as ``df``, and the planner, going by the
+    # size of compressed files, would broadcast it.
+    carry_in = df.groupBy(*keys).agg(*totals).select(*keys, *carried).hint("merge")
     scanned = df.select("*", *[c.alias(n) for n, c in local.items()]).join(carry_in, keys)
     return scanned.select(*df.columns, *[c.alias(n) for n, c in combine.items()])

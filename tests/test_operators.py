@@ -12,6 +12,7 @@ from genoloom.operators import requests as req
 from genoloom.operators.asof import nearest_mark, surrounding_marks
 from genoloom.operators.ranges import cover, intervals_in_ranges, points_in_ranges
 from genoloom.operators.scan import ordered_scan
+from genoloom.session import cut_lineage
 
 
 @pytest.mark.parametrize("parts", [1, 7, 64])
@@ -39,6 +40,16 @@ def test_scan_matches_a_loop(spark, parts):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_scan_broadcasts_no_cell_summary(spark, capsys):
+    """A stored table with few rows a cell: its file is small, its summary is not."""
+    df = cut_lineage(spark.range(20000).select((F.col("id") % 2).alias("k"), F.col("id").alias("p"), cell_of("id", 8).alias("c")))
+    out = ordered_scan(df, ["k"], "c", ["p"], s=("sum_before", F.col("p")))
+    rows = out.groupBy("k").agg(F.count("s").alias("n"), F.max("s").alias("s")).orderBy("k").collect()
+    assert [(r.k, r.n, r.s) for r in rows] == [(0, 10000, sum(range(0, 19998, 2))), (1, 10000, sum(range(1, 19999, 2)))]
+    out.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 @pytest.mark.parametrize("limit", [req.BROADCAST_ROWS, 0])
 def test_range_joins_match_nested_loops(spark, monkeypatch, limit):
     monkeypatch.setattr(req, "BROADCAST_ROWS", limit)
