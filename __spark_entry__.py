@@ -288,16 +288,12 @@ def stored_graph(spark, d):
 
 
 def merged_files(spark, d):
-    """The cohort as text, half of the samples in each of two files, read and merged."""
+    """The cohort as text, its samples dealt to two files or more, read and merged."""
     c = _with_bases(spark, d, _cohort(spark, d))
     base = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
     overlay.write_text(overlay.fasta_lines(c.ref_base), f"{base}/fa")
     raw = cut_lineage(_raw_alleles(c).select("site_id", "pos", "ref", "alt"))
-    calls = overlay.calls(spark, d)
-    names = [(r.sample_id, r.name) for r in c.sample.orderBy("sample_id").collect()]  # a header is as long
-    for k in range(2):
-        mine = [n for n in names if n[0] % 2 == k]
-        overlay.write_text(overlay.vcf_lines(calls.where(F.col("sample_id") % 2 == k), raw, mine), f"{base}/vcf/{k}")
+    overlay.write_files(overlay.vcf_lines(overlay.calls(spark, d), raw, c.sample), f"{base}/vcf")
     got = Cohort.from_files(spark, f"{base}/fa", f"{base}/vcf/*", f"{base}/store", width=WIDTH)
     return variants.all_carriers_of(got.site, got.carrier, got.sample).select("pos", "kind", "ref", "alt", "name", "phasing")
 

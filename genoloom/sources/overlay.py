@@ -7,7 +7,7 @@ order flags give the genotype.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import edit_key, first_base, last_base
@@ -154,19 +154,33 @@ def dense_carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- the variant view as text ------------------------------------------------------
 
-def vcf_lines(calls: DataFrame, raw: DataFrame, samples: list[tuple[int, str]]) -> DataFrame:
-    """``(at, line)``: header and wide records of some samples, in file order by ``at``;
-    ``raw`` has ``(site_id, pos, ref, alt)`` as records spell them."""
-    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(n for _, n in samples)])
+SAMPLES_PER_FILE = 256
+
+
+def vcf_lines(calls: DataFrame, raw: DataFrame, sample: DataFrame) -> DataFrame:
+    """``(file, at, line)``: headers and wide records, in order by ``at`` in each file;
+    ``raw`` has ``(site_id, pos, ref, alt)`` as records spell them.
+
+    Neighbouring samples are dealt to two files in turn, ``SAMPLES_PER_FILE`` to each.  A file
+    has the records that one of its samples carries, so the text grows with the carriers and
+    not with samples times sites.
+    """
+    id_ = F.col("sample_id")
+    file = 2 * F.call_function("div", id_, F.lit(2 * SAMPLES_PER_FILE)) + F.pmod(id_, F.lit(2))
+    inside = Window.partitionBy("file").orderBy("sample_id")
+    placed = sample.where(id_.isNotNull()).withColumn("file", file).withColumn("col", F.row_number().over(inside) - 1)
+    heads = placed.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("col", "name"))).alias("c"))
+    head = F.concat_ws("\t", F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"), F.transform("c", lambda e: e["name"]))
     bit = lambda c: F.when(F.col(c) == 1, "1").otherwise("0")
     genotype = F.concat(bit("gt1"), F.when(F.col("phase") == 1, "|").otherwise("/"), bit("gt2"))
-    called = calls.groupBy(F.col("pos").alias("site_id")).agg(F.map_from_entries(F.collect_list(F.struct("sample_id", genotype))).alias("g"))
-    ids = F.array(*[F.lit(i).cast("long") for i, _ in samples])
-    cells = F.transform(ids, lambda i: F.coalesce(F.try_element_at("g", i), F.lit("0|0")))
+    called = calls.join(placed.select("sample_id", "file", "col"), "sample_id").groupBy(
+        F.col("pos").alias("site_id"), "file").agg(F.map_from_entries(F.collect_list(F.struct("col", genotype))).alias("g"))
+    sized = called.join(heads.select("file", F.size("c").alias("n")), "file")
+    cells = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("g", i), F.lit("0|0")))
     line = F.concat_ws("\t", F.lit(CHROM), F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("99"), F.lit("."), F.lit("NS=1"),
                        F.lit("GT"), F.array_join(cells, "\t"))
-    records = raw.join(called, "site_id", "left").select(F.col("pos").alias("at"), line.alias("line"))
-    return records.sparkSession.createDataFrame([(-1, head)], "at bigint, line string").unionByName(records)
+    records = raw.join(sized, "site_id").select("file", F.col("pos").alias("at"), line.alias("line"))
+    return heads.select("file", F.lit(-1).cast("long").alias("at"), head.alias("line")).unionByName(records)
 
 
 def fasta_lines(bases: DataFrame, width: int = 60) -> DataFrame:
@@ -180,3 +194,8 @@ def fasta_lines(bases: DataFrame, width: int = 60) -> DataFrame:
 def write_text(lines: DataFrame, path: str) -> None:
     """One text file of lines in order."""
     lines.coalesce(1).sortWithinPartitions("at").select("line").write.text(path)
+
+
+def write_files(lines: DataFrame, path: str) -> None:
+    """A text file of lines in order for each ``file``, in a folder of its own."""
+    lines.repartition("file").sortWithinPartitions("file", "at").select("file", "line").write.partitionBy("file").text(path)

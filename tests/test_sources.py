@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from genoloom import functions as fn
 from genoloom.plans.build import rejected_alleles
 from genoloom.plans.cohort import Cohort
-from genoloom.sources import fasta, regions, vcf
+from genoloom.sources import fasta, overlay, regions, vcf
 
 
 def build(spark, tmp_path, ref, vcf_body, **kw):
@@ -170,3 +170,25 @@ def test_typed_info_of_one_allele(spark):
     with pytest.raises(ValueError, match="AC"):
         vcf.info_fields(twice)
     assert vcf.info_fields(lines.where("false")) == []
+
+
+def test_text_of_a_cohort_grows_with_its_carriers(spark, tmp_path, monkeypatch):
+    """A file holds a few samples and only the records they carry; all files hold every call."""
+    monkeypatch.setattr(overlay, "SAMPLES_PER_FILE", 2)
+    calls = spark.createDataFrame([(10 * s, s, 0, 1, 0) for s in range(40)] + [(50, 39, 1, 1, 1)], "pos long, sample_id long, phase int, gt1 int, gt2 int")
+    raw = spark.createDataFrame([(10 * s, 10 * s, "A", "C") for s in range(40)], "site_id long, pos long, ref string, alt string")
+    sample = spark.createDataFrame([(s, f"n{s}") for s in range(40)], "sample_id long, name string")
+    overlay.write_files(overlay.vcf_lines(calls, raw, sample), str(tmp_path / "vcf"))
+    texts = [f.read_text().splitlines() for f in (tmp_path / "vcf").glob("*/*.txt")]
+    assert len(texts) == 20
+    found, cells = set(), 0
+    for head, *records in texts:
+        names = head.split("\t")[9:]
+        assert head.startswith("#CHROM") and len(names) == 2
+        assert [int(r.split("\t")[1]) for r in records] == sorted(int(r.split("\t")[1]) for r in records)
+        for r in records:
+            given = r.split("\t")[9:]
+            cells += len(given)
+            found |= {(int(r.split("\t")[1]), n, g) for n, g in zip(names, given, strict=True) if g != "0|0"}
+    assert found == {(10 * s, f"n{s}", "1/0") for s in range(40)} | {(50, "n39", "1|1")}
+    assert cells <= 2 * calls.count()
