@@ -57,7 +57,12 @@ def without(counts: DataFrame, gone: DataFrame) -> DataFrame:
 
 def replaced(counts: DataFrame, change: DataFrame) -> DataFrame:
     """Entries moved to another value: ``change`` has ``(key, value, new_value)``."""
-    moved = counts.join(change.select(*KEY, "new_value"), KEY, "left").select(
+    # Both sides are dealt anew: else the counting of both, the join and the next count run in
+    # one task, for as many entries as fit one after compression.
+    # Another number of parts than the counting has, or the planner leaves these exchanges out.
+    parts = 2 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (df.repartition(parts, *KEY) for df in (counts, change.select(*KEY, "new_value")))
+    moved = left.join(right, KEY, "left").select(
         "key", F.coalesce("new_value", "value").alias("value"), "count")
     return moved.groupBy(*KEY).agg(F.sum("count").alias("count"))
 

@@ -176,6 +176,15 @@ def test_multisets(spark):
     assert table(multiset.looked_up(da, asked)) == {(1, 1): ca[(1, 1)], (99, 1): 0}
 
 
+def test_replacing_is_not_done_where_both_sides_are_counted(spark, capsys):
+    rows = spark.createDataFrame([(1, 1), (1, 1), (1, 8), (2, 3)], "key long, value long")
+    counts = multiset.counted(rows)
+    out = multiset.replaced(counts, multiset.counted(rows.where("value = 8")).select("key", "value", (F.col("value") % 7).alias("new_value")))
+    assert sorted(map(tuple, out.select("key", "value", "count").collect())) == [(1, 1, 3), (2, 3, 1)]
+    out.explain()
+    assert capsys.readouterr().out.count("REPARTITION_BY_NUM") >= 2
+
+
 CARRIED = {1: {1, 2}, 2: {2, 1}, 3: {7}, 4: {1, 2, 3}, 5: {7}}
 
 
