@@ -8,7 +8,8 @@ length and suffix filters).
 
 Pairs are formed in two steps, so that a large group of near copies never meets itself in
 full: first each node meets one node only, the smallest of its size class in the prefix
-n-grams they share most; then only nodes of different classes so far meet.  Each pair is
+n-grams they share most; then only nodes of different classes so far meet.  Pairs whose
+parities differ too much (a bit or two for each n-gram) are dropped; each other one is
 verified once on the full sets.
 """
 
@@ -34,6 +35,7 @@ COUNTER_BITS = 20
 LANES = 8
 LANE_MAX = 255
 BLOCK = 64  # partners that meet one set together, about
+PARITY_BITS = 64  # of the smallest sets
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,10 @@ class Rule:
         """The smallest overlap of two sets of ``n`` elements together."""
         return F.call_function("div", self.part * n + self.part + self.whole - 1, F.lit(self.part + self.whole))
 
+    def may_differ(self, n: int) -> int:
+        """In how many elements two sets that link differ at most, of ``n`` elements together."""
+        return n - 2 * -(-self.part * n // (self.part + self.whole))
+
 
 def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
@@ -82,14 +88,39 @@ def _survey(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(work, f"id bigint, n bigint, digest binary, {SKETCH}")
 
 
-def _prefixes(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
-    """(id, n, grams, lanes): each document's rarest n-grams, as many as its prefix has."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def _parity(s: np.ndarray) -> bytes:
+    """For each of as many slots as ``s`` has elements, up to a power of two, whether the
+    number of elements there is odd.  Two sets differ in as many elements at least as their
+    parities in bits."""
+    bits = max(PARITY_BITS, 1 << (len(s) - 1).bit_length()) if len(s) else PARITY_BITS
+    count = np.bincount(((s >> np.uint64(3)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(bool), bitorder="little").tobytes()
+
+
+def _odd_slots(x: bytes, y: bytes) -> int:
+    """In how many bits two parities differ, the longer one folded to the other's length."""
+    bits = 8 * min(len(x), len(y))
+
+    def folded(raw: bytes) -> int:
+        v, k = int.from_bytes(raw, "little"), 8 * len(raw)
+        while k > bits:
+            k //= 2
+            v = (v >> k) ^ (v & ((1 << k) - 1))
+        return v
+
+    return (folded(x) ^ folded(y)).bit_count()
+
+
+def _prefixes(docs: DataFrame, rule: Rule, counts: np.ndarray, copies: np.ndarray) -> DataFrame:
+    """(id, n, grams, lanes, parity, maybe): each document's rarest n-grams, as many as its
+    prefix has, and whether it may be in the Bloom filter ``copies``."""
+    shared, filtered = docs.sparkSession.sparkContext.broadcast(counts), docs.sparkSession.sparkContext.broadcast(copies)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, rule.words):
-            grams, lanes = [], []
+            grams, lanes, parity = [], [], []
             for s in sets:
+                parity.append(_parity(s))
                 order = np.lexsort((s, shared.value[_counter(s)]))[:rule.prefix(len(s)) if len(s) else 0]
                 grams.append(s[order].view(np.int64))
                 band = np.minimum(np.bincount((s & np.uint64(LANES - 1)).astype(np.int64), minlength=LANES), LANE_MAX)
@@ -98,9 +129,41 @@ def _prefixes(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "id": ids, "n": pa.array([len(s) for s in sets], pa.int64()),
                 "grams": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(grams))),
-                "lanes": pa.array(lanes, pa.int64())})
+                "lanes": pa.array(lanes, pa.int64()), "parity": pa.array(parity, pa.binary()),
+                "maybe": pa.array(in_bloom(filtered.value, ids.to_numpy()))})
+
+    return docs.mapInArrow(work, "id bigint, n bigint, grams array<bigint>, lanes bigint, parity binary, maybe boolean")
+
+
+def _nodes(docs: DataFrame, member: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
+    """``_prefixes`` of the nodes.  Copies of nodes are told by a Bloom filter, and what it
+    takes for a copy by an exact join, so that the prefixes of nodes stay where they are."""
+    last = cut_lineage(member.groupBy("id").agg(F.max("node").alias("node")))
+    made = cut_lineage(_prefixes(docs.where("id is not null"), rule, counts, bloom_of(last.where("node < id").select("id"))))
+    doubted = made.where("maybe").select("id").distinct()
+    spared = cut_lineage(doubted.join(last.where("node = id").select("id"), "id", "left_semi"))
+    return made.where("not maybe").unionByName(
+        made.where("maybe").join(sized(spared, is_small(spared)), "id", "left_semi")).drop("maybe")
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that the parities of their sets do not rule out."""
+    sets = nodes.select("id", "n", "parity")
+    half = sets.join(sized(pairs, is_small(pairs)), F.col("id") == F.col("b")).select(
+        "a", "b", F.col("n").alias("n_b"), F.col("parity").alias("parity_b"))
+    ends = cut_lineage(pairs.select("a").distinct())
+    asked = sets.withColumnRenamed("id", "a").join(sized(ends, is_small(ends)), "a", "left_semi")
+    met = half.join(asked.hint("merge"), "a")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column("n").to_numpy() + batch.column("n_b").to_numpy()).tolist()
+            both = zip(sizes, batch.column("parity").to_pylist(), batch.column("parity_b").to_pylist(), strict=True)
+            kept = [_odd_slots(x, y) <= rule.may_differ(n) for n, x, y in both]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(work, "id bigint, n bigint, grams array<bigint>, lanes bigint")
+    # Rows that share an id are told apart when the sets are.
+    return cut_lineage(met.select("a", "b", "n", "n_b", "parity", "parity_b").mapInArrow(work, "a bigint, b bigint").distinct())
 
 
 def _packed(s: np.ndarray) -> bytes:
@@ -145,7 +208,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
 
-    sets = cut_lineage(docs.where("id is not null").mapInArrow(make, "id bigint, grams binary"))
+    sets = docs.where("id is not null").mapInArrow(make, "id bigint, grams binary")
     blocks = cut_lineage(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
     dealt = pairs.join(sized(blocks, is_small(blocks)), "b").withColumn("block", F.pmod(F.xxhash64("a"), "blocks"))
     roles = cut_lineage(dealt.select("b", "block", F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -160,14 +223,14 @@ def _links(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
     return rule.whole * both >= rule.part * (len(x) + len(y) - both)
 
 
-def _shared_grams(docs: DataFrame, nodes: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
+def _shared_grams(nodes: DataFrame, rule: Rule) -> DataFrame:
     """(gram, id, n, pos, lanes, size): the nodes' prefix n-grams that two nodes or more have.
 
     A Bloom filter keeps most others from becoming rows; the join that follows is exact.
     """
-    made = cut_lineage(_prefixes(docs, rule, counts).join(nodes, "id", "left_semi"))
+    made = nodes.drop("parity")
     often = cut_lineage(made.select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 1").select("gram"))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(often))
+    shared = nodes.sparkSession.sparkContext.broadcast(bloom_of(often))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,12 +313,13 @@ def similar_classes(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_
     node = cut_lineage(known.groupBy("digest").agg(F.min("id").alias("node")))
     member = cut_lineage(known.join(node, "digest").select("id", "n", "node"))
 
-    shared = _shared_grams(texts, node.select(F.col("node").alias("id")).distinct(), rule, counts)
+    nodes = _nodes(texts, member, rule, counts)
+    shared = _shared_grams(nodes, rule)
     versions = member.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi")
     versions = member.join(cut_lineage(versions.select("id", "b")), "id").select(F.col("node").alias("a"), "b")
-    links = _verified(texts, _first_pairs(shared, rule), rule).union(versions)
+    links = _verified(texts, _plausible(_first_pairs(shared, rule), nodes, rule), rule).union(versions)
     found = cut_lineage(components(links))
-    more = _verified(texts, _other_pairs(shared, found, rule), rule)
+    more = _verified(texts, _plausible(_other_pairs(shared, found, rule), nodes, rule), rule)
     found = cut_lineage(components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))))
 
     classed = member.join(found, "node", "left").select(

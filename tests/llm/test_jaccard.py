@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from genoloom.llm import jaccard
 from genoloom.llm.jaccard import Rule, keep_one, similar_classes
 
 
@@ -97,3 +99,26 @@ def test_keep_one_keeps_one_of_each_class_and_rows_without_id(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, ""), (None, "a b c d e f g"), (5, "z y x")]
     kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 4, 5, None]
+
+
+def test_parities_never_rule_out_a_link_and_keep_most_other_sets_from_moving(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:200 + i] if i < 3 else base[:140] + [f"u{i}_{j}" for j in range(60)])) for i in range(40)]
+    rows += [(100 + i, " ".join([*base[:290], f"v{i}"])) for i in range(3)]
+    for size in (1, 40, 64, 65, 1000):
+        whole = [rng.getrandbits(64) for _ in range(2 * size)]
+        x, y = (np.unique(np.array(whole[a:a + size + a // 9 + 1], np.uint64)) for a in (0, size // 9))
+        assert jaccard._odd_slots(jaccard._parity(x), jaccard._parity(y)) <= len(np.setxor1d(x, y))
+    met = []
+    verified = jaccard._verified
+
+    def counted(docs, pairs, rule):
+        met.append(pairs.count())
+        return verified(docs, pairs, rule)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    rule = Rule(3, 60)
+    got = similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, rule)
+    assert sum(met) < 20
