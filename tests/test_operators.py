@@ -2,12 +2,13 @@
 
 import bisect
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from genoloom.grid import cell_of
-from genoloom.operators import classes, graph, multiset, report
+from genoloom.operators import classes, coords, graph, multiset, report
 from genoloom.operators import requests as req
 from genoloom.operators.asof import nearest_mark, surrounding_marks
 from genoloom.operators.ranges import cover, intervals_in_ranges, points_in_ranges
@@ -50,6 +51,15 @@ def test_scan_broadcasts_no_cell_summary(spark, capsys):
     assert "Broadcast" not in capsys.readouterr().out
 
 
+def test_sample_coordinates_broadcast_no_cell_summary(toy, capsys):
+    """Placing variants scans the cells of each sample: nearly a summary row a variant."""
+    placed = coords.sample_coordinates(toy.site, toy.carrier, 16)
+    assert placed.count() == toy.coord.count() > 0
+    capsys.readouterr()
+    placed.explain()
+    assert re.search(r"SortMergeJoin \[chrom#\w+, sample_id#\w+, _cell#\w+\]", capsys.readouterr().out)
+
+
 @pytest.mark.parametrize("limit", [req.BROADCAST_ROWS, 0])
 def test_range_joins_match_nested_loops(spark, monkeypatch, limit):
     monkeypatch.setattr(req, "BROADCAST_ROWS", limit)
