@@ -114,7 +114,8 @@ def segment_samples(marking: DataFrame, carrier: DataFrame, coord: DataFrame) ->
     segments of interest.
     """
     who = carrier.select("chrom", "site_id", "sample_id", "phase", "gt1", "gt2")
-    where = coord.select("chrom", "sample_id", "edit_key", "shift")
+    # Stored, it has few bytes a row; the planner, going by the size of files, would broadcast it.
+    where = coord.select("chrom", "sample_id", "edit_key", "shift").hint("merge")
     return (
         marking.join(who, ["chrom", "site_id"])
         .join(where, ["chrom", "sample_id", "edit_key"])

@@ -13,6 +13,7 @@ from genoloom.operators import requests as req
 from genoloom.operators.asof import nearest_mark, surrounding_marks
 from genoloom.operators.ranges import cover, intervals_in_ranges, points_in_ranges
 from genoloom.operators.scan import ordered_scan
+from genoloom.operators.segments import segment_samples
 from genoloom.session import cut_lineage
 
 
@@ -60,6 +61,23 @@ def test_sample_coordinates_broadcast_no_cell_summary(toy, capsys):
     assert re.search(r"SortMergeJoin \[chrom#\w+, sample_id#\w+, _cell#\w+\]", capsys.readouterr().out)
 
 
+def test_segment_samples_broadcasts_no_coordinates(spark, capsys):
+    """Stored coordinates of 100 samples at 100 sites, under a megabyte as files."""
+    key = F.col("id").cast("long")
+    calls = spark.range(10000).select(
+        F.lit("x").alias("chrom"), (key % 100).alias("site_id"), F.call_function("div", key, F.lit(100)).alias("sample_id"),
+        (key % 100 * 2).alias("edit_key"), (key % 7).alias("shift"), F.lit(True).alias("phase"), F.lit(True).alias("gt1"), F.lit(False).alias("gt2"))
+    stored = cut_lineage(calls)
+    marking = cut_lineage(spark.range(100).select(
+        F.lit("x").alias("chrom"), (key * 2 + 1).alias("seg_id"), key.alias("site_id"), (key * 2).alias("edit_key"), (key * 10).alias("lo")))
+    out = segment_samples(marking, stored, stored)
+    got = {(r["seg_id"], r["sample_id"], r["index"]) for r in out.collect()}
+    assert got == {(i % 100 * 2 + 1, i // 100, i % 100 * 10 + i % 7) for i in range(10000)}
+    capsys.readouterr()
+    out.explain()
+    assert re.search(r"SortMergeJoin \[chrom#\w+, sample_id#\w+, edit_key#\w+\]", capsys.readouterr().out)
+
+
 @pytest.mark.parametrize("limit", [req.BROADCAST_ROWS, 0])
 def test_range_joins_match_nested_loops(spark, monkeypatch, limit):
     monkeypatch.setattr(req, "BROADCAST_ROWS", limit)
