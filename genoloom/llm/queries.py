@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import uuid
 import warnings
 from collections.abc import Callable
@@ -147,16 +148,24 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+_drawn_keys: dict[str, bytes] = {}
+
+
 def pii_key(spark: SparkSession) -> bytes:
-    """The key of the pseudonyms: a secret of the deployment, set as genoloom.pii.key.  Only a
-    local session may go without, with an open key and a warning."""
+    """The key of the pseudonyms: a secret of the deployment, set as genoloom.pii.key.
+
+    Without one a local session takes an open key, with a warning.  On a cluster the open key is
+    never taken: a random one is drawn for the application, kept by the driver alone and
+    given again on each call, so that its pseudonyms agree but end with it.
+    """
     key = spark.conf.get("genoloom.pii.key", None)
-    if key is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set genoloom.pii.key: pseudonyms are as secret as their key")
+    if key is not None:
+        return key.encode()
+    if spark.sparkContext.master.startswith("local"):
         warnings.warn("genoloom.pii.key is not set: anyone can undo these pseudonyms", stacklevel=2)
-        key = "an open key, for tests and examples"
-    return key.encode()
+        return b"an open key, for tests and examples"
+    warnings.warn("genoloom.pii.key is not set: after this application nobody can undo these pseudonyms or make the same again", stacklevel=2)
+    return _drawn_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def op1_pii_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
