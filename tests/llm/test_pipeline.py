@@ -75,6 +75,16 @@ def test_run_is_registered_and_gives_the_last_stage(spark, stages):
     assert np.sum([r.n_tokens for r in got.values()]) > 0
 
 
+def test_run_on_a_cluster_without_a_key(spark, stages, monkeypatch, tmp_path):
+    """It used to fail there in the stage that replaces personal data."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: str(tmp_path), raising=False)
+    with pytest.warns(UserWarning, match="nobody can undo"):
+        got, p = rows_of(entry.queries()["pipeline"](spark, SF)), Pseudonyms(pii_key(spark))
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    assert {i: list(r.ids) for i, r in got.items()} == {i: library.encode(replaced(r.text, p)[0]) for i, r in stages[3][0].items()}
+
+
 def test_queries_without_the_optional_modules(monkeypatch):
     real = entry.importlib.import_module
 
