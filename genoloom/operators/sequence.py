@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from ..grid import DEFAULT_WIDTH, cell_of, cell_start
 from ..session import cut_lineage
-from .requests import Profile, profile, sized
+from .requests import Profile, is_small, profile, sized
 from .scan import ordered_scan
 
 TILE = ["chrom", "sample_id", "cell"]
 REQUEST = ["region_id", "chrom", "sample_id"]
+BAND = 64  # neighbouring cells, as many as a long has bits
 
 
 def of_asked_samples(coord: DataFrame, requests: DataFrame, few: bool) -> DataFrame:
@@ -43,14 +44,19 @@ def edits_of(coord: DataFrame) -> DataFrame:
     ).select("chrom", "sample_id", "shift", "e.lo", "e.hi", "e.alt", "e.key")
 
 
+def _spread(coord: DataFrame, width: int) -> DataFrame:
+    """A row per edit and cell that it reaches."""
+    return edits_of(coord).withColumn(
+        "cell", F.explode(F.sequence(cell_of("lo", width),
+                                     cell_of(F.greatest("lo", "hi"), width))))
+
+
 def edit_tiles(coord: DataFrame, wanted: DataFrame | None = None,
                width: int = DEFAULT_WIDTH) -> DataFrame:
     """A sample's edits per cell, in path order.  An edit reaching over several cells is
     listed in each; its ALT bases belong to the first.  ``wanted`` cells cut the edits
     before they are gathered."""
-    spread = edits_of(coord).withColumn(
-        "cell", F.explode(F.sequence(cell_of("lo", width),
-                                     cell_of(F.greatest("lo", "hi"), width))))
+    spread = _spread(coord, width)
     entry = F.struct(
         "key", "lo", "hi",
         F.when(F.col("cell") == cell_of("lo", width), F.col("alt")).otherwise("").alias("alt"))
@@ -83,22 +89,39 @@ def _splice(bases: Column, start: Column, a: Column, b: Column, edits: Column,
         lambda acc: F.concat(F.array_join(acc["text"], ""), piece(acc["upto"] + 1, b)))
 
 
+def _near(prof: Profile, coord: DataFrame, ref_chunk: DataFrame,
+          width: int) -> tuple[DataFrame, DataFrame]:
+    """Edits and reference cells within the hull of the requests."""
+    if not prof.rows:
+        return coord, ref_chunk
+    return (
+        coord.where((F.col("hi") >= prof.low - 1) & (F.col("lo") <= prof.high + 1)),
+        ref_chunk.where((F.col("start") > prof.low - width) & (F.col("start") <= prof.high + 1)))
+
+
+def _with_last(spans: DataFrame) -> DataFrame:
+    """Spans that hold something, with the last position ``_last`` they or their edits touch."""
+    last = F.greatest("ref_hi", F.call_function("div", F.col("key_hi"), F.lit(2)))
+    return spans.withColumn("_last", last).where(F.col("ref_lo") <= F.col("_last"))
+
+
 def _assemble(spans: DataFrame, coord: DataFrame, ref_chunk: DataFrame, width: int,
               prof: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
     """Spliced pieces ``(region_id, chrom, sample_id, cell, text)`` of spans
     ``(region_id, chrom, sample_id, ref_lo, ref_hi, key_lo, key_hi)``; columns named in
     ``keep`` come along.  ``prof`` counts the spans' cells and bounds their positions.
     """
-    last = F.greatest("ref_hi", F.call_function("div", F.col("key_hi"), F.lit(2)))
-    cells = spans.withColumn("_last", last).where(F.col("ref_lo") <= F.col("_last")).withColumn(
+    cells = _with_last(spans).withColumn(
         "cell", F.explode(F.sequence(cell_of("ref_lo", width), cell_of("_last", width)))
     ).drop("_last")
-    source, chunk = coord, ref_chunk
-    if prof.rows:
-        source = source.where((F.col("hi") >= prof.low - 1) & (F.col("lo") <= prof.high + 1))
-        chunk = chunk.where(
-            (F.col("start") > prof.low - width) & (F.col("start") <= prof.high + 1))
+    source, chunk = _near(prof, coord, ref_chunk, width)
     tiles = edit_tiles(source, sized(cells.select(*TILE).distinct(), prof.broadcastable), width)
+    return _spliced(cells, tiles, chunk, width, keep)
+
+
+def _spliced(cells: DataFrame, tiles: DataFrame, chunk: DataFrame, width: int,
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """The pieces of cells of spans, each a row of its own."""
     first = cell_start(F.col("cell"), width)
     a = F.greatest(first, F.col("ref_lo"))
     b = F.least(first + width - 1, F.col("ref_hi"))
@@ -117,6 +140,55 @@ def _assemble(spans: DataFrame, coord: DataFrame, ref_chunk: DataFrame, width: i
     )
 
 
+def _bands(spans: DataFrame, coord: DataFrame, width: int) -> DataFrame:
+    """A row per span and band of ``BAND`` cells; the bits of ``edited`` tell the cells in
+    which the sample has an edit."""
+    key = ["chrom", "band", "sample_id"]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _in_band("cell").cast("int"))
+    edited = _spread(coord, width).withColumn("band", _band_of("cell")).groupBy(*key).agg(F.bit_or(bit).alias("edited"))
+    dealt = spans.repartition(spans.sparkSession.sparkContext.defaultParallelism, "region_id").withColumn(
+        "band", F.explode(F.sequence(_band_of(cell_of("ref_lo", width)), _band_of(cell_of("_last", width)))))
+    return dealt.join(edited.hint("merge"), key, "left").withColumn("edited", F.coalesce("edited", F.lit(0).cast("long")))
+
+
+def _plain(bands: DataFrame, chunk: DataFrame, width: int) -> DataFrame:
+    """The cells that spans cover whole and without an edit: the bases as they are."""
+    small = is_small(chunk.select("cell", "bases"))
+    # A cell holds ``width`` bases at most; one that is missing reads as none.
+    text = F.struct(_in_band("cell"), F.coalesce(F.substring("bases", 1, width), F.lit("")))
+    known = chunk.where(F.col("cell").isNotNull()).groupBy("chrom", _band_of("cell").alias("band")).agg(
+        F.map_from_entries(F.collect_list(text)).alias("known"))
+    texts = known.select("chrom", "band", F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(BAND - 1).cast("long")),
+        lambda i: F.coalesce(F.try_element_at("known", i), F.lit(""))).alias("texts"))
+    none = F.array_repeat(F.lit(""), BAND)
+    if small:
+        # Bands are small and what comes of them is not, so that their size tells nothing.  The
+        # samples of a band follow each other, which keeps the texts of a file few.
+        # (In the order of the join's keys the planner would take its partitions for these.)
+        n = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bands = bands.repartition(n, "sample_id", "band", "chrom").sortWithinPartitions("chrom", "band")
+    every = bands.join(sized(texts, small), ["chrom", "band"], "left").select(
+        *REQUEST, "band", "edited", "ref_lo", "ref_hi", F.posexplode(F.coalesce("texts", none)).alias("at", "text"))
+    cell = F.col("band") * BAND + F.col("at")
+    return every.where((F.getbit("edited", F.col("at")) == 0) & _covered(cell, width)).select(
+        *REQUEST, cell.alias("cell"), "text")
+
+
+def _band_of(cell: Column | str) -> Column:
+    return F.shiftright(F.col(cell) if isinstance(cell, str) else cell, BAND.bit_length() - 1)
+
+
+def _in_band(cell: Column | str) -> Column:
+    return (F.col(cell) if isinstance(cell, str) else cell).bitwiseAND(F.lit(BAND - 1).cast("long"))
+
+
+def _covered(cell: Column, width: int) -> Column:
+    """Whether a span takes all bases of a cell."""
+    first = cell_start(cell, width)
+    return (first >= F.col("ref_lo")) & (first + width - 1 <= F.col("ref_hi"))
+
+
 def _join_pieces(pieces: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     gathered = pieces.groupBy(*REQUEST, *keep).agg(
         F.sort_array(F.collect_list(F.struct("cell", "text"))).alias("p"))
@@ -142,7 +214,18 @@ def sample_sequence_pieces(requests: DataFrame, coord: DataFrame, ref_chunk: Dat
     cell order spell the sequence.  For windows as long as a contig."""
     prof = profile(requests, "x", "y", width)
     mine = of_asked_samples(coord, requests, prof.few)
-    return _assemble(_ref_spans(requests, contig), mine, ref_chunk, width, prof)
+    source, chunk = _near(prof, mine, ref_chunk, width)
+    bands = _bands(_with_last(_ref_spans(requests, contig)), source, width)
+    # Whole cells without an edit are most of the rows as a rule.  They are made where the
+    # bands lie; only the others meet their edits and are spliced.
+    low, high = F.col("band") * BAND, F.col("band") * BAND + BAND - 1
+    rest = F.filter(
+        F.sequence(F.greatest(low, cell_of("ref_lo", width)), F.least(high, cell_of("_last", width))),
+        lambda c: (F.getbit("edited", _in_band(c).cast("int")) != 0) | ~_covered(c, width))
+    whole = (F.col("edited") == 0) & (cell_start(low, width) >= F.col("ref_lo")) & (
+        cell_start(high + 1, width) <= F.col("ref_hi") + 1)
+    cells = bands.where(~whole).withColumn("cell", F.explode(rest)).drop("band", "edited", "_last")
+    return _plain(bands, chunk, width).unionByName(_spliced(cells, edit_tiles(source, None, width), chunk, width))
 
 
 def sample_sequence_ref(requests: DataFrame, coord: DataFrame, ref_chunk: DataFrame,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoloom.grid import cell_of
-from genoloom.operators import classes, coords, graph, multiset, report
+from genoloom.operators import classes, coords, graph, multiset, report, sequence
 from genoloom.operators import requests as req
 from genoloom.operators.asof import nearest_mark, surrounding_marks
 from genoloom.operators.ranges import cover, intervals_in_ranges, points_in_ranges
@@ -221,6 +221,39 @@ def carriers_of(spark, sets):
     return spark.createDataFrame(rows, "chrom string, site_id long, sample_id long, phase boolean, gt1 boolean, gt2 boolean")
 
 
+@pytest.mark.parametrize("most", [req.BROADCAST_ROWS, 0])
+def test_pieces_are_spliced_only_where_there_are_edits(spark, monkeypatch, most):
+    """Whole cells without an edit are made without a join for each; it used to be one for each cell and sample."""
+    rng, width, length = random.Random(5), 4, 1030  # five bands, the last cell cut short
+    bases = "".join(rng.choice("ACGT") for _ in range(length))
+    chunk = [("x", c, c * width + 1, bases[c * width:(c + 1) * width]) for c in range(-(-length // width)) if c not in (7, 100)]
+    edits = []
+    for sample in (1, 2, 3):
+        at = 1
+        while at < length - 20:
+            at += rng.choice([3, 40, 150])
+            kind = rng.choice(["SUB", "INS", "DEL"])
+            hi = at + {"SUB": 1, "INS": -1, "DEL": rng.choice([0, 9])}[kind]
+            edits.append(("x", sample, 0, at, hi, {"SUB": "gt", "INS": "ac", "DEL": ""}[kind], 2 * at + (kind != "INS"), kind))
+            at = max(at, hi) + 1
+    edits += [("x", None, 0, 9, 8, "nn", 18, "INS"), ("x", 2, 0, length + 1, length, "end", 2 * (length + 1), "INS")]
+    asked = [(1, "x", 1, 1, length + 1), (2, "x", 2, 1, length + 1), (2, "x", 2, 1, length + 1), (4, "x", 4, 1, length + 1), (5, "x", None, 1, 300),
+             (6, "x", 3, 263, 700), (7, "x", 3, 50, 52), (8, "x", 1, length + 1, length + 2), (9, "x", 1, 500, 500), (10, "y", 1, 1, 9)]
+    coord = spark.createDataFrame(edits, "chrom string, sample_id long, shift long, lo long, hi long, alt string, edit_key long, kind string")
+    ref = spark.createDataFrame([*chunk, ("x", None, None, "TT")], "chrom string, cell long, start long, bases string")
+    contig = F.broadcast(spark.createDataFrame([("x", length)], "chrom string, length long"))
+    requests = spark.createDataFrame(asked, "region_id long, chrom string, sample_id long, x long, y long")
+    prof = req.profile(requests, "x", "y", width)
+    want = sequence._assemble(sequence._ref_spans(requests, contig), coord, ref, width, prof)
+    monkeypatch.setattr(req, "BROADCAST_ROWS", most)
+    real, met = sequence._spliced, []
+    monkeypatch.setattr(sequence, "_spliced", lambda cells, *rest: met.append(cells.count()) or real(cells, *rest))
+    got = sequence.sample_sequence_pieces(requests, coord, ref, contig, width)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert got.columns == want.columns and rows(got) == rows(want) and got.count() > 1000
+    assert 20 < met[0] < got.count() / 4
+
+
 def test_classes(spark):
     c = carriers_of(spark, CARRIED)
     named = classes.sample_classes(c)
